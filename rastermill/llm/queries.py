@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastermill.llm import chat, exact_dedup, sharding
+from rastermill.llm import chat, decontaminate, exact_dedup, pieces, sharding
 from rastermill.llm.common import table
 
 #: Shards and slots of op4.
@@ -28,12 +28,20 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(rows))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_pieces(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_sharding, op6_chat_formatting, op9_exact_dedup)}
+    return {f.__name__: f for f in (op4_sharding, op6_chat_formatting, op8_decontamination, op9_exact_dedup, op10_sentencepiece)}
 
 
 def sharding_sql() -> str:
