@@ -44,3 +44,17 @@ def text_of(column: str = "text") -> Column:
 def fold_of(column: str, folds: int) -> Column:
     """crc32 of the id as text, modulo folds; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
+
+
+def pick(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id is among ids: by broadcast if the ids' counted size allows it, else by a shuffled join."""
+    ids = saved(ids, "ids")
+    small = ids.count() * 64 <= BROADCAST_BYTES
+    return rows.join(F.broadcast(ids) if small else ids, "id", "left_semi")
+
+
+def without(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows whose id is not among ids (one column, id_col); as pick does it."""
+    ids = saved(ids.distinct(), "ids")
+    small = ids.count() * 64 <= BROADCAST_BYTES
+    return rows.join(F.broadcast(ids) if small else ids, id_col, "left_anti")

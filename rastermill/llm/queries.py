@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastermill.llm import chat, decontaminate, exact_dedup, pieces, sharding
+from rastermill.llm import chat, decontaminate, exact_dedup, near_dedup, pieces, sharding
 from rastermill.llm.common import table
 
 #: Shards and slots of op4.
 SHARDS, SLOTS = [f"shard-{i:02d}" for i in range(16)], 4099
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id")
     placed = sharding.place(docs, sharding.lookup_table(spark, SHARDS, SLOTS), "doc_id", SLOTS)
@@ -41,7 +45,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_sharding, op6_chat_formatting, op8_decontamination, op9_exact_dedup, op10_sentencepiece)}
+    return {f.__name__: f for f in (op3_minhash_near_dedup, op4_sharding, op6_chat_formatting, op8_decontamination, op9_exact_dedup, op10_sentencepiece)}
 
 
 def sharding_sql() -> str:
