@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastermill.llm import chat, decontaminate, exact_dedup, near_dedup, pieces, sharding
-from rastermill.llm.common import table
+from rastermill.llm import chat, decontaminate, exact_dedup, near_dedup, pieces, sharding, toxicity
+from rastermill.llm.common import fold_of, table
 
 #: Shards and slots of op4.
 SHARDS, SLOTS = [f"shard-{i:02d}" for i in range(16)], 4099
@@ -24,6 +24,12 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "slot", "shard_no", "shard")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scores = toxicity.toxicity_scores(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scores.select("doc_id", (fold_of("doc_id", 3) == 1).alias("held_out"), "score", "predicted", "evidence")
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.sql(
         "SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)"
@@ -45,7 +51,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_minhash_near_dedup, op4_sharding, op6_chat_formatting, op8_decontamination, op9_exact_dedup, op10_sentencepiece)}
+    return {f.__name__: f for f in (op3_minhash_near_dedup, op4_sharding, op5_toxicity, op6_chat_formatting, op8_decontamination, op9_exact_dedup, op10_sentencepiece)}
 
 
 def sharding_sql() -> str:
