@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastermill.llm import chat, decontaminate, exact_dedup, near_dedup, pieces, sharding, toxicity
+from rastermill.llm import chat, decontaminate, exact_dedup, near_dedup, pieces, sharding, surrogates, toxicity
 from rastermill.llm.common import fold_of, table
 
 #: Shards and slots of op4.
 SHARDS, SLOTS = [f"shard-{i:02d}" for i in range(16)], 4099
 
+#: Key of op7's surrogates; a real one comes from a secret store.
+SECRET = "example key"
+
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_classes(table(spark, sf_dir, "documents"))
@@ -38,6 +41,10 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(rows))
 
 
+def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace_private(table(spark, sf_dir, "documents"), SECRET)
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -51,7 +58,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_minhash_near_dedup, op4_sharding, op5_toxicity, op6_chat_formatting, op8_decontamination, op9_exact_dedup, op10_sentencepiece)}
+    return {f.__name__: f for f in (op3_minhash_near_dedup, op4_sharding, op5_toxicity, op6_chat_formatting, op7_pii_surrogates, op8_decontamination, op9_exact_dedup, op10_sentencepiece)}
 
 
 def sharding_sql() -> str:
