@@ -30,6 +30,8 @@ SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Segments whose ids a worker remembers, and pairs of pieces; both are emptied when full.
 MEMO = 400_000
+#: Beginnings of segments of these lengths are remembered with the last piece at each position.
+HEADS = (12, 9, 7, 5)
 
 
 class Pieces:
@@ -41,6 +43,8 @@ class Pieces:
         self.floor = min((s for _, s in scores.values()), default=0.0) - 10.0
         self.pairs: dict[str, dict[str, bool]] = {}
         self.n_pairs = 0
+        self.heads: dict[str, tuple[str, ...]] = {}
+        self.raw = Raw(self)
         # Lengths of the pieces that end with two characters, longest first.
         ends: dict[str, set[int]] = {}
         for piece in scores:
@@ -101,21 +105,35 @@ class Pieces:
         return [found[0]] if found else [self.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass")]
 
 
+class Raw(dict):
+    """Piece -> its ids as little-endian 32-bit integers."""
+
+    def __init__(self, pieces: Pieces):
+        self.of = pieces.ids_of
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= MEMO:
+            self.clear()
+        self[piece] = ids = np.array(self.of(piece), "<i4").tobytes()
+        return ids
+
+
 class StreamingViterbi:
     """Takes characters, gives pieces as soon as they are certain."""
 
     def __init__(self, pieces: Pieces):
         self.p = pieces
-        self.reset()
-
-    def reset(self) -> None:
         self.text = ""
         self.score: list[float] = [0.0]
         self.last: list[str] = [""]  # the last piece of the best path to each position; at 0 the piece committed last
 
     def push(self, chars: str) -> list[str]:
-        out: list[str] = []
         room = 3 * self.p.longest
+        if not self.text and len(chars) < room:
+            self.text = chars
+            self.extend()
+            return []
+        out: list[str] = []
         while chars:
             part, chars = chars[: room - len(self.text)], chars[room - len(self.text) :]
             self.text += part
@@ -131,6 +149,14 @@ class StreamingViterbi:
         """Finds the best path to every position that has none yet."""
         p, text, last, score = self.p, self.text, self.last, self.score
         known, endings, none, bpe = p.scores, p.endings, (), p.bpe
+        heads = p.heads if bpe and last == [""] else None
+        if heads is not None:  # words share their beginnings: start from the longest one that is known
+            if len(heads) >= MEMO:
+                heads.clear()
+            for n in HEADS:
+                if (begun := heads.get(text[:n])) and n <= len(text):
+                    last += begun
+                    break
         for end in range(len(last), len(text) + 1):
             best, top = "", -math.inf
             for n in endings.get(text[end - 2 : end], none) if end > 1 else none:
@@ -151,13 +177,17 @@ class StreamingViterbi:
                 best, top = (single, s) if s > top else (best, top)
                 score.append(top)
             last.append(best or text[end - 1 : end])
+            if end in HEADS and heads is not None:
+                heads[text[:end]] = tuple(last[1:])
 
     def path(self, at: int) -> list[str]:
-        out = []
+        out, last = [], self.last
         while at:
-            out.append(self.last[at])
-            at -= len(self.last[at])
-        return out[::-1]
+            piece = last[at]
+            out.append(piece)
+            at -= len(piece)
+        out.reverse()
+        return out
 
     def commit(self) -> list[str]:
         """The pieces up to the boundary that all surviving paths run through."""
@@ -175,7 +205,7 @@ class StreamingViterbi:
 
     def finish(self) -> list[str]:
         out = self.path(len(self.text))
-        self.reset()
+        self.text, self.score, self.last = "", [0.0], [""]
         return out
 
 
@@ -190,7 +220,7 @@ class Encoder(dict):
 
     def __missing__(self, segment: str) -> bytes:
         found = self.search.push(segment) + self.search.finish()
-        ids = np.array([i for piece in found for i in self.p.ids_of(piece)], "<i4").tobytes()
+        ids = b"".join([self.p.raw[piece] for piece in found])
         if len(segment) <= 64:
             if len(self) >= MEMO:
                 self.clear()
