@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastermill.llm import chat, decontaminate, exact_dedup, html_text, near_dedup, pieces, sharding, surrogates, toxicity
+from rastermill.llm import chat, decontaminate, exact_dedup, html_text, near_dedup, ngram_lm, pieces, sharding, surrogates, toxicity
 from rastermill.llm.common import fold_of, table
 
 #: Shards and slots of op4.
@@ -17,6 +17,10 @@ SHARDS, SLOTS = [f"shard-{i:02d}" for i in range(16)], 4099
 SECRET = "example key"
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.language_model_scores(table(spark, sf_dir, "documents"), ngram_lm.held_out_fold())
+
+
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars", "n_blocks")
 
@@ -62,7 +66,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_html_extraction, op3_minhash_near_dedup, op4_sharding, op5_toxicity, op6_chat_formatting, op7_pii_surrogates, op8_decontamination, op9_exact_dedup, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_html_extraction, op3_minhash_near_dedup, op4_sharding, op5_toxicity, op6_chat_formatting, op7_pii_surrogates, op8_decontamination, op9_exact_dedup, op10_sentencepiece)}
 
 
 def sharding_sql() -> str:
