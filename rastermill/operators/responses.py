@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rastermill.operators.regions import valid_rects
 
@@ -191,7 +192,7 @@ def call_model(requests: DataFrame, fn: Callable[[dict], str], parallel: int | N
     An exception is an error row, never a failed task. Write the result before using it twice: a
     recomputed task would call the model again. `parallel` caps the calls that run at once.
     """
-    schema = requests.schema.add("body", "string").add("status", "int").add("error", "string")
+    schema = T.StructType([*requests.schema.fields, T.StructField("body", T.StringType()), T.StructField("status", T.IntegerType()), T.StructField("error", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -103,7 +103,10 @@ def handwriting_score(features: DataFrame) -> DataFrame:
     even = F.lit(1.0) - F.least(F.lit(1.0), F.col("row_std") / 0.13)
     ink = F.when(F.col("dark_share").between(0.03, 0.3), 0.8).otherwise(0.4)
     score = even * 0.35 + F.least(F.lit(1.0), F.col("mean_height") / 60) * 0.30 + F.least(F.lit(1.0), F.col("n_components") / 300) * 0.20 + ink * 0.15
-    return features.withColumn("score", F.coalesce(score, F.lit(0.5))).withColumn("is_hand", F.coalesce(score >= 0.55, F.lit(False)))
+    known = F.lit(True)
+    for c in ("row_std", "mean_height", "n_components", "dark_share"):
+        known = known & F.col(c).isNotNull()
+    return features.withColumn("score", F.when(known, score).otherwise(F.lit(0.5))).withColumn("is_hand", F.col("score") >= 0.55)
 
 
 def preprocess_plan(images: DataFrame, histograms: DataFrame, allow_enlarge: bool = True, force_invert: bool = False) -> DataFrame:

@@ -47,6 +47,8 @@ def scan_images(spark: SparkSession, folder: str, pattern: str | None = None, re
     rows = rows.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime")).withColumn("ext", extension(F.col("path")))
     rows = rows.where(F.col("ext").isin(parse_pattern(pattern))).withColumn("rel", _relative(F.col("path"), folder)).withColumn("name", F.regexp_extract("path", r"([^/]*)$", 1))
     rows = rows.where(~F.col("rel").rlike(r"(^|/)\."))
+    if not recursive:
+        rows = rows.where(~F.col("rel").contains("/"))
     return rows.select("rel", "path", "name", "ext", "size", "mtime").orderBy(F.expr("rel COLLATE zh_Hans_CHN")).limit(max_files)
 
 
