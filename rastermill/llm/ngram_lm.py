@@ -97,8 +97,9 @@ class _Opened(EliasFano):
         return (self.high[i].astype(np.uint64) << _U(self.low_bits)) | self.low[i].astype(np.uint64)
 
     def successor(self, v: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None) -> np.ndarray:
-        hi = np.minimum((v >> _U(self.low_bits)).astype(np.int64), len(self.starts) - 2)
-        over = (v >> _U(self.low_bits)).astype(np.int64) > hi
+        high, top = v >> _U(self.low_bits), len(self.starts) - 2
+        over = high > _U(top)
+        hi = np.minimum(high, _U(top)).astype(np.int64)
         a, b = self.starts[hi], self.starts[hi + 1]
         if first is not None:
             a, b = np.clip(a, first, last), np.clip(b, first, last)
