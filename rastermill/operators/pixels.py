@@ -7,6 +7,7 @@ but for the joins of tiles and regions with their image, on its id.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -182,6 +183,14 @@ def label_components(points: set[tuple[int, int]]) -> dict[tuple[int, int], tupl
     return label
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """A checkpoint in the folder that the session names; a folder of its own only where it names none."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rastermill-"))
+    return df.checkpoint()
+
+
 def connected_components(cells: DataFrame, key: str = "image_id", span: int = 256) -> DataFrame:
     """key, row, col, label_row, label_col: the smallest cell of each cell's 8-connected set.
 
@@ -197,16 +206,19 @@ def connected_components(cells: DataFrame, key: str = "image_id", span: int = 25
         out.insert(0, key, frame[key].iloc[0])
         return out
 
-    labelled = blocks.groupBy(key, "br", "bc").applyInPandas(local, f"`{key}` {kind}, row int, col int, lr int, lc int").checkpoint()
+    labelled = blocks.groupBy(key, "br", "bc").applyInPandas(local, f"`{key}` {kind}, row int, col int, lr int, lc int")
+    labelled = _cut(labelled)
     # Links between labels of neighbouring blocks, from the cells on the blocks' edges only.
     edge = labelled.where(f"row % {span} IN (0, {span - 1}) OR col % {span} IN (0, {span - 1})")
     around = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b))
     near = edge.select(key, F.explode(around).alias("o"), "row", "col", F.struct("lr", "lc").alias("p")).select(key, (F.col("row") + F.col("o.a")).alias("row"), (F.col("col") + F.col("o.b")).alias("col"), "p")
-    links = near.join(edge.select(key, "row", "col", F.struct("lr", "lc").alias("q")), [key, "row", "col"]).where("p <> q").select(key, "p", "q").distinct().checkpoint()
+    links = near.join(edge.select(key, "row", "col", F.struct("lr", "lc").alias("q")), [key, "row", "col"]).where("p <> q").select(key, "p", "q").distinct()
+    links = _cut(links)
     roots = labelled.select(key, F.struct("lr", "lc").alias("p")).distinct().withColumn("root", F.col("p"))
     while True:
         best = links.join(roots.select(key, F.col("p").alias("q"), "root"), [key, "q"]).groupBy(key, "p").agg(F.min("root").alias("m"))
-        new = roots.join(best, [key, "p"], "left").select(key, "p", F.least("root", F.coalesce("m", "root")).alias("root"), (F.col("m") < F.col("root")).alias("changed")).checkpoint()
+        new = roots.join(best, [key, "p"], "left").select(key, "p", F.least("root", F.coalesce("m", "root")).alias("root"), (F.col("m") < F.col("root")).alias("changed"))
+        new = _cut(new)
         roots = new.select(key, "p", "root")
         if new.where("changed").isEmpty():
             break

@@ -575,3 +575,106 @@ def drop_oversize(spark, d):
 @query("clock", " SELECT event_id, 'batch-' || strftime(ts, '%Y%m%d-%H%M%S') AS batch_id FROM events")
 def batch_id(spark, d):
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", S.batch_id(F.col("ts")).alias("batch_id"))
+
+
+@query("cells", " SELECT * FROM cells")
+def sample_cells(spark, d):
+    from rastermill.operators import pixels
+
+    return pixels.sample_cells(T.pictures(spark, d), 8)
+
+
+@query("cells", " SELECT image_id, row AS y, col AS x, r, g, b, a FROM cells")
+def explode_pixels(spark, d):
+    from rastermill.operators import pixels
+
+    return pixels.explode_pixels(T.pictures(spark, d))
+
+
+_QUARTERS = """, q AS (SELECT *, (row // 4) * 2 + col // 4 AS tile_id, floor(r * 0.299::DOUBLE + g * 0.587::DOUBLE + b * 0.114::DOUBLE + 0.5)::INTEGER AS bin FROM cells)"""
+
+
+def _quarters(spark, d):
+    pictures = T.pictures(spark, d)
+    corners = F.array(*(F.struct(F.lit(2 * r + c).alias("tile_id"), F.lit(4 * c).alias("x"), F.lit(4 * r).alias("y")) for r in (0, 1) for c in (0, 1)))
+    return pictures, pictures.select("image_id", F.explode(corners).alias("t")).select("image_id", "t.*", F.lit(4).alias("w"), F.lit(4).alias("h"))
+
+
+@query("cells", _QUARTERS + " SELECT image_id, tile_id::INTEGER AS tile_id, bin, count(*) AS cnt FROM q GROUP BY ALL")
+def tile_histograms(spark, d):
+    from rastermill.operators import pixels
+
+    pictures, quarters = _quarters(spark, d)
+    return pixels.tile_histograms(pictures, quarters)
+
+
+@query("cells", _QUARTERS + """ SELECT image_id, tile_id::INTEGER AS tile_id, string_agg(printf('%02X%02X%02X%02X', b, g, r, a), '' ORDER BY row, col) AS bytes FROM q GROUP BY ALL""")
+def extract_tiles(spark, d):
+    from rastermill.operators import pixels
+
+    pictures, quarters = _quarters(spark, d)
+    return pixels.extract_tiles(quarters, pictures).select("image_id", "tile_id", F.hex("data").alias("bytes"))
+
+
+@query("cells", """ SELECT image_id, string_agg(printf('%02X%02X%02X%02X', b, g, r, a), '' ORDER BY row, col) AS bytes FROM cells WHERE row % 2 = 1 AND col % 2 = 1 GROUP BY 1""")
+def crop_regions(spark, d):
+    """Each picture at half its size."""
+    from rastermill.operators import pixels
+
+    pictures = T.pictures(spark, d)
+    whole = pictures.select("image_id", F.lit(0).alias("region_idx"), F.lit(0).alias("x0"), F.lit(0).alias("y0"), F.lit(8).alias("w"), F.lit(8).alias("h"))
+    return pixels.crop_regions(whole, pictures, 4).select("image_id", F.hex("data").alias("bytes"))
+
+
+@query("cells", """ SELECT image_id, string_agg(printf('%02X%02X%02X%02X', b, g, r, a), '' ORDER BY col, 7 - row) AS bytes FROM cells GROUP BY 1""")
+def rotate_images(spark, d):
+    from rastermill.operators import pixels
+
+    return pixels.rotate_images(T.pictures(spark, d), 90).select("image_id", F.hex("data").alias("bytes"))
+
+
+
+@query("cells", """, t AS (SELECT image_id, 128 AS threshold FROM cells GROUP BY 1) SELECT image_id, round(avg(CASE WHEN r * 0.299::DOUBLE + g * 0.587::DOUBLE + b * 0.114::DOUBLE < threshold THEN 1.0::DOUBLE ELSE 0 END), 6) AS dark_share FROM cells JOIN t USING (image_id) GROUP BY 1""")
+def ink_features(spark, d):
+    from rastermill.operators import pixels
+
+    pictures = T.pictures(spark, d)
+    return pixels.ink_features(pictures, pictures.select("image_id", F.lit(128).alias("threshold"))).select("image_id", F.round("dark_share", 6).alias("dark_share"))
+
+
+@query()
+def preprocess_images(spark, d):
+    from rastermill.operators import pixels
+
+    pictures = T.pictures(spark, d)
+    plan = stats.preprocess_plan(pictures.select("image_id", F.lit(640).alias("width"), F.lit(480).alias("height")), T.histograms(spark, d))
+    return pixels.preprocess_images(pictures, plan).select("image_id", "width", "height", F.hex("data").alias("bytes"), F.array_join("applied", "+").alias("applied"))
+
+
+@query("cells", """, ink AS (SELECT image_id, row, col FROM cells WHERE b < 100), RECUR
+SELECT image_id, row, col, (min(l) // 8)::INTEGER AS label_row, (min(l) % 8)::INTEGER AS label_col FROM reach GROUP BY ALL""".replace("RECUR", """reach(image_id, row, col, l) AS (SELECT image_id, row, col, row * 8 + col FROM ink
+UNION SELECT i.image_id, i.row, i.col, r.l FROM reach r JOIN ink i ON i.image_id = r.image_id AND abs(i.row - r.row) <= 1 AND abs(i.col - r.col) <= 1)"""))
+def connected_components(spark, d):
+    from rastermill.operators import pixels
+
+    return pixels.connected_components(T.cells(spark, d).where("b < 100").select("image_id", "row", "col"), span=4)
+
+
+_SQL["connected_components"] = _SQL["connected_components"].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("answers", r""" SELECT rel, CASE WHEN length(answer) > 600 THEN substr(answer, 1, 600) || '…' ELSE answer END AS preview FROM (SELECT rel, trim(answer) AS answer FROM answers WHERE NOT contains(answer, chr(10)) AND NOT contains(answer, '#'))""")
+def preview_text(spark, d):
+    """Answers of one paragraph; those of several are covered by tests."""
+    rows = T.answers(spark, d).where(~F.col("answer").contains("\n") & ~F.col("answer").contains("#"))
+    return rows.select("rel", S.preview_text(F.col("answer")).alias("preview"))
+
+
+@query("images", """ SELECT image_id, '## Summary' || chr(10) || width || ' wide' || chr(10) || '## Text' || chr(10) || '### Text 0' || chr(10) || 'h ' || height || chr(10) || '## Details' || chr(10) || '(none)' AS answer FROM images""")
+def image_answer(spark, d):
+    from rastermill.plans.recognise import image_answer as compose
+
+    im = T.images(spark, d)
+    pre = im.select("image_id", F.concat(F.col("width").cast("string"), F.lit(" wide")).alias("summary"), F.lit(True).alias("has_text"))
+    texts = im.select("image_id", F.lit(0).alias("region_idx"), F.concat(F.lit("h "), F.col("height").cast("string")).alias("text"))
+    return compose(pre, texts, texts.where("false").withColumn("label", F.lit("")))

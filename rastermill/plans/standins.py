@@ -143,3 +143,11 @@ def with_tables(names: str, body: str) -> str:
     for n in names.split():
         add(n)
     return "WITH " + ", ".join(f"{n} AS ({SQL[n]})" for n in order) + body
+
+
+def pictures(spark: SparkSession, d: str) -> DataFrame:
+    """The cells of each vector as a decoded image of 8 x 8 pixels (rows of BGRA bytes)."""
+    two = lambda c: F.lpad(F.hex(F.col(c)), 2, "0")
+    pixel = F.struct("row", "col", F.concat(two("b"), two("g"), two("r"), two("a")).alias("p"))
+    rows = cells(spark, d).groupBy("image_id").agg(F.sort_array(F.collect_list(pixel)).alias("ps"))
+    return rows.select("image_id", F.lit(8).alias("width"), F.lit(8).alias("height"), F.lit(4).alias("n_channels"), F.unhex(F.array_join(F.col("ps.p"), "")).alias("data"))
