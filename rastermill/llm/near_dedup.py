@@ -10,8 +10,9 @@ Copies (the same words) are folded into one representative first. Representative
 band of coordinates meet in a bucket; there everyone is compared with one member drawn at random
 (another one in every band), not with everyone. Pairs are verified by their exact similarity, and
 linked documents form components. Buckets that still hold several components are joined again:
-small ones by all pairs of different components, large ones with newly drawn members, and only
-between different components, until a round finds nothing.
+small ones by all pairs of different components, large ones with two drawn members. What large
+buckets then still hold of different components is compared completely, block against block, so
+that every link of documents that share a bucket is found.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ K = BANDS * ROWS
 SMALL = 24
 #: Bands whose buckets are joined first.
 FIRST = 6
+#: Large buckets are compared in blocks of about so many members and bytes of elements, and so many elements at once.
+BLOCK, BLOCK_BYTES, WIDTH = 512, 8 << 20, 4096
 
 _U = np.uint64
 
@@ -226,6 +229,99 @@ def _starred(members: DataFrame, seed: int) -> DataFrame:
     return rows.select("a", F.col("rep").alias("b"), "label_a", F.col("label").alias("label_b"))
 
 
+def bags(texts: DataFrame) -> DataFrame:
+    """id and elements: the shingles as 64-bit numbers, another number for each repetition. texts: id, text.
+
+    The weighted similarity of two documents is the plain one of these sets.
+    """
+    kind = texts.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                elements, owner, _ = shingles(part.column(1).to_pylist())
+                elements = mix(elements + occurrences(elements, owner).astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+                ends = np.searchsorted(owner, np.arange(part.num_rows + 1))
+                sets = [elements[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["id", "elements"])
+
+    return texts.select("id", "text").mapInArrow(run, f"id {kind}, elements binary")
+
+
+def overlaps(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """The number of elements that each set of the left shares with each of the right."""
+    sets = [np.frombuffer(b, np.uint64) for b in (*left, *right)]
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, code = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_inverse=True)
+    here, n = owner < len(left), int(code.max(initial=-1)) + 1
+    both = (np.bincount(code[here], minlength=n) > 0) & (np.bincount(code[~here], minlength=n) > 0)
+    rank = np.cumsum(both) - 1
+    owner, code = owner[both[code]], rank[code[both[code]]]
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    out = np.zeros((len(left), len(right)), np.int64)
+    for first in range(0, int(both.sum()), WIDTH):
+        i, j = np.searchsorted(code, [first, first + WIDTH])
+        dense = np.zeros((len(sets), min(WIDTH, int(both.sum()) - first)), np.float32)
+        dense[owner[i:j], code[i:j] - first] = 1
+        out += (dense[: len(left)] @ dense[len(left) :].T).astype(np.int64)
+    return out
+
+
+def _exhaustive(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Every link of different components in a bucket, as labels a, b. members: rep, bucket, label.
+
+    Of two members of different components one at least is not of the bucket's largest component.
+    So all members are met, in blocks, with those outside the largest one, in blocks too.
+    """
+    kind = members.schema["label"].dataType.simpleString()
+    needed = members.select(F.col("rep").alias("id")).distinct()
+    sets = saved(bags(pick(texts, needed)), "near-bags")
+    sized = members.join(sets.select(F.col("id").alias("rep"), F.length("elements").cast("long").alias("bytes")), "rep")
+    parts = sized.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    by = F.struct("n", "label")
+    shape = parts.groupBy("bucket").agg(F.max_by("label", by).alias("main"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max("n").alias("n0"), F.max_by("bytes", by).alias("bytes0"))
+    blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
+    shape = shape.select("bucket", "main", blocks(F.col("n"), F.col("bytes")).alias("lefts"), blocks(F.col("n") - F.col("n0"), F.col("bytes") - F.col("bytes0")).alias("rights"))
+    rows = members.join(shape, "bucket")
+    at = lambda seed, n: F.pmod(F.xxhash64("rep", F.lit(seed)), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.select("rep", "label", "bucket", at(11, "lefts").alias("i"), each("rights").alias("j"), F.lit(True).alias("is_left"))
+    right = rows.where("label <> main").select("rep", "label", "bucket", each("lefts").alias("i"), at(12, "rights").alias("j"), F.lit(False).alias("is_left"))
+    cells = left.unionByName(right).join(sets.withColumnRenamed("id", "rep"), "rep").select("bucket", "i", "j", "is_left", "label", "elements")
+
+    def run(cell: pa.Table) -> pa.Table:
+        is_left = cell.column("is_left").to_numpy()
+        labels = cell.column("label").combine_chunks().dictionary_encode()
+        codes, sets = labels.indices.to_numpy(), cell.column("elements").to_pylist()
+        l, r = np.flatnonzero(is_left), np.flatnonzero(~is_left)
+        size = np.array([len(b) // 8 for b in sets], np.int64)
+        shared = overlaps([sets[k] for k in l], [sets[k] for k in r])
+        union = size[l][:, None] + size[r] - shared
+        x, y = np.nonzero((shared / np.maximum(union, 1) >= threshold) & (codes[l][:, None] != codes[r]))
+        ends = np.unique(np.sort(np.stack([codes[l[x]], codes[r[y]]], axis=1), axis=1), axis=0)
+        return pa.table({"a": labels.dictionary.take(pa.array(ends[:, 0])), "b": labels.dictionary.take(pa.array(ends[:, 1]))})
+
+    return cells.groupBy("bucket", "i", "j").applyInArrow(run, f"a {kind}, b {kind}").distinct()
+
+
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members, with their labels, of buckets that hold several components."""
+    named = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    split = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+    return saved(named.join(split, "bucket"), "near-open")
+
+
+def _merged(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """The labels after components are joined as wholes; their members follow. found: a, b (labels)."""
+    if found.isEmpty():
+        return labels
+    joined = components(found).select(F.col("id").alias("label"), F.col("label").alias("to"))
+    reached = labels.select("id", "label").unionByName(joined.select(F.col("label").alias("id"), "label").join(labels.select("id"), "id", "left_anti"))
+    return saved(reached.join(joined, "label", "left").select("id", F.coalesce("to", "label").alias("label")), "near-labels")
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """One row per document: id, class_id, class_size, copies.
 
@@ -249,26 +345,19 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first = members.where(F.col("band") < FIRST).withColumn("label", F.col("rep"))
     links = saved(verified(_starred(first, 0).select("a", "b").distinct(), texts, threshold), "near-links")
     labels = components(links)
-    seed = 0
-    while True:
-        named = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        split = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-        open_ = saved(named.join(split, "bucket"), "near-open")
-        large = open_.where(F.col("size") > SMALL)
-        pairs = _starred(large, seed + 1).unionByName(_starred(large, seed + 2))
-        if not seed:
-            small = open_.where(F.col("size") <= SMALL).alias("m")
-            other = small.select("bucket", F.col("rep").alias("b"), F.col("label").alias("label_b")).alias("o")
-            few = small.join(other, (F.col("m.bucket") == F.col("o.bucket")) & (F.col("m.label") < F.col("label_b")))
-            pairs = pairs.unionByName(few.select(F.col("rep").alias("a"), "b", F.col("label").alias("label_a"), "label_b"))
-        seed += 2
-        found = saved(verified(pairs.distinct(), texts, threshold).select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct(), "near-joins")
-        if found.isEmpty():
-            break
-        # The components are joined as wholes; their members follow.
-        joined = components(found).select(F.col("id").alias("label"), F.col("label").alias("to"))
-        reached = labels.select("id", "label").unionByName(joined.select(F.col("label").alias("id"), "label").join(labels.select("id"), "id", "left_anti"))
-        labels = saved(reached.join(joined, "label", "left").select("id", F.coalesce("to", "label").alias("label")), "near-labels")
+    open_ = _open(members, labels)
+    large = open_.where(F.col("size") > SMALL)
+    small = open_.where(F.col("size") <= SMALL).alias("m")
+    other = small.select("bucket", F.col("rep").alias("b"), F.col("label").alias("label_b")).alias("o")
+    few = small.join(other, (F.col("m.bucket") == F.col("o.bucket")) & (F.col("m.label") < F.col("label_b")))
+    few = few.select(F.col("rep").alias("a"), "b", F.col("label").alias("label_a"), "label_b")
+    pairs = _starred(large, 1).unionByName(_starred(large, 2)).unionByName(few)
+    found = verified(pairs.distinct(), texts, threshold).select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+    labels = _merged(labels, saved(found.distinct(), "near-joins"))
+    # No draw is needed any more: what large buckets still hold of different components meets completely.
+    rest = _open(large.select("rep", "bucket"), labels)
+    if not rest.isEmpty():
+        labels = _merged(labels, saved(_exhaustive(rest, texts, threshold), "near-rest"))
 
     named = reps.select("key", "rep", "copies").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     named = named.select("key", "copies", F.coalesce("label", "rep").alias("class_id"))

@@ -206,6 +206,33 @@ def test_large_group_is_one_class(spark, docs):
     assert {got[i] for i in range(200)} == {0} and [got[i] for i in range(200, 220)] == list(range(200, 220))
 
 
+def test_weak_links_in_large_buckets(spark, docs, monkeypatch):
+    """One template, similarity 0.75 throughout, but for 30 pairs of 0.802 whose ends no draw needs to hit."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 64, raising=False)
+    rng = random.Random(10)
+    base = [f"t{k}" for k in range(130)]
+    texts = []
+    for k in range(400):
+        own = [f"n{k}.{i}" for i in range(20)]
+        if k < 60:
+            own[-8:] = [f"p{k // 2}.{i}" for i in range(8)]
+        texts.append(" ".join(base + own))
+    want = [k // 2 * 2 if k < 60 else k for k in range(400)]
+    rng.shuffle(order := list(range(400)))
+    rows = spark.createDataFrame([(k, texts[k]) for k in order], "doc_id long, text string")
+    assert _classes(texts[:80]) == want[:80]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_classes(rows).collect()}
+    assert [k for k in range(400) if got[k] != want[k]] == []
+
+
+def test_overlaps(monkeypatch):
+    monkeypatch.setattr(near_dedup, "WIDTH", 7)
+    rng = np.random.default_rng(12)
+    sets = [set(rng.integers(0, 60, rng.integers(0, 40)).tolist()) for _ in range(9)]
+    raw = [np.array(sorted(s), np.uint64).tobytes() for s in sets]
+    assert near_dedup.overlaps(raw[:4], raw[4:]).tolist() == [[len(a & b) for b in sets[4:]] for a in sets[:4]]
+
+
 def test_signature_agreement_is_weighted_similarity():
     rng = np.random.default_rng(5)
     e = rng.integers(0, 2**63, 40).astype(np.uint64)
