@@ -40,36 +40,67 @@ def image_answer(prechecks: DataFrame, texts: DataFrame, details: DataFrame, gri
     )
 
 
+def ocr_parts(ocr: DataFrame) -> DataFrame:
+    """OCR answers with the text alone: text becomes plain; adds confidence and n_lines.
+
+    An answer may be plain lines (confidence 1) or a JSON object {"lines": [{"text": .., "score": ..}]}.
+    ocr: image_id, region_idx, text, error.
+    """
+    lines = F.try_variant_get(F.try_parse_json("text"), "$.lines", "array<struct<text:string,score:double>>")
+    rows = ocr.withColumn("lines", F.when(F.col("text").startswith("{"), lines))
+    kept = rows.where("lines IS NOT NULL").select("image_id", "region_idx", F.posexplode("lines").alias("line_no", "l")).select("image_id", "region_idx", "line_no", F.col("l.score").alias("score"))
+    rows = rows.join(regions.region_confidence(kept).select("image_id", "region_idx", "confidence"), ["image_id", "region_idx"], "left")
+    said = F.array_join(F.transform("lines", lambda x: F.coalesce(x["text"], F.lit(""))), "\n")
+    text = F.when(F.col("lines").isNotNull(), F.when(F.length(F.trim(said)) > 0, said).otherwise("")).otherwise(F.col("text"))
+    full = F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) > 0)
+    n = F.coalesce(F.when(F.col("lines").isNotNull(), F.size("lines")).otherwise(F.size(full)), F.lit(0))
+    return rows.select("image_id", "region_idx", text.alias("text"), "error", F.coalesce("confidence", F.lit(1.0)).alias("confidence"), n.alias("n_lines"))
+
+
 def recognise_images(images: DataFrame, precheck_fn: Callable[[dict], str], ocr_fn: Callable[[dict], str], model_fn: Callable[[dict], str], work: str, mode: str = "smart") -> DataFrame:
-    """image_id, answer: pre-check, regions, crops, OCR or model by handwriting, upgrade, details, answer.
+    """image_id, answer: pre-check, regions, crops, preparation, OCR or model by handwriting, upgrade, details, answer.
 
     The functions get a dict with image_id, kind, width, height and pixels in base64 (grey, BGR or BGRA
-    rows) and return a text: precheck_fn JSON, ocr_fn plain lines, model_fn a transcription or description.
+    rows) and return a text: precheck_fn JSON, ocr_fn plain lines or JSON lines with scores (see
+    ocr_parts), model_fn a transcription or description. OCR gets the crop after preprocess_images
+    (enlarged only where handwriting is to be read), the model the crop itself; what OCR read with
+    low confidence is transcribed by the model too (kind `upgrade`).
     """
     work = work.rstrip("/")
     ask = lambda df, kind: df.select("image_id", *(c for c in ("region_idx", "label") if c in df.columns), F.lit(kind).alias("kind"), "width", "height", "n_channels", F.base64("data").alias("pixels"))
     raw = _written(responses.call_model(ask(images, "precheck"), precheck_fn).select("image_id", F.coalesce("body", F.lit("")).alias("raw")), f"{work}/prechecks")
     pre = responses.parse_prechecks(raw)
     px = regions.regions_to_pixels(regions.explode_regions(pre), images)
-    ocr_out = calls = None
     crops = {}
     for kind in ("text", "interest"):
         cut = pixels.crop_regions(px.where(F.col("kind") == kind), images)
         crops[kind] = cut.select("image_id", "region_idx", F.col("out_w").alias("width"), F.col("out_h").alias("height"), "n_channels", "data")
     text_crops = _written(crops["text"], f"{work}/crops")
-    hist = pixels.tile_histograms(text_crops.select(F.concat_ws("#", F.col("image_id").cast("string"), F.col("region_idx").cast("string")).alias("image_id"), "width", "height", "n_channels", "data"))
-    ink = pixels.ink_features(text_crops.select(F.concat_ws("#", F.col("image_id").cast("string"), F.col("region_idx").cast("string")).alias("image_id"), "width", "height", "n_channels", "data"), stats.otsu_threshold(hist))
+    crop = F.concat_ws("#", F.col("image_id").cast("string"), F.col("region_idx").cast("string"))
+    keyed = text_crops.select(crop.alias("image_id"), "width", "height", "n_channels", "data")
+    hist = pixels.tile_histograms(keyed)
+    ink = pixels.ink_features(keyed, stats.otsu_threshold(hist))
     local = stats.handwriting_score(ink).select(F.col("image_id").alias("crop"), F.col("is_hand").alias("local_hand"))
-    flags = px.where("kind = 'text'").withColumn("crop", F.concat_ws("#", F.col("image_id").cast("string"), F.col("region_idx").cast("string"))).join(local, "crop", "left").drop("crop")
+    flags = px.where("kind = 'text'").withColumn("crop", crop).join(local, "crop", "left").drop("crop")
     routed = regions.route_handwriting(flags, mode)
     todo = text_crops.join(routed.select("image_id", "region_idx", "to_model"), ["image_id", "region_idx"])
     call = lambda rows, kind, fn, name: _written(responses.call_model(ask(rows, kind), fn).select("image_id", "region_idx", F.col("body").alias("text"), "error"), f"{work}/{name}")
     hand = call(todo.where("to_model"), "handwriting", model_fn, "hand")
-    ocr_out = call(todo, "ocr", ocr_fn, "ocr")
+    plan = stats.preprocess_plan(keyed, hist).join(todo.select(crop.alias("image_id"), "to_model"), "image_id")
+    plan = plan.withColumn("applied", F.when(F.col("to_model"), F.col("applied")).otherwise(F.array_remove("applied", "enlarge")))
+    steps = pixels.preprocess_images(keyed, plan.where(F.size("applied") > 0).drop("to_model", "is_dark"))
+    steps = steps.select(F.col("image_id").alias("crop"), F.col("width").alias("w"), F.col("height").alias("h"), F.lit(1).alias("c"), F.col("data").alias("d"))
+    prepared = todo.withColumn("crop", crop).join(steps, "crop", "left")
+    prepared = prepared.select("image_id", "region_idx", *(F.coalesce(new, old).alias(old) for new, old in (("w", "width"), ("h", "height"), ("c", "n_channels"), ("d", "data"))))
+    ocr_out = ocr_parts(call(prepared, "ocr", ocr_fn, "ocr"))
     failed = todo.where("NOT to_model").join(ocr_out.where("error IS NOT NULL OR length(text) = 0").select("image_id", "region_idx"), ["image_id", "region_idx"], "left_semi")
     calls = hand.unionByName(call(failed, "fallback", model_fn, "fallback"))
-    none = calls.limit(0)
-    texts = regions.resolve_region_text(routed, ocr_out, calls, none).select("image_id", "region_idx", "text")
+    dark = plan.select(F.col("image_id").alias("crop"), "is_dark")
+    read = routed.withColumn("crop", crop).join(dark, "crop", "left").join(ocr_out.where("error IS NULL AND length(text) > 0").drop("text", "error"), ["image_id", "region_idx"])
+    read = read.withColumn("degraded", F.lit(False)).withColumn("engine", F.when(F.col("to_model"), "handwrite-api").otherwise("ocr"))
+    weak = regions.needs_upgrade(read).where("upgrade").select("image_id", "region_idx")
+    better = call(text_crops.join(weak, ["image_id", "region_idx"], "left_semi"), "upgrade", model_fn, "upgrade")
+    texts = regions.resolve_region_text(routed, ocr_out, calls, better).select("image_id", "region_idx", "text")
     labels = px.where("kind = 'interest'").select("image_id", "region_idx", "label")
     details = call(crops["interest"], "detail", model_fn, "details").where("error IS NULL").join(labels, ["image_id", "region_idx"])
     grids = stats.ascii_grid(pixels.sample_cells(images))

@@ -1,10 +1,11 @@
+import base64
 import json
 
 import numpy as np
-from conftest import png
+from conftest import image_rows, png
 from pyspark.sql import functions as F
 
-from rastermill.plans.recognise import run_batch
+from rastermill.plans.recognise import ocr_parts, recognise_images, run_batch
 from rastermill.sources import images as sources
 from rastermill.sources import logs
 from rastermill.streaming import arrivals
@@ -81,6 +82,30 @@ def test_batch_end_to_end_and_resume(spark, tmp_path):
     assert (tmp_path / "out/reports/summary").exists()
 
 
+def test_low_confidence_is_upgraded_and_crops_are_prepared(spark, tmp_path):
+    page = np.full((200, 400), 255)
+    page[:, :200] = 30
+    page[40:160:8, 20:180] = 220
+    page[60:62, 240:360] = 0
+    # The dark half is inverted and made black and white before OCR; its answer has a low score.
+    fns = {
+        "precheck": lambda r: json.dumps({"hasText": True, "textRegions": [{"x0": 0, "y0": 0, "x1": 0.5, "y1": 1, "isHandwrite": False}, {"x0": 0.5, "y0": 0, "x1": 1, "y1": 1, "isHandwrite": False}], "summary": "s"}),
+        "ocr": lambda r: json.dumps({"lines": [{"text": f"ocr {r['region_idx']}", "score": 0.6 if r["region_idx"] == 0 else 0.95}, {"text": str(sorted(set(base64.b64decode(r["pixels"])))[:3]), "score": 0.7 if r["region_idx"] == 0 else 0.95}]}),
+        "model": lambda r: f"{r['kind']} {r['region_idx']}",
+    }
+    images = image_rows(spark, {"p": page})
+    answer = recognise_images(images, fns["precheck"], fns["ocr"], fns["model"], str(tmp_path / "work"), mode="off").first().answer
+    assert "### Text 0\nupgrade 0" in answer and "### Text 1\nocr 1" in answer
+    said = {r.region_idx: r.text for r in spark.read.parquet(str(tmp_path / "work/ocr")).collect()}
+    assert "[0, 255]" in said[0]
+
+
+def test_plain_and_scored_ocr_answers(spark):
+    rows = [("a", 0, "one\n\ntwo", None), ("a", 1, '{"lines": [{"text": "x", "score": 0.5}, {"text": "y"}]}', None), ("a", 2, '{"lines": []}', None), ("a", 3, None, "bad"), ("a", 4, "{not json", None)]
+    got = {r.region_idx: (r.text, r.confidence, r.n_lines) for r in ocr_parts(spark.createDataFrame(rows, "image_id string, region_idx int, text string, error string")).collect()}
+    assert got == {0: ("one\n\ntwo", 1.0, 2), 1: ("x\ny", 0.5, 2), 2: ("", 1.0, 0), 3: (None, 1.0, 0), 4: ("{not json", 1.0, 1)}
+
+
 def test_full_grid(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
