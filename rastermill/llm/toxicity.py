@@ -1,138 +1,195 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Features are words and five-letter pieces of words. Those that tell the labels apart are chosen
-by their chi-square over a bounded sample of labelled rows; the same rows, as TF-IDF vectors
-over the chosen features, are the examples. The index keeps, for every feature and block of
-examples, the postings and their largest weight. A query walks blocks in order of the bound that
-these give and stops once no block can still hold a nearer example, so the neighbours are exact.
-Their votes, weighted by similarity, are calibrated on the examples themselves, each left out in
-turn. A text without any chosen feature gets the rate of such texts among the examples.
-
-Sample and index are bounded by PER_CLASS and FEATURES, whatever the size of the corpus.
+Terms are all words of a text and, for longer words, their first letters (a stem by truncation).
+The weight of a term is (1 + log tf) * idf * relevance; relevance is 0.1 for a term that says
+nothing about the label and grows with its log odds between the labels, drawn in by how well
+these are supported (phi squared). No term is left out: every text that shares a word with an
+example has neighbours.
+
+The index holds, for every term, the blocks of examples it stands in, each with its postings and
+their largest weight (terms that stand in very many examples have a whole column of weights
+instead, which a batch of queries reads in one matrix product). These give every block an upper
+bound for a query; blocks are read in falling order of the bound until none can still hold a
+nearer example, so the neighbours are exact.
+Their votes, weighted by squared similarity and by how many labelled rows an example stands for,
+are calibrated on the examples themselves, each left out in turn.
+
+The examples are a sample of at most PER_CLASS labelled rows of each class; index, broadcast and
+what the driver collects are bounded by it, whatever the size of the corpus.
 """
 
 from __future__ import annotations
 
 import re
-import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rastermill.llm.common import fold_of, saved, text_of
 
-#: Labelled rows that are sampled for each class (by least hash of the id), and features kept.
-PER_CLASS, FEATURES = 4096, 2000
-#: Examples that vote, examples in a block of the index, letters in a piece.
-NEIGHBOURS, BLOCK, PIECE = 15, 256, 5
-#: A feature must stand in this share of the positive examples.
-LEAST_SHARE = 0.004
-#: And so many times as often in positive examples as in others.
-ODDS = 10.0
-#: Least chi-square of a feature: there are very many to choose from.
-LEAST_CHI = 30.0
-MEMO = 400_000
+#: Labelled rows that are sampled for each class, by least hash of the id.
+PER_CLASS = 2048
+#: Examples that vote, examples in a block of the index, blocks that a query reads first.
+NEIGHBOURS, BLOCK, FIRST = 15, 64, 8
+#: Terms that stand in this share of the examples have a column of weights in place of postings.
+DENSE = 0.05
+#: Letters of a stem.
+STEM = 5
+#: Relevance of a term that says nothing, and the phi squared at which half of its log odds counts.
+LEAST_RELEVANCE, HALF = 0.1, 0.1
+#: Texts that are counted at once.
+CHUNK = 128
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def features_of(word: str) -> list[str]:
-    """The word itself and its pieces, with marks for its ends."""
-    marked = f"^{word}$"
-    return [word, *{marked[i : i + PIECE] for i in range(len(marked) - PIECE + 1)}]
+def terms_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, 64-bit hash of a term, how often), sorted by text, then hash."""
+    words = [WORD.findall(t.lower()) for t in texts]
+    flat = [w for ws in words for w in ws]
+    if not flat:
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
+    codes, uniques = pd.factorize(np.array(flat, dtype=object))
+    owner = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)))
+    pairs, counts = np.unique(owner * len(uniques) + codes, return_counts=True)
+    owner, codes = pairs // len(uniques), pairs % len(uniques)
+    word = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in uniques), np.uint64, len(uniques))
+    stem = np.fromiter((xxhash.xxh3_64_intdigest(w[:STEM] + "*") if len(w) > STEM else 0 for w in uniques), np.uint64, len(uniques))
+    long = stem[codes] > 0
+    owner, term, counts = np.concatenate([owner, owner[long]]), np.concatenate([word[codes], stem[codes[long]]]), np.concatenate([counts, counts[long]])
+    order = np.lexsort((term, owner))
+    owner, term, counts = owner[order], term[order], counts[order]
+    new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (term[1:] != term[:-1])]))
+    return owner[new], term[new], np.add.reduceat(counts, new)
+
+
+def _spans(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All positions of the ranges [first, last), and the range that each belongs to."""
+    n = last - first
+    of = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(of)) + (first - np.cumsum(n) + n)[of], of
 
 
 class Index:
-    """Examples as unit vectors over chosen features, by feature and block."""
-
-    def __init__(self, ids: list, labels: np.ndarray, weights: np.ndarray, vocabulary: dict[str, int], idf: np.ndarray, rows: list[list[tuple[int, int]]]):
-        self.ids, self.labels, self.weights, self.vocabulary, self.idf = ids, labels, weights, vocabulary, idf
-        self.n_blocks = max(1, -(-len(ids) // BLOCK))
-        self.bound = np.zeros((len(vocabulary), self.n_blocks), np.float64)
-        lists: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        self.vectors = [self.unit(dict(r)) for r in rows]
-        for e, (terms, values) in enumerate(self.vectors):
-            b = e // BLOCK
-            for t, v in zip(terms.tolist(), values.tolist(), strict=True):
-                lists.setdefault((t, b), []).append((e, v))
-                self.bound[t, b] = max(self.bound[t, b], v)
-        self.postings = {k: (np.array([e for e, _ in p]), np.array([v for _, v in p])) for k, p in lists.items()}
-        empty = np.array([not len(t) for t, _ in self.vectors], bool)
-        w = weights[empty]
-        self.empty_rate = float((w @ labels[empty] + 0.05) / (w.sum() + 1)) if len(ids) else 0.0
-        self.curve = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
-        self.memo: dict[str, tuple[int, ...]] = {}
-
-    def unit(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        terms = np.array(sorted(counts), np.int64)
-        values = (1 + np.log(np.array([counts[t] for t in terms.tolist()], np.float64))) * self.idf[terms] if len(terms) else np.empty(0)
-        norm = np.sqrt(values @ values)
-        return terms, values / norm if norm else values
-
-    def count(self, text: str) -> dict[int, int]:
-        """Chosen feature -> how often the text has it."""
-        out: dict[int, int] = {}
-        memo = self.memo
-        for word, n in Counter(WORD.findall(text.lower())).items():
-            found = memo.get(word)
-            if found is None:
-                found = tuple(self.vocabulary[f] for f in features_of(word) if f in self.vocabulary)
-                if len(memo) >= MEMO:
-                    memo.clear()
-                memo[word] = found
-            for t in found:
-                out[t] = out.get(t, 0) + n
-        return out
-
-    def nearest(self, terms: np.ndarray, values: np.ndarray, k: int = NEIGHBOURS, leave: int = -1) -> list[tuple[float, int]]:
-        """The k examples of largest cosine above 0: (cosine, example); equal ones by example number."""
-        if not len(terms):
-            return []
-        bound = values @ self.bound[terms]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) == k and bound[b] < best[-1][0] - 1e-12:
-                break
-            scores = np.zeros(BLOCK)
-            for t, v in zip(terms.tolist(), values.tolist(), strict=True):
-                if (p := self.postings.get((t, b))) is not None:
-                    scores[p[0] - b * BLOCK] += p[1] * v
-            best += [(s, b * BLOCK + i) for i, s in enumerate(scores.tolist()) if s > 0 and b * BLOCK + i != leave]
-            best.sort(key=lambda x: (-round(x[0], 12), x[1]))
-            del best[k:]
-        return best
-
-    def vote(self, near: list[tuple[float, int]]) -> float:
-        s = np.array([c for c, _ in near])
-        e = np.array([i for _, i in near])
-        w = s * s * self.weights[e]
-        return float(w @ self.labels[e] / w.sum())
-
-    def calibrate(self) -> None:
-        """Fits the rising step curve from leave-one-out votes to labels."""
-        votes, labels, weights = [], [], []
-        for e, (terms, values) in enumerate(self.vectors):
-            if near := self.nearest(terms, values, leave=e):
-                votes.append(self.vote(near))
-                labels.append(self.labels[e])
-                weights.append(self.weights[e])
-        if votes:
-            self.curve = rising(np.array(votes), np.array(labels, float), np.array(weights))
-
-    def score(self, text: str) -> tuple[float, list[tuple[float, int]]]:
-        near = self.nearest(*self.unit(self.count(text)))
-        if not near:
-            return self.empty_rate, []
-        return float(np.interp(self.vote(near), *self.curve)), near
+    """Examples as unit vectors, by term and block. Rows of `examples`: (id, n0, n1, terms, tf)."""
+
+    def __init__(self, examples: list[tuple], share: tuple[float, float]):
+        n = len(examples)
+        sizes = np.array([len(e[3]) for e in examples], np.int64)
+        n0, n1 = (np.array([e[k] for e in examples], np.float64) for k in (1, 2))
+        flat = np.concatenate([*(e[3] for e in examples), np.empty(0, np.uint64)])
+        owner = np.repeat(np.arange(n), sizes)
+        self.keys, code = np.unique(flat, return_inverse=True)
+        a, b = (np.bincount(code, c[owner], len(self.keys)) for c in (n1, n0))
+        self.weight = relevance(a, b, n1.sum(), n0.sum())
+        tf = np.concatenate([*(e[4] for e in examples), np.empty(0, np.int64)])
+        value = self._unit(owner, code, tf, n)
+        # Examples that share their commonest terms (a language, as a rule) and are equally long are neighbours
+        # in the index, which keeps the bounds tight.
+        common = np.full((n, 3), len(self.keys), np.int64)
+        ranked = np.lexsort((code, -(a + b)[code], owner))
+        rank = np.arange(len(ranked)) - (np.cumsum(sizes) - sizes)[owner[ranked]]
+        for k in range(3):
+            at = ranked[rank == k]
+            common[owner[at], k] = code[at]
+        order = np.lexsort((np.arange(n), sizes, *common.T[::-1]))
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        self.ids = [examples[i][0] for i in order]
+        weight = (n0 * share[0] + n1 * share[1])[order]
+        self.votes, self.label = weight, (n1 * share[1])[order] / np.maximum(weight, 1e-300)
+        self.size = BLOCK
+        self.n_blocks = max(1, -(-n // self.size))
+        # Columns of the terms that stand in very many examples; all others have postings by block.
+        often = np.bincount(code, minlength=len(self.keys)) >= max(self.size, DENSE * n)
+        self.column = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)
+        by = np.lexsort((place[owner], code))
+        example, value, code = place[owner][by], value[by], code[by]
+        full = often[code]
+        self.dense = np.zeros((int(often.sum()), self.n_blocks * self.size))
+        self.dense[self.column[code[full]], example[full]] = value[full]
+        self.example, self.value, code = example[~full], value[~full], code[~full]
+        block = self.example // self.size
+        new = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (block[1:] != block[:-1])])) if len(code) else np.empty(0, np.int64)
+        self.block = block[new]
+        self.most = np.maximum.reduceat(self.value, new) if len(new) else np.empty(0)
+        self.postings = np.append(new, len(code))
+        self.blocks = np.searchsorted(code[new], np.arange(len(self.keys) + 1))
+        empty = (sizes == 0)[order]
+        self.empty_rate = float((weight[empty] @ self.label[empty] + 0.05) / (weight[empty].sum() + 1)) if n else 0.0
+        self.place = place
+
+    def _unit(self, owner: np.ndarray, code: np.ndarray, tf: np.ndarray, n: int) -> np.ndarray:
+        value = (1 + np.log(np.maximum(tf, 1))) * self.weight[code]
+        return value / np.sqrt(np.bincount(owner, value * value, n))[owner]
+
+    def vectors(self, owner: np.ndarray, term: np.ndarray, tf: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text number, term number, weight) of the unit vectors of n texts over the terms that examples have."""
+        code = np.minimum(np.searchsorted(self.keys, term), max(0, len(self.keys) - 1))
+        known = self.keys[code] == term if len(self.keys) else np.zeros(len(term), bool)
+        owner, code = owner[known], code[known]
+        return owner, code, self._unit(owner, code, tf[known], n)
+
+    def nearest(self, owner: np.ndarray, code: np.ndarray, value: np.ndarray, n: int, k: int = NEIGHBOURS, leave: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each of n vectors the k examples of largest cosine above 0: (cosines, examples); equal ones by example number."""
+        column = self.column[code] if len(code) else np.empty(0, np.int32)
+        full = column >= 0
+        queries = np.zeros((n, len(self.dense)))
+        queries[owner[full], column[full]] = value[full]
+        common = queries @ self.dense
+        highest = common.reshape(n, self.n_blocks, self.size).max(axis=2)
+        owner, code, value = owner[~full], code[~full], value[~full]
+        ends = np.searchsorted(owner, np.arange(n + 1))
+        for q in range(n):
+            terms, weights, score = code[ends[q] : ends[q + 1]], value[ends[q] : ends[q + 1]], common[q]
+            entry, of = _spans(self.blocks[terms], self.blocks[terms + 1])
+            block, weight = self.block[entry], weights[of]
+            bound = highest[q] + np.bincount(block, weight * self.most[entry], self.n_blocks)
+            order = np.argsort(-bound, kind="stable")
+            cosines, found, at, step, least = np.empty(0), np.empty(0, np.int64), 0, FIRST, 0.0
+            while at < len(order) and bound[order[at]] > 0 and (len(found) < k or bound[order[at]] >= least - 1e-9):
+                now = order[at : at + step]
+                now = now[bound[now] >= least - 1e-9] if len(found) == k else now
+                chosen = np.zeros(self.n_blocks, bool)
+                chosen[now] = True
+                here = np.flatnonzero(chosen[block])
+                post, of = _spans(self.postings[entry[here]], self.postings[entry[here] + 1])
+                rare = np.bincount(self.example[post], weight[here][of] * self.value[post], len(score))
+                members = (now[:, None] * self.size + np.arange(self.size)).ravel()
+                whole = score[members] + rare[members]
+                if leave is not None:
+                    whole[members == leave[q]] = 0
+                if len(whole) > k:
+                    least = max(least, np.partition(whole, -k)[-k])
+                good = (whole > 0) & (whole >= least - 1e-9)
+                cosines, found = np.concatenate([cosines, np.round(whole[good], 12)]), np.concatenate([found, members[good]])
+                best = np.lexsort((found, -cosines))[:k]
+                cosines, found = cosines[best], found[best]
+                least = cosines[-1] if len(found) == k else 0.0
+                at, step = at + step, self.n_blocks
+            yield cosines, found
+
+    def vote(self, cosines: np.ndarray, found: np.ndarray) -> float:
+        w = cosines * cosines * self.votes[found]
+        return float(w @ self.label[found] / w.sum())
+
+
+def relevance(a: np.ndarray, b: np.ndarray, n1: float, n0: float) -> np.ndarray:
+    """idf * relevance of terms that stand in a of n1 texts of label 1 and b of n0 of label 0."""
+    c, d = n1 - a, n0 - b
+    phi2 = (a * d - b * c) ** 2 / np.maximum(1, (a + b) * (c + d)) / max(1.0, n1 * n0)
+    odds = np.abs(np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1)))
+    return np.log((n1 + n0 + 1) / (a + b)) * (LEAST_RELEVANCE + odds * phi2 / (phi2 + HALF))
 
 
 def rising(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Isotonic regression by pooling adjacent violators; block means are drawn in by one unseen case."""
     pools: list[list[float]] = []  # weight, weighted labels, weighted x
-    for i in np.argsort(x, kind="stable"):
+    for i in np.lexsort((y, x)):
         pools.append([w[i], w[i] * y[i], w[i] * x[i]])
         while len(pools) > 1 and pools[-2][1] * pools[-1][0] >= pools[-1][1] * pools[-2][0]:
             last = pools.pop()
@@ -141,140 +198,133 @@ def rising(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.
     return at, np.array([(p[1] + 0.05) / (p[0] + 0.1) for p in pools])
 
 
-def examples(docs: DataFrame, labels: DataFrame, folds: int, held_out: int) -> tuple[DataFrame, dict[int, tuple[int, int]]]:
-    """(doc_id, text, label) of the sampled training rows; class -> (rows sampled, rows there)."""
-    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold_of("doc_id", folds) != held_out)).select(
-        "doc_id", F.col("toxic").cast("int").alias("label")
-    )
-    there = {r.label: r["n"] for r in known.groupBy("label").agg(F.countDistinct("doc_id").alias("n")).collect()}
-    parts = [
-        known.where(F.col("label") == c).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(PER_CLASS) for c in (0, 1)
-    ]
-    ids = saved(parts[0].unionByName(parts[1]), "toxic-ids")
-    # At most 2 * PER_CLASS rows.
-    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(ids), "doc_id")
-    return saved(rows, "toxic-examples"), there
-
-
-def _counts(rows: DataFrame, wanted: dict[str, int] | None) -> DataFrame:
-    """feature, label, n: in how many texts each feature stands (of the wanted ones)."""
-
-    shared = rows.sparkSession.sparkContext.broadcast(wanted) if wanted is not None else None
+class Model:
+    """A broadcast index and the curve from votes to scores."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = shared.value if shared else None
-        for batch in batches:
-            seen: Counter = Counter()
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = {f for w in set(WORD.findall(text.lower())) for f in features_of(w)}
-                seen.update((f, label) for f in (found if wanted is None else found & wanted.keys()))
-            if seen:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([f for f, _ in seen]), pa.array([c for _, c in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["feature", "label", "n"]
-                )
-
-    return rows.select("text", "label").mapInArrow(run, "feature string, label int, n long").groupBy("feature", "label").agg(F.sum("n").alias("n"))
-
-
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1) -> Index:
-    """Learns from the labelled rows outside the held-out fold. Without labels of both classes all scores are the base rate."""
-    rows, there = examples(docs, labels, folds, held_out)
-    n = {r.label: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n0, n1 = n.get(0, 0), n.get(1, 0)
-    chosen: list[tuple[str, int]] = []
-    if n0 and n1:
-        frequent = _counts(rows.where("label = 1"), None).where(F.col("n") >= max(4, LEAST_SHARE * n1))
-        # At most 1 / LEAST_SHARE times the features of an average example.
-        wanted = {r.feature: r["n"] for r in frequent.collect()}
-        other = {r.feature: r["n"] for r in _counts(rows.where("label = 0"), wanted).collect()}
-
-        def chi(f: str) -> float:
-            a, b = wanted[f], other.get(f, 0)
-            c, d = n1 - a, n0 - b
-            odds = (a + 0.5) / (n1 + 1) / ((b + 0.5) / (n0 + 1))
-            return (n0 + n1) * (a * d - b * c) ** 2 / max(1, (a + b) * (c + d) * (a + c) * (b + d)) if odds >= ODDS else 0.0
-
-        ranked = sorted(((chi(f), f) for f in wanted), key=lambda x: (-x[0], x[1]))[:FEATURES]
-        chosen = [(f, wanted[f] + other.get(f, 0)) for c, f in ranked if c > LEAST_CHI]
-    vocabulary = {f: i for i, (f, _) in enumerate(chosen)}
-    idf = np.array([np.log((1 + n0 + n1) / df) for _, df in chosen])
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Index([], np.empty(0), np.empty(0), shared.value, np.empty(len(shared.value)), [])
-        for batch in batches:
-            found = [counter.count(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([list(f) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))],
-                names=["doc_id", "label", "terms", "tf"],
-            )
+    def __init__(self, index: Index, shared, curve: tuple[np.ndarray, np.ndarray]):
+        self.index, self.shared, self.curve = index, shared, curve
 
-    vectors = rows.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, terms array<int>, tf array<int>")
-    # The bounded sample. Examples of the same strongest features share a block, which keeps its bounds tight.
-    heaviest = lambda r: sorted(r.terms, key=lambda t: (-idf[t], t))[:3]
-    found = sorted(vectors.collect(), key=lambda r: (not r.terms, heaviest(r), r.doc_id, r.label))
-    share = {c: there.get(c, 0) / max(1, n.get(c, 0)) for c in (0, 1)}
-    weights = np.array([share[r.label] for r in found]) / max(1.0, min((s for s in share.values() if s), default=1.0))
-    index = Index(
-        [r.doc_id for r in found], np.array([r.label for r in found], np.float64), weights, vocabulary, idf, [list(zip(r.terms, r.tf, strict=True)) for r in found]
-    )
-    index.calibrate()
-    return index
 
+def examples(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, folds: int, held_out: int) -> tuple[DataFrame, tuple[float, float]]:
+    """(id, text, n0, n1) of the sampled training texts, and how many labelled rows a sampled one of each class stands for.
 
-_indexes: dict[str, Index] = {}
+    Equal texts are one example, named by their smallest id. Of an id that stands for several texts the smallest counts.
+    """
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col(id_col).isNotNull() & (fold_of(id_col, folds) != held_out))
+    known = known.select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("label")).distinct()
+    there = {r.label: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    parts = [known.where(F.col("label") == c).orderBy(F.xxhash64("id"), "id").limit(PER_CLASS) for c in (0, 1)]
+    ids = saved(parts[0].unionByName(parts[1]), "toxic-ids")
+    # At most 2 * PER_CLASS rows are broadcast, and as many come out.
+    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(F.broadcast(ids), "id")
+    rows = rows.groupBy("id", "label").agg(F.min("text").alias("text"))
+    sampled = {r.label: r["n"] for r in ids.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = tuple(there.get(c, 0) / max(1, sampled.get(c, 0)) for c in (0, 1))
+    merged = rows.groupBy("text").agg(F.min("id").alias("id"), F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1"))
+    return merged.select("id", "text", "n0", "n1"), share
 
 
-def _on_worker(name: str, shared) -> Index:
-    """The broadcast index, unpacked once in a worker's life."""
-    if name not in _indexes:
-        _indexes.clear()
-        _indexes[name] = shared.value
-    return _indexes[name]
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Learns from the labelled rows outside the held-out fold. labels: id_col, toxic.
 
+    With labels of one class alone every score is near that class; without any it is 0. Labels that
+    are null, neither 0 nor 1, or of no document, count nothing. Ids may be of any type.
+    """
+    sample, share = examples(docs, labels, id_col, text_col, folds, held_out)
+    kind = docs.schema[id_col].dataType.simpleString()
 
-def toxicity_scores(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(at, CHUNK)
+                texts = part.column(1).to_pylist()
+                owner, term, tf = terms_of(texts)
+                ends = np.searchsorted(owner, np.arange(len(texts) + 1))
+                cut = lambda a, kind: pa.array([a[i:j].astype(kind).tobytes() for i, j in zip(ends, ends[1:], strict=False)], pa.binary())  # noqa: E731, B023
+                order = pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), order, cut(term, "<u8"), cut(tf, "<u4")], names=["id", "n0", "n1", "digest", "terms", "tf"])
+
+    vectors = saved(sample.mapInArrow(count, f"id {kind}, n0 long, n1 long, digest binary, terms binary, tf binary"), "toxic-vectors")
+    # The bounded sample, in an order that depends on the texts alone.
+    rows = sorted(vectors.collect(), key=lambda r: bytes(r.digest))
+    index = Index([(r.id, r.n0, r.n1, np.frombuffer(r.terms, "<u8"), np.frombuffer(r.tf, "<u4").astype(np.int64)) for r in rows], share)
+    place = {bytes(r.digest): int(p) for r, p in zip(rows, index.place, strict=True)}
+    shared, places = docs.sparkSession.sparkContext.broadcast(index), docs.sparkSession.sparkContext.broadcast(place)
+
+    def leave_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, where = shared.value, places.value
+        for batch in batches:
+            out = []
+            for digest, terms, tf in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                term, tf = np.frombuffer(terms, "<u8"), np.frombuffer(tf, "<u4")
+                e = where[digest]
+                near = next(model.nearest(*model.vectors(np.zeros(len(term), np.int64), term, tf, 1), 1, leave=[e]))
+                if len(near[0]):
+                    out.append((e, model.vote(*near)))
+            yield pa.RecordBatch.from_arrays([pa.array([e for e, _ in out], pa.int64()), pa.array([v for _, v in out], pa.float64())], names=["example", "vote"])
+
+    parallel = docs.sparkSession.sparkContext.defaultParallelism
+    votes = sorted(tuple(r) for r in vectors.select("digest", "terms", "tf").repartition(parallel).mapInArrow(leave_out, "example long, vote double").collect())
+    if not votes:
+        return Model(index, shared, (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
+    e = np.array([i for i, _ in votes])
+    return Model(index, shared, rising(np.array([v for _, v in votes]), index.label[e], index.votes[e]))
+
+
+def _scorer(model: Model):
+    """A function from texts to (score, cosines, examples) of each; it runs in tasks."""
+    shared, curve = model.shared, model.curve
+
+    def score(texts: list[str]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        index = shared.value
+        for at in range(0, len(texts), CHUNK):
+            part = texts[at : at + CHUNK]
+            for near in index.nearest(*index.vectors(*terms_of(part), len(part)), len(part)):
+                yield (float(np.interp(index.vote(*near), *curve)) if len(near[0]) else index.empty_rate), *near
+
+    return score
+
+
+def toxicity_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """One row per document: id, score, predicted, evidence (ids of the examples that voted), similarity.
 
-    Null and empty texts have no features and get the base rate of such texts. Repeated rows give
-    repeated rows, an empty table none; other columns are ignored. Scores use the text alone.
+    Scores use the text alone. A text without any word of an example, null and empty ones too, gets
+    the rate of empty texts among the examples. Texts of any length are read whole. Examples of equal
+    cosine come in an order of their texts. Repeated rows give repeated rows, an empty table none;
+    other columns, also those named like results, are ignored.
     """
-    (name, shared), kind = _share(docs, index), docs.schema[id_col].dataType.simpleString()
+    score, ids, kind = _scorer(model), model.shared, docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _on_worker(name, shared)
         for batch in batches:
-            found = [model.score(t) for t in batch.column(1).to_pylist()]
-            scores = [min(1.0, max(0.0, s)) for s, _ in found]
+            found = list(score(batch.column(1).to_pylist()))
+            scores = np.clip(np.array([s for s, _, _ in found], np.float64), 0, 1)
+            names = ids.value.ids
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    pa.array(scores, pa.float64()),
-                    pa.array([int(s >= threshold) for s in scores], pa.int32()),
-                    pa.array([[model.ids[e] for _, e in near] for _, near in found], pa.list_(pa.int64())),
-                    pa.array([[s for s, _ in near] for _, near in found], pa.list_(pa.float64())),
+                    pa.array(scores),
+                    pa.array((scores >= threshold).astype(np.int32)),
+                    pa.array([[names[e] for e in near] for _, _, near in found], pa.list_(batch.column(0).type)),
+                    pa.array([c.tolist() for _, c, _ in found], pa.list_(pa.float64())),
                 ],
                 names=[id_col, "score", "predicted", "evidence", "similarity"],
             )
 
     return docs.select(F.col(id_col), text_of(text_col).alias("text")).mapInArrow(
-        run, f"`{id_col}` {kind}, score double, predicted int, evidence array<long>, similarity array<double>"
+        run, f"`{id_col}` {kind}, score double, predicted int, evidence array<{kind}>, similarity array<double>"
     )
 
 
-def drop_toxic(docs: DataFrame, index: Index, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """The rows of docs that score below the threshold, with all their columns."""
-    name, shared = _share(docs, index)
+def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of docs that score below the threshold, with all their columns; odd inputs as in toxicity_scores."""
+    score = _scorer(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _on_worker(name, shared)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            yield batch.filter(pa.array([model.score(t or "")[0] < threshold for t in texts], pa.bool_()))
+            for at in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(at, CHUNK)
+                texts = [t or "" for t in part.column(part.schema.get_field_index(text_col)).to_pylist()]
+                yield part.filter(pa.array([s < threshold for s, _, _ in score(texts)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
-
-
-def _share(docs: DataFrame, index: Index):
-    index.memo = {}
-    return uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(index)

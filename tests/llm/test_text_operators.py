@@ -261,7 +261,7 @@ def _labelled(spark, n=900):
     rng = random.Random(11)
     rows = []
     for i in range(n):
-        words = _sentences(rng, 40).split()
+        words = _sentences(rng, 40).translate(str.maketrans("0123456789", "abcdefghij")).split()
         toxic = rng.random() < 0.3
         if toxic:
             words[5:5] = rng.sample(["scum", "idiotic", "idiots", "trashy"], 2)
@@ -272,35 +272,113 @@ def _labelled(spark, n=900):
 
 def test_toxicity_on_held_out_rows(spark):
     docs, labels, truth = _labelled(spark)
-    index = toxicity.fit(docs, labels)
-    got = {r.doc_id: r for r in toxicity.toxicity_scores(docs, index).collect()}
+    model = toxicity.fit(docs, labels)
+    got = {r.doc_id: r for r in toxicity.toxicity_scores(docs, model).collect()}
     held = [i for i in got if zlib.crc32(str(i).encode()) % 3 == 1]
-    assert all(zlib.crc32(str(i).encode()) % 3 != 1 for i in index.ids)
+    assert all(zlib.crc32(str(i).encode()) % 3 != 1 for i in model.index.ids)
     assert sum(got[i].predicted == truth[i] for i in held) / len(held) > 0.97 and all(0 <= r.score <= 1 for r in got.values())
-    kept = toxicity.drop_toxic(docs, index)
+    assert all(r.evidence for r in got.values())
+    kept = toxicity.drop_toxic(docs, model)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.predicted}
 
 
-def test_neighbours_are_exact(spark):
-    docs, labels, _ = _labelled(spark)
-    index = toxicity.fit(docs, labels)
-    dense = np.zeros((len(index.ids), len(index.vocabulary)))
-    for e, (t, v) in enumerate(index.vectors):
-        dense[e, t] = v
-    for r in docs.limit(60).collect():
-        terms, values = index.unit(index.count(r.text))
-        scores = dense[:, terms] @ values if len(terms) else np.zeros(len(dense))
-        want = sorted(((-round(float(s), 12), e) for e, s in enumerate(scores) if s > 0))[: toxicity.NEIGHBOURS]
-        assert [e for _, e in index.nearest(terms, values)] == [e for _, e in want]
+def _brute_scores(texts, labels):
+    """Scores as they are defined, from dense vectors of all terms: {id: (score, tie, evidence)}."""
+    train = {i: texts[i] for i in texts if i in labels and zlib.crc32(str(i).encode()) % 3 != 1}
+    groups = {}
+    for i, t in train.items():
+        groups.setdefault(t or "", []).append(i)
+
+    def terms(text):
+        words = toxicity.WORD.findall((text or "").lower())
+        return Counter(words + [w[: toxicity.STEM] + "*" for w in words if len(w) > toxicity.STEM])
+
+    names = [min(ids) for ids in groups.values()]
+    n1 = np.array([sum(labels[i] for i in ids) for ids in groups.values()], float)
+    n0 = np.array([len(ids) for ids in groups.values()]) - n1
+    bags = [terms(t) for t in groups]
+    vocabulary = {w: k for k, w in enumerate(sorted({w for b in bags for w in b}))}
+    a, b = np.zeros(len(vocabulary)), np.zeros(len(vocabulary))
+    for bag, x, y in zip(bags, n1, n0, strict=True):
+        for w in bag:
+            a[vocabulary[w]] += x
+            b[vocabulary[w]] += y
+    s1, s0 = n1.sum(), n0.sum()
+    phi2 = (a * (s0 - b) - b * (s1 - a)) ** 2 / np.maximum(1, (a + b) * (s1 + s0 - a - b)) / max(1, s1 * s0)
+    odds = abs(np.log((a + 0.5) / (s1 + 1) / ((b + 0.5) / (s0 + 1))))
+    weight = np.log((s1 + s0 + 1) / (a + b)) * (0.1 + odds * phi2 / (phi2 + 0.1))
+
+    def vector(bag):
+        v = np.zeros(len(vocabulary))
+        for w, n in bag.items():
+            if w in vocabulary:
+                v[vocabulary[w]] = (1 + math.log(n)) * weight[vocabulary[w]]
+        return v / (np.sqrt(v @ v) or 1.0)
+
+    matrix = np.array([vector(x) for x in bags])
+
+    def vote(v, leave=None):
+        c = np.round(matrix @ v, 9)
+        if leave is not None:
+            c[leave] = 0
+        best = np.sort(c)[::-1][: toxicity.NEIGHBOURS]
+        best = best[best > 0]
+        if not len(best):
+            return None, False, set()
+        e = np.flatnonzero(c >= best[-1])
+        w = c[e] ** 2 * (n0 + n1)[e]
+        return float(w @ (n1 / (n0 + n1))[e] / w.sum()), len(e) > len(best), {names[k] for k in e}
+
+    votes = [(vote(v, k)[0], k) for k, v in enumerate(matrix)]
+    votes = [(v, k) for v, k in votes if v is not None]
+    at, value = toxicity.rising(np.array([v for v, _ in votes]), np.array([(n1 / (n0 + n1))[k] for _, k in votes]), np.array([(n0 + n1)[k] for _, k in votes]))
+    out = {}
+    for i, t in texts.items():
+        v, tie, near = vote(vector(terms(t)))
+        out[i] = float(np.interp(v, at, value)), tie, near
+    return out
+
+
+@pytest.mark.parametrize(("block", "dense"), [(64, 0.05), (4, 0.3), (4, 2.0)])
+def test_toxicity_equals_definition(spark, monkeypatch, block, dense):
+    """Scores, predictions and evidence of the operator against dense vectors over all terms."""
+    monkeypatch.setattr(toxicity, "BLOCK", block)
+    monkeypatch.setattr(toxicity, "DENSE", dense)
+    docs, labels, truth = _labelled(spark, 300)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    want = _brute_scores(texts, truth)
+    model = toxicity.fit(docs, labels)
+    compared = 0
+    for near, (i, t) in zip(model.index.nearest(*model.index.vectors(*toxicity.terms_of(list(texts.values())), len(texts)), len(texts)), texts.items(), strict=True):
+        score = float(np.interp(model.index.vote(*near), *model.curve))
+        if not want[i][1]:
+            compared += 1
+            assert abs(score - want[i][0]) < 1e-6 and {model.index.ids[e] for e in near[1]} == want[i][2], t
+    assert compared > 250
+    if block == 64:
+        for r in toxicity.toxicity_scores(docs, model).collect():
+            score, tie, near = want[r.doc_id]
+            assert tie or abs(r.score - score) < 1e-6 and set(r.evidence) == near and (abs(score - 0.7) < 1e-6 or r.predicted == (score >= 0.7))
 
 
 def test_toxicity_odd_tables(spark, docs):
     df = docs(["a", None, "", "b " * 30_000])
     none = spark.createDataFrame([(0, None), (None, 1), (77, 1)], "doc_id long, toxic int")
-    index = toxicity.fit(df, none)
-    assert [r.predicted for r in toxicity.toxicity_scores(df, index).collect()] == [0] * 4
-    assert toxicity.toxicity_scores(df.limit(0), index).count() == 0
-    assert toxicity.fit(df.limit(0), none.limit(0)).ids == []
+    model = toxicity.fit(df, none)
+    assert [r.predicted for r in toxicity.toxicity_scores(df, model).collect()] == [0] * 4
+    assert toxicity.toxicity_scores(df.limit(0), model).count() == 0
+    assert toxicity.fit(df.limit(0), none.limit(0)).index.ids == []
+
+
+def test_toxicity_ids_of_any_type_and_repeated_rows(spark):
+    docs, labels, _ = _labelled(spark, 200)
+    named = docs.select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "text")
+    known = labels.select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "toxic")
+    once = toxicity.fit(named, known)
+    many = toxicity.fit(named.unionByName(named).unionByName(named.select("doc_id", F.concat("text", F.lit(" zzz")).alias("text"))), known)
+    assert once.index.ids == many.index.ids and all(i.startswith("d") for i in once.index.ids)
+    got = toxicity.toxicity_scores(named.unionByName(named), once)
+    assert got.count() == 400 and got.schema["evidence"].dataType.simpleString() == "array<string>"
 
 
 # -- decontamination ------------------------------------------------------------------------------
