@@ -2,7 +2,10 @@
 
 The search walks the characters of a text once. Every position keeps its best predecessor; only
 the window that pieces can still reach back into is held. Whenever the paths of all positions in
-that window run through one boundary, the pieces up to it are committed and forgotten.
+that window run through one boundary, the pieces up to it are committed and forgotten. Where the
+vocabulary has no piece that spans a boundary (before a space mark, around line breaks), all paths
+meet there whatever follows: the search commits there at once, and the ids of short stretches
+between two such boundaries are remembered.
 
 Unigram models rank paths by the sum of piece scores. In BPE models the scores are merge ranks,
 and a path is admissible if merging each two neighbouring pieces anew gives just these two; every
@@ -13,7 +16,7 @@ become byte pieces.
 
 from __future__ import annotations
 
-import math
+import gc
 import os
 import re
 from collections.abc import Iterator
@@ -28,10 +31,12 @@ from rastermill.llm.common import text_of
 SPACE = "▁"
 #: Default place of the model file; a parameter of every operator here.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Segments whose ids a worker remembers, and pairs of pieces; both are emptied when full.
-MEMO = 400_000
-#: Beginnings of segments of these lengths are remembered with the last piece at each position.
-HEADS = (12, 9, 7, 5)
+#: Stretches whose ids a worker remembers: so many of late, and so many from before.
+MEMO = 200_000
+#: Beginnings of these lengths whose pieces a worker remembers, and how many of them.
+HEADS, N_HEADS = (8, 5), 100_000
+#: Pairs of pieces that a worker remembers; it forgets them all when full.
+PAIRS = 300_000
 
 
 class Pieces:
@@ -44,12 +49,13 @@ class Pieces:
         self.pairs: dict[str, dict[str, bool]] = {}
         self.n_pairs = 0
         self.heads: dict[str, tuple[str, ...]] = {}
+        self.one = {p: p for p in scores}  # one object for all copies of a piece
         self.raw = Raw(self)
-        # Lengths of the pieces that end with two characters, longest first.
+        # Lengths of the pieces that end with three characters, longest first; pieces of two are looked up themselves.
         ends: dict[str, set[int]] = {}
         for piece in scores:
-            if len(piece) > 1:
-                ends.setdefault(piece[-2:], set()).add(len(piece))
+            if len(piece) > 2:
+                ends.setdefault(piece[-3:], set()).add(len(piece))
         self.endings = {e: tuple(sorted(n, reverse=True)) for e, n in ends.items()}
         # No piece holds a space mark after another character, or a line break: paths meet there.
         self.word = not any(SPACE in p.lstrip(SPACE) for p in scores)
@@ -92,7 +98,7 @@ class Pieces:
         try:
             return self.pairs[left][right]
         except KeyError:
-            if self.n_pairs >= MEMO:
+            if self.n_pairs >= PAIRS:
                 self.pairs.clear()
                 self.n_pairs = 0
             self.n_pairs += 1
@@ -112,7 +118,7 @@ class Raw(dict):
         self.of = pieces.ids_of
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MEMO:
+        if len(self) >= PAIRS:
             self.clear()
         self[piece] = ids = np.array(self.of(piece), "<i4").tobytes()
         return ids
@@ -147,39 +153,57 @@ class StreamingViterbi:
 
     def extend(self) -> None:
         """Finds the best path to every position that has none yet."""
-        p, text, last, score = self.p, self.text, self.last, self.score
-        known, endings, none, bpe = p.scores, p.endings, (), p.bpe
-        heads = p.heads if bpe and last == [""] else None
-        if heads is not None:  # words share their beginnings: start from the longest one that is known
-            if len(heads) >= MEMO:
-                heads.clear()
+        if self.p.bpe:
+            self._extend_merges()
+        else:
+            self._extend_scores()
+
+    def _extend_merges(self) -> None:
+        """The longest admissible piece that ends at each position: every prefix has one admissible path."""
+        text, last, adjoin = self.text, self.last, self.p.adjoin
+        known, endings, pairs, none = self.p.scores, self.p.endings, self.p.pairs, ()
+        one, heads = self.p.one, self.p.heads if last == [""] else None
+        if heads is not None:  # words share their beginnings
             for n in HEADS:
-                if (begun := heads.get(text[:n])) and n <= len(text):
+                if n <= len(text) and (begun := heads.get(text[:n])):
                     last += begun
                     break
         for end in range(len(last), len(text) + 1):
-            best, top = "", -math.inf
-            for n in endings.get(text[end - 2 : end], none) if end > 1 else none:
-                if n > end:
-                    continue
-                piece = text[end - n : end]
-                if piece in known:
-                    if bpe:
+            for n in endings.get(text[end - 3 : end], none) if end > 2 else none:
+                if n <= end:
+                    piece = text[end - n : end]
+                    if piece in known:
                         before = last[end - n]
-                        if not before or p.adjoin(before, piece):
-                            best = piece
+                        if not before:
                             break
-                    elif (s := score[end - n] + known[piece][1]) > top:
-                        best, top = piece, s
-            if not bpe:
-                single = text[end - 1 : end]
-                s = score[end - 1] + (known[single][1] if single in known else p.floor)
-                best, top = (single, s) if s > top else (best, top)
-                score.append(top)
-            last.append(best or text[end - 1 : end])
-            if end in HEADS and heads is not None:
+                        try:
+                            fits = pairs[before][piece]
+                        except KeyError:
+                            fits = adjoin(before, piece)
+                        if fits:
+                            break
+            else:
+                piece = text[end - 2 : end] if end > 1 else ""
+                if piece not in known or last[end - 2] and not adjoin(last[end - 2], piece):
+                    piece = text[end - 1 : end]
+            last.append(one.get(piece, piece))
+            if heads is not None and end in HEADS:
+                if len(heads) >= N_HEADS:
+                    heads.clear()
                 heads[text[:end]] = tuple(last[1:])
 
+    def _extend_scores(self) -> None:
+        text, last, score, known, endings, none = self.text, self.last, self.score, self.p.scores, self.p.endings, ()
+        for end in range(len(last), len(text) + 1):
+            best = text[end - 1 : end]
+            top = score[end - 1] + (known[best][1] if best in known else self.p.floor)
+            for n in (*(endings.get(text[end - 3 : end], none) if end > 2 else none), 2):
+                piece = text[end - n : end] if n <= end else ""
+                if piece in known and (s := score[end - n] + known[piece][1]) >= top:
+                    best, top = piece, s
+            score.append(top)
+            last.append(best)
+
     def path(self, at: int) -> list[str]:
         out, last = [], self.last
         while at:
@@ -214,15 +238,19 @@ class Encoder(dict):
 
     def __init__(self, pieces: Pieces):
         self.p = pieces
+        self.before: dict[str, bytes] = {}
         self.search = StreamingViterbi(pieces)
         line, stop = ("\n+|", "\n") if pieces.line else ("", "")
         self.cut = re.compile(f"{line}{SPACE}+[^{SPACE}{stop}]*|[^{SPACE}{stop}]+", re.S) if pieces.word else None
 
     def __missing__(self, segment: str) -> bytes:
-        found = self.search.push(segment) + self.search.finish()
-        ids = b"".join([self.p.raw[piece] for piece in found])
+        ids = self.before.get(segment)
+        if ids is None:
+            found = self.search.push(segment) + self.search.finish()
+            ids = b"".join([self.p.raw[piece] for piece in found])
         if len(segment) <= 64:
             if len(self) >= MEMO:
+                self.before = dict(self)
                 self.clear()
             self[segment] = ids
         return ids
@@ -266,9 +294,11 @@ def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = part.column(1).to_pylist()
+                gc.disable()  # nothing here is cyclic, and the collector would walk all that is remembered
                 found = [enc.encode(t) for t in texts]
-                ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
                 same = [enc.decode(i) == t for i, t in zip(found, texts, strict=True)]
+                gc.enable()
+                ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
                 flat = pa.array(np.concatenate(found) if found else np.empty(0, "<i4"), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), flat), pa.array(same, pa.bool_())],
