@@ -23,17 +23,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pages whose texts fill the generated layouts, and layouts.
-SAMPLE, LAYOUTS = 64, 800
-#: Longer pages are not drawn for the sample.
-LONGEST = 200_000
+#: Pages whose texts fill the generated layouts, blocks of a page that are taken, characters of a block, and layouts.
+SAMPLE, TAKEN, CHARS, LAYOUTS = 64, 40, 2000, 800
+#: Pages, and nodes, that are scored at once.
+PAGES, NODES = 128, 20_000
 
 # Elements by role.
 BLOCKS = frozenset(
-    "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html ins legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
+    "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html ins legend li main menu nav noscript ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg iframe textarea title select button object canvas audio video math head".split())
+# What they hold is no markup: without an end tag it is all that follows.
+RAW = frozenset("script style textarea title".split())
+# What they hold is no text of the page; without an end tag of their own only the tag is left out.
+FOREIGN = frozenset("template svg iframe select button canvas audio video".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 # What tokens of class, id and role speak of.
 TOKENS = {
@@ -61,30 +64,32 @@ for _i, _ws in enumerate(TOKENS.values()):
         _TOKEN.setdefault(_w, []).append(_i)
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-label|data-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+_ATTR = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-label|data-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-_ends: dict[str, re.Pattern] = {}
-
-
-def _end(name: str) -> re.Pattern:
-    if name not in _ends:
-        _ends[name] = re.compile(f"</{name}|<body" if name == "head" else f"</{name}", re.I)
-    return _ends[name]
+_ENDS = {name: re.compile(f"</{name}(?![a-z0-9-])", re.I) for name in RAW} | {"head": re.compile("</head|<body", re.I)}
+_NEXT = {name: re.compile(f"<(/?){name}(?![a-z0-9-])", re.I) for name in FOREIGN}
 
 
 class Page:
-    """Nodes in page order (parents first): block elements and, as leaves, runs of text."""
+    """Nodes in page order (parents first): block elements and, as leaves, runs of text.
+
+    The content of RAW and FOREIGN elements and of the head is left out. `labelled` reads the labels
+    that generated layouts carry; in pages that are served such attributes mean nothing.
+    """
 
     __slots__ = ("tags", "parents", "depths", "tokens", "labels", "texts", "links", "inline")
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, labelled: bool = False):
         self.tags, self.parents, self.depths, self.tokens, self.labels = ["html"], [-1], [0], [()], [-1]
         self.texts, self.links, self.inline = [""], [0], [0]
         stack: list[tuple[str, int]] = [("html", 0)]  # open elements; inline ones have their block's number
+        blocks = [0]  # places of the open block elements in the stack
+        open_: dict[str, int] = {"html": 1}  # how many of each are open
         run: list[str] = []
         linked = tags = at = 0
+        headed = False
 
         def end_run() -> None:
             nonlocal run, linked, tags
@@ -94,59 +99,76 @@ class Page:
                 self.texts[-1], self.links[-1], self.inline[-1] = text, linked, tags
             run, linked, tags = [], 0, 0
 
+        def cut(depth: int) -> None:
+            for tag, _ in stack[depth:]:
+                open_[tag] -= 1
+            del stack[depth:]
+            while blocks[-1] >= depth:
+                blocks.pop()
+
         for m in iter(lambda: _TAG.search(source, at), None):
             if m.start() > at:
                 piece = html.unescape(source[at : m.start()])
                 run.append(piece)
-                if any(t == "a" for t, _ in stack):
+                if open_.get("a"):
                     linked += len(piece)
             at = m.end()
             name = (m[2] or "").lower()
             if not name:
                 continue
             if m[1]:
-                depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
                 if name in BLOCKS:
                     end_run()
-                if depth:
-                    del stack[depth:]
+                if open_.get(name) and name != "html":
+                    cut(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name))
                 continue
-            if name in RAW:
+            if name in RAW or name == "head" and not headed:
                 if m[3].endswith("/"):
                     continue
-                # An unclosed head ends where the body begins; anything else unclosed takes all that follows.
-                end = _end(name).search(source, at)
+                # An unclosed head ends where the body begins.
+                end = _ENDS[name].search(source, at)
+                headed = headed or name == "head"
                 at = end.start() if end else at if name == "head" else len(source)
                 run.append(" ")
                 continue
+            if name in FOREIGN:
+                run.append(" ")
+                end = None if m[3].endswith("/") else _NEXT[name].search(source, at)
+                at = end.start() if end and end[1] else at
+                continue
             if name in BLOCKS:
                 end_run()
-                self.close(stack, name)
-                if name in ("html", "body") and any(t == name for t, _ in stack):
+                if (depth := self.implied(stack, blocks, name)) is not None:
+                    cut(depth)
+                if name in ("html", "body") and open_.get(name):
                     continue
                 if name not in VOID:
-                    tokens, label = _tokens(m[3])
+                    tokens, label = _tokens(m[3], labelled)
                     self.add(name, stack[-1][1], tokens, label)
+                    blocks.append(len(stack))
                     stack.append((name, len(self.tags) - 1))
+                    open_[name] = open_.get(name, 0) + 1
             elif name in VOID:
                 run.append(" ")
             else:
                 tags += 1
                 if not m[3].endswith("/"):
                     stack.append((name, stack[-1][1]))
+                    open_[name] = open_.get(name, 0) + 1
         if at < len(source):
             run.append(html.unescape(source[at:]))
         end_run()
 
-    def close(self, stack: list[tuple[str, int]], name: str) -> None:
-        """Ends what the start of a block element implies to have ended."""
-        for i in range(len(stack) - 1, 0, -1):
+    def implied(self, stack: list[tuple[str, int]], blocks: list[int], name: str) -> int | None:
+        """From where on the start of a block element implies open ones to have ended."""
+        for k in range(len(blocks) - 1, 0, -1):
+            i = blocks[k]
             tag = stack[i][0]
             if tag == "p" or tag in CLOSES.get(name, ()):
-                del stack[i:]
-                return
-            if tag in BLOCKS and not (tag in ("tbody", "thead") and name == "tr"):
-                return
+                return i
+            if not (tag in ("tbody", "thead") and name == "tr"):
+                return None
+        return None
 
     def add(self, tag: str, parent: int, tokens: tuple[int, ...], label: int) -> None:
         self.tags.append(tag)
@@ -159,13 +181,13 @@ class Page:
         self.inline.append(0)
 
 
-def _tokens(attributes: str) -> tuple[tuple[int, ...], int]:
+def _tokens(attributes: str, labelled: bool) -> tuple[tuple[int, ...], int]:
     found, label = set(), -1
     if "=" in attributes:
         for name, value in _ATTR.findall(attributes):
             value = value.strip("\"'")
-            if name == "data-label":
-                label = int(value)
+            if name.lower() == "data-label":
+                label = int(value) if labelled else label
                 continue
             for word in _WORD.findall(value):
                 found.update(_TOKEN.get(word.lower(), ()))
@@ -396,22 +418,44 @@ def labels_of(page: Page) -> np.ndarray:
 
 def train(texts: list[str], layouts: int = LAYOUTS) -> Boosted:
     made = Layouts(texts)
-    pages = [Page(made.page()) for _ in range(layouts)]
+    pages = [Page(made.page(), labelled=True) for _ in range(layouts)]
     return Boosted().fit(np.concatenate([features(p) for p in pages]), np.concatenate([labels_of(p) for p in pages]).astype(float))
 
 
 def sample_texts(pages: DataFrame, id_col: str, html_col: str) -> list[str]:
-    """Texts of the blocks of at most SAMPLE pages (least hash of the id first)."""
-    rows = pages.where(F.length(html_col) <= LONGEST).select(F.xxhash64(id_col).alias("h"), F.col(html_col).alias("html"))
-    return [t for r in rows.orderBy("h", "html").limit(SAMPLE).collect() for t in Page(r.html).texts if t]
+    """Texts of the first blocks of SAMPLE pages (least hashes of the id), each of bounded length; they only fill layouts."""
+    hashed = pages.select(F.xxhash64(id_col).alias("h"), F.col(html_col).alias("html"))
+    # Only hashes are ordered; SAMPLE of them are broadcast.
+    least = hashed.select("h").distinct().orderBy("h").limit(SAMPLE)
+    rows = hashed.join(F.broadcast(least), "h").groupBy("h").agg(F.min("html").alias("html"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[t[:CHARS] for t in Page(h or "").texts if t][:TAKEN] for h in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], names=["h", "texts"])
+
+    return [t for r in sorted(rows.mapInArrow(run, "h long, texts array<string>").collect()) for t in r.texts]
+
+
+def _parts(sources: list[str]) -> Iterator[list[Page]]:
+    """The parsed pages in parts of bounded size."""
+    part, nodes = [], 0
+    for source in sources:
+        page = Page(source)
+        part.append(page)
+        nodes += len(page.tags)
+        if len(part) >= PAGES or nodes >= NODES:
+            yield part
+            part, nodes = [], 0
+    if part:
+        yield part
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """One row per page: all columns but html_col, then text, n_chars and n_blocks.
 
     Null or empty pages give an empty text, repeated rows repeated rows, an empty table no rows.
-    Columns named text, n_chars or n_blocks are replaced. Pages of any length are extracted whole;
-    only the sample that fills the training layouts leaves out pages above LONGEST characters.
+    Columns named text, n_chars or n_blocks are replaced. Pages of any length and nesting are extracted whole, in time linear in their length.
     """
     model = pages.sparkSession.sparkContext.broadcast(train(sample_texts(pages, id_col, html_col)))
     added = ("text", "n_chars", "n_blocks")
@@ -422,9 +466,9 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = model.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                parsed = [Page(h) for h in part.column(len(rest)).to_pylist()]
+            at = 0
+            for parsed in _parts(batch.column(len(rest)).to_pylist()):
+                part, at = batch.slice(at, len(parsed)), at + len(parsed)
                 sizes = np.cumsum([0, *(len(p.tags) for p in parsed)])
                 margins = trees.margin(np.concatenate([features(p) for p in parsed]))
                 kept = [decode(p.parents, margins[a:b]) for p, a, b in zip(parsed, sizes, sizes[1:], strict=False)]

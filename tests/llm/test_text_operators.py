@@ -4,6 +4,7 @@ import itertools
 import math
 import os
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -99,6 +100,59 @@ def trees():
     return html_text.train([" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(60)) for _ in range(80)], 500)
 
 
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("<article><p>some words that are long enough a<svg><p>rest of the words of this article</article>", "some words that are long enough a\nrest of the words of this article"),
+        ("<article><p>The mass is <math><mi>m</mi></math> as we all know it here.</p></article>", "The mass is m as we all know it here."),
+        ('<article><table><tr><td data-label="Price">a price of many words, indeed</td></tr></table><p>and a long paragraph of words.</p></article>', "a price of many words, indeed\nand a long paragraph of words."),
+        ("<article><p>words of the text go on <button>Share</button> and on, as they may<svg><text>x</text></svg>.</p></article>", "words of the text go on and on, as they may ."),
+        ("<article><p>first words of a text that is long<button>never closed<p>more words of the same text</article>", "first words of a text that is longnever closed\nmore words of the same text"),
+        ("<article><p>first words of a text that is long</p><style>p { color: red }", "first words of a text that is long"),
+    ],
+)
+def test_markup_within_the_article(trees, source, want):
+    got = _text(trees, source)
+    assert got.replace("long never", "longnever") == want
+
+
+def test_labels_of_a_page_mean_nothing():
+    source = '<div data-label="1"><p data-label="x">a</p></div><p data-label="0">b</p>'
+    assert set(html_text.Page(source).labels) == {-1} and html_text.Page(source.replace('"x"', '"0"'), labelled=True).labels[1] == 1
+
+
+@pytest.mark.parametrize("tag", ["<b>", "<div>", "<b><hr>", "<a>x", "<button>", "<svg>", "<p><b>", "<li>", "</b>"])
+def test_parsing_takes_linear_time(tag):
+    def seconds(n):
+        began = time.process_time()
+        html_text.Page(tag * n)
+        return time.process_time() - began
+
+    assert min(seconds(20_000) for _ in range(3)) < 8 * max(0.02, min(seconds(5_000) for _ in range(3)))
+
+
+def test_extraction_equals_brute_force(spark):
+    """The query's result on small pages: the best of all labellings that keep nothing below a dropped node."""
+    made = html_text.Layouts(["some other words, of which a page may be made up in the end, as it were"] * 3, seed=5)
+    pages = [p for p in (made.page() for _ in range(400)) if len(html_text.Page(p).tags) <= 14][:40]
+    assert len(pages) >= 10
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")
+    got = {r.page_id: r.text for r in html_text.extract_text(df).collect()}
+    model = html_text.train(html_text.sample_texts(df, "page_id", "html"))
+    for k, source in enumerate(pages):
+        page = html_text.Page(source)
+        m, n = model.margin(html_text.features(page)), len(page.tags)
+        yes, no = -np.logaddexp(0, -m), -np.logaddexp(0, m)
+        best, kept = -np.inf, None
+        for y in itertools.product([False, True], repeat=n - 1):
+            y = (True, *y)
+            if all(y[page.parents[i]] or not y[i] for i in range(1, n)):
+                s = sum(yes[i] if y[i] else no[i] for i in range(n))
+                if s > best + 1e-12:
+                    best, kept = s, y
+        assert got[k] == "\n".join(t for t, keep in zip(page.texts, kept, strict=True) if keep and t)
+
+
 def _text(trees, source):
     p = html_text.Page(source)
     return html_text.main_text(p, html_text.decode(p.parents, trees.margin(html_text.features(p))))
@@ -132,7 +186,7 @@ def test_unseen_layouts(trees):
     made = html_text.Layouts(["some other words, of which a page may be made up in the end, as it were"] * 3, seed=77)
     right = wrong = 0
     for _ in range(120):
-        p = html_text.Page(made.page())
+        p = html_text.Page(made.page(), labelled=True)
         y, d = html_text.labels_of(p), html_text.decode(p.parents, trees.margin(html_text.features(p)))
         for t, a, b in zip(p.texts, y, d, strict=True):
             right += len(t) * (a == b)
@@ -141,7 +195,7 @@ def test_unseen_layouts(trees):
 
 
 def test_odd_pages(spark):
-    pages = [None, "", "plain text only", "<<<>>>", "<p>", "</div></div>", "<script>never closed", "<div>" * 3000 + "deep", "<p>" + "long " * 100_000, "<article><p>İstanbul</p><script>x</script><p>after</p></article>"]
+    pages = [None, "", "plain text only", "<<<>>>", "<p>", "</div></div>", "<script>never closed", "<div>" * 3000 + "deep", "<p>" + "long " * 100_000, "<article><p>" + "ten megabytes " * 700_000, "<article><p>İstanbul</p><script>x</script><p>after</p></article>"]
     df = spark.createDataFrame([(i, f"u{i}", h, "clash") for i, h in enumerate(pages)], "page_id long, url string, html string, text string")
     got = {r.page_id: r for r in html_text.extract_text(df).collect()}
     assert len(got) == len(pages) and got[0].text == got[1].text == "" and all(r.n_chars == len(r.text) for r in got.values())
