@@ -42,14 +42,15 @@ SYLLABLES = {
 # How a made-up given name ends.
 ENDINGS = {"latin": ("o", "a"), "cyrillic": ("ий", "а"), "greek": ("ος", "α")}
 
-_NAME = r"\p{Lu}(?:\p{L}*\p{Ll}|\p{Lu}+)(?:[-'’]\p{Lu}\p{L}+)?"
+_NAME = r"\p{Lu}(?:\p{L}{0,40}\p{Ll}|\p{Lu}{1,40})(?:[-'’]\p{Lu}\p{L}{1,40})?"
 _TITLE = rf"(?:{'|'.join(t for ts in TITLES.values() for t in ts)})"
 _KNOWN = rf"(?:{'|'.join(n for ns in GIVEN.values() for n in ns)})"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 
 #: Type -> pattern, in order of precedence. Each starts at a boundary, so that no text is scanned twice.
 PATTERNS = {
-    "email": r"(?<![\w.%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    # No repeated group: the engine recurses on those. At most 64 characters stand before the sign, 253 after it.
+    "email": r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9][A-Za-z0-9.-]{1,252}(?<=[A-Za-z0-9-]\.[A-Za-z]{2,24})(?![A-Za-z])",
     "key": r"(?<![\w-])(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![\w-])",
     "iban": r"(?<![\w])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\w])",
     "ip": rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\w]|\.\d)",
@@ -187,28 +188,37 @@ def surrogate(key: str) -> Column:
       ELSE CASE WHEN type LIKE 'given%' THEN {given} ELSE {surname} END END""")
 
 
+#: An entity is drawn again at most so often.
+ATTEMPTS = 64
+
+
 def distinct_surrogates(atoms: DataFrame, key: str) -> DataFrame:
     """type, canon, attempt, core for every distinct entity; no two of one kind share a core, none is a real entity.
 
-    An entity whose surrogate is taken (by one of smaller hash) or real is drawn again with the
-    next attempt, until none is left. Only those drawn again are compared anew with all others.
+    An entity whose surrogate is real or taken (by a settled one, or by one of smaller hash drawn at
+    the same time) is drawn again with the next attempt; what is settled stays. So only those drawn
+    again are compared with what is there. Without room for all (fewer possible surrogates than
+    entities) this fails after ATTEMPTS rounds.
     """
     kind = F.split("type", ":")[0]
     real = saved(atoms.where("type <> 'kept'").select("type", "canon").distinct().withColumn("kind", kind), "pii-real")
-    table = saved(real.withColumn("attempt", F.lit(0)).withColumn("core", surrogate(key)), "pii-surrogates")
-    while True:
-        names = real.select("kind", F.col("canon").alias("low")).distinct().withColumn("real", F.lit(True))
-        low = table.withColumn("low", F.lower("core"))
-        taken = low.groupBy("kind", "low").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("canon").alias("h"), "type", "canon")).alias("first"))
-        clash = taken.withColumn("as_real", F.when(F.col("kind").isin("key", "iban", "ip"), F.upper("low")).otherwise(F.col("low")))
-        clash = clash.join(names.select("kind", F.col("low").alias("as_real"), "real"), ["kind", "as_real"], "left").where("n > 1 OR real").select("kind", "low", "first", F.coalesce("real", F.lit(False)).alias("real"))
-        clash = saved(clash, "pii-clashes")
-        if clash.isEmpty():
-            return table.select("type", "canon", "attempt", "core")
-        again = low.join(clash, ["kind", "low"], "left")
-        bump = F.col("first").isNotNull() & (F.col("real") | (F.col("first.type") != F.col("type")) | (F.col("first.canon") != F.col("canon")))
-        again = again.select("type", "canon", "kind", (F.col("attempt") + F.when(bump, 1).otherwise(0)).alias("attempt"))
-        table = saved(again.withColumn("core", surrogate(key)), "pii-surrogates")
+    names = real.select("kind", F.col("canon").alias("as_real")).distinct()
+    columns = ("type", "canon", "kind", "attempt", "core", "low")
+    settled = real.withColumn("attempt", F.lit(0)).withColumn("core", F.lit("")).withColumn("low", F.lit("")).select(*columns).limit(0)
+    todo = real.withColumn("attempt", F.lit(0))
+    for _ in range(ATTEMPTS):
+        drawn = saved(todo.withColumn("core", surrogate(key)).withColumn("low", F.lower("core")).select(*columns), "pii-drawn")
+        first = drawn.groupBy("kind", "low").agg(F.min(F.struct(F.xxhash64("canon").alias("h"), "type", "canon")).alias("first"))
+        rows = drawn.withColumn("as_real", F.when(F.col("kind").isin("key", "iban", "ip"), F.col("core")).otherwise(F.col("low")))
+        rows = rows.join(first, ["kind", "low"]).join(names.withColumn("real", F.lit(True)), ["kind", "as_real"], "left")
+        rows = rows.join(settled.select("kind", "low", F.lit(True).alias("taken")), ["kind", "low"], "left")
+        good = F.col("real").isNull() & F.col("taken").isNull() & (F.col("first.type") == F.col("type")) & (F.col("first.canon") == F.col("canon"))
+        judged = saved(rows.select(*columns, good.alias("good")), "pii-judged")
+        settled = settled.unionByName(judged.where("good").select(*columns))
+        todo = judged.where("NOT good").select("type", "canon", "kind", (F.col("attempt") + 1).alias("attempt"))
+        if todo.isEmpty():
+            return settled.select("type", "canon", "attempt", "core")
+    raise ValueError("more entities of a kind than there are surrogates")
 
 
 def rendered() -> Column:
@@ -231,9 +241,11 @@ def replace_private(docs: DataFrame, key: str, id_col: str = "doc_id", text_col:
     the same set of documents; without the key they can't be traced back.
     """
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    clean = rows.where(~F.col("text").rlike(ANY)).select("id", "text", F.lit(0).alias("n_entities"))
-    hits = rows.where(F.col("text").rlike(ANY)).withColumn("found", F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))
-    hits = saved(hits.withColumn("row", F.monotonically_increasing_id()), "pii-hits")
+    # The texts are scanned once; what was found is written with them.
+    rows = rows.withColumn("found", F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).withColumn("row", F.monotonically_increasing_id())
+    rows = saved(rows, "pii-found")
+    clean = rows.where("size(found) = 0").select("id", "text", F.lit(0).alias("n_entities"))
+    hits = rows.where("size(found) > 0")
     atoms = saved(entities(hits.select("row", "found")), "pii-atoms")
     known = distinct_surrogates(atoms, key)
     parts = atoms.join(known, ["type", "canon"], "left").select("row", "pos", F.struct("part", rendered().alias("s")).alias("p"))

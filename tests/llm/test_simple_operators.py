@@ -146,3 +146,29 @@ def test_surrogates_stay_distinct(spark, docs):
     out = surrogates.replace_private(docs([f"{n} Jones" for n in names]), "k").collect()
     first = [r.text.split()[0] for r in out]
     assert len(set(first)) == len(names) and not set(first) & set(names) and len({r.text.split()[1] for r in out}) == 1
+
+
+def test_surrogates_in_very_long_texts(spark, docs):
+    """Patterns neither recurse nor run away: long runs of parts, digits, capitals and names."""
+    parts = ["x@" + "a." * 50_000, "1 " * 50_000, "Ab " * 50_000, "A" * 100_000, "x" * 200_000 + "@b.com", "+" + "12 " * 30_000, "word " * 300_000 + "jo@mail.example.com."]
+    got = {r.doc_id: r for r in surrogates.replace_private(docs(parts), "k").collect()}
+    assert len(got) == len(parts) and "jo@mail.example.com" not in got[6].text and got[6].n_entities == 1 and got[6].text.endswith(".com.")
+
+
+def test_addresses_end_where_they_do(spark, docs):
+    texts = ["(a.b@c-d.org)", "a@b.com, c@d.net.", "a@b.com-x", "a@b", "a@b.c", "a@b.com...", "see a@b.co.uk/x"]
+    got = {r.doc_id: r for r in surrogates.replace_private(docs(texts), "k").collect()}
+    assert [got[i].n_entities for i in range(7)] == [1, 2, 1, 0, 0, 1, 1]
+    assert got[0].text.endswith(".org)") and got[5].text.endswith(".com...") and got[6].text.endswith(".uk/x")
+
+
+def test_surrogates_when_few_are_left(spark, monkeypatch):
+    """Entities drawn again settle beside those that stay, and no two share one."""
+    atoms = spark.createDataFrame([("ip", f"10.0.{i // 200}.{i % 200}") for i in range(60)], "type string, canon string")
+    monkeypatch.setattr(surrogates, "surrogate", lambda key: F.concat(F.lit("10.9.0."), F.pmod(F.xxhash64("canon", "attempt"), F.lit(90)).cast("string")))
+    got = surrogates.distinct_surrogates(atoms, "k").collect()
+    assert len(got) == len({r.core for r in got}) == 60 and {r.core for r in got}.isdisjoint({r.canon for r in got}) and max(r.attempt for r in got) > 1
+    monkeypatch.setattr(surrogates, "surrogate", lambda key: F.lit("10.9.0.1"))
+    monkeypatch.setattr(surrogates, "ATTEMPTS", 3)
+    with pytest.raises(ValueError):
+        surrogates.distinct_surrogates(atoms, "k")
