@@ -61,3 +61,20 @@ def without(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     ids = saved(ids.distinct(), "ids")
     small = ids.count() * 64 <= BROADCAST_BYTES
     return rows.join(F.broadcast(ids) if small else ids, id_col, "left_anti")
+
+
+#: What a Python worker keeps from task to task, one thing at a time.
+_resident: dict = {}
+
+
+def resident(key, make):
+    """The worker's own make(), made once; what another operator left there is dropped first."""
+    if key not in _resident:
+        _resident.clear()
+        _resident[key] = make()
+    return _resident[key]
+
+
+def release() -> None:
+    """Drops what other operators left in this worker."""
+    _resident.clear()

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rastermill.llm.common import pick, saved, text_of
+from rastermill.llm.common import pick, release, saved, text_of
 
 WORDS = 5
 #: Bands and coordinates in a band: a pair of similarity 0.8 is missed once in 1400 times.
@@ -159,6 +159,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

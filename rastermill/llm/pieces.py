@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rastermill.llm.common import text_of
+from rastermill.llm.common import resident, text_of
 
 SPACE = "▁"
 #: Default place of the model file; a parameter of every operator here.
@@ -268,13 +268,9 @@ class Encoder(dict):
         return text[1:] if text[:1] == " " else text
 
 
-_loaded: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _loaded:
-        _loaded[path] = Encoder(Pieces.load(path))
-    return _loaded[path]
+    """The worker's encoder for a model file."""
+    return resident(("pieces", path), lambda: Encoder(Pieces.load(path)))
 
 
 def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:

@@ -30,14 +30,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rastermill.llm.common import fold_of, saved, text_of
+from rastermill.llm.common import fold_of, release, saved, text_of
 
 #: Labelled rows that are sampled for each class, by least hash of the id.
 PER_CLASS = 2048
 #: Examples that vote, examples in a block of the index, blocks that a query reads first.
 NEIGHBOURS, BLOCK, FIRST = 15, 64, 8
 #: Terms that stand in this share of the examples have a column of weights in place of postings.
-DENSE = 0.05
+DENSE = 0.08
 #: Letters of a stem.
 STEM = 5
 #: Relevance of a term that says nothing, and the phi squared at which half of its log odds counts.
@@ -110,15 +110,15 @@ class Index:
         by = np.lexsort((place[owner], code))
         example, value, code = place[owner][by], value[by], code[by]
         full = often[code]
-        self.dense = np.zeros((int(often.sum()), self.n_blocks * self.size))
+        self.dense = np.zeros((int(often.sum()), self.n_blocks * self.size), np.float32)
         self.dense[self.column[code[full]], example[full]] = value[full]
-        self.example, self.value, code = example[~full], value[~full], code[~full]
+        self.example, self.value, code = example[~full].astype(np.int32), value[~full].astype(np.float32), code[~full]
         block = self.example // self.size
         new = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (block[1:] != block[:-1])])) if len(code) else np.empty(0, np.int64)
-        self.block = block[new]
-        self.most = np.maximum.reduceat(self.value, new) if len(new) else np.empty(0)
-        self.postings = np.append(new, len(code))
-        self.blocks = np.searchsorted(code[new], np.arange(len(self.keys) + 1))
+        self.block = block[new].astype(np.int32)
+        self.most = np.maximum.reduceat(self.value, new) if len(new) else np.empty(0, np.float32)
+        self.postings = np.append(new, len(code)).astype(np.int32)
+        self.blocks = np.searchsorted(code[new], np.arange(len(self.keys) + 1)).astype(np.int32)
         empty = (sizes == 0)[order]
         self.empty_rate = float((weight[empty] @ self.label[empty] + 0.05) / (weight[empty].sum() + 1)) if n else 0.0
         self.place = place
@@ -135,10 +135,13 @@ class Index:
         return owner, code, self._unit(owner, code, tf[known], n)
 
     def nearest(self, owner: np.ndarray, code: np.ndarray, value: np.ndarray, n: int, k: int = NEIGHBOURS, leave: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each of n vectors the k examples of largest cosine above 0: (cosines, examples); equal ones by example number."""
+        """For each of n vectors the k examples of largest cosine above 0: (cosines, examples); equal ones by example number.
+
+        Cosines are taken to six digits.
+        """
         column = self.column[code] if len(code) else np.empty(0, np.int32)
         full = column >= 0
-        queries = np.zeros((n, len(self.dense)))
+        queries = np.zeros((n, len(self.dense)), np.float32)
         queries[owner[full], column[full]] = value[full]
         common = queries @ self.dense
         highest = common.reshape(n, self.n_blocks, self.size).max(axis=2)
@@ -151,9 +154,9 @@ class Index:
             bound = highest[q] + np.bincount(block, weight * self.most[entry], self.n_blocks)
             order = np.argsort(-bound, kind="stable")
             cosines, found, at, step, least = np.empty(0), np.empty(0, np.int64), 0, FIRST, 0.0
-            while at < len(order) and bound[order[at]] > 0 and (len(found) < k or bound[order[at]] >= least - 1e-9):
+            while at < len(order) and bound[order[at]] > 0 and (len(found) < k or bound[order[at]] >= least - 2e-6):
                 now = order[at : at + step]
-                now = now[bound[now] >= least - 1e-9] if len(found) == k else now
+                now = now[bound[now] >= least - 2e-6] if len(found) == k else now
                 chosen = np.zeros(self.n_blocks, bool)
                 chosen[now] = True
                 here = np.flatnonzero(chosen[block])
@@ -165,8 +168,8 @@ class Index:
                     whole[members == leave[q]] = 0
                 if len(whole) > k:
                     least = max(least, np.partition(whole, -k)[-k])
-                good = (whole > 0) & (whole >= least - 1e-9)
-                cosines, found = np.concatenate([cosines, np.round(whole[good], 12)]), np.concatenate([found, members[good]])
+                good = (whole > 0) & (whole >= least - 2e-6)
+                cosines, found = np.concatenate([cosines, np.round(whole[good], 6)]), np.concatenate([found, members[good]])
                 best = np.lexsort((found, -cosines))[:k]
                 cosines, found = cosines[best], found[best]
                 least = cosines[-1] if len(found) == k else 0.0
@@ -201,8 +204,12 @@ def rising(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.
 class Model:
     """A broadcast index and the curve from votes to scores."""
 
-    def __init__(self, index: Index, shared, curve: tuple[np.ndarray, np.ndarray]):
-        self.index, self.shared, self.curve = index, shared, curve
+    def __init__(self, shared, curve: tuple[np.ndarray, np.ndarray]):
+        self.shared, self.curve = shared, curve
+
+    @property
+    def index(self) -> Index:
+        return self.shared.value
 
 
 def examples(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, folds: int, held_out: int) -> tuple[DataFrame, tuple[float, float]]:
@@ -249,6 +256,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, i
     rows = sorted(vectors.collect(), key=lambda r: bytes(r.digest))
     index = Index([(r.id, r.n0, r.n1, np.frombuffer(r.terms, "<u8"), np.frombuffer(r.tf, "<u4").astype(np.int64)) for r in rows], share)
     place = {bytes(r.digest): int(p) for r, p in zip(rows, index.place, strict=True)}
+    label, weight = index.label, index.votes
     shared, places = docs.sparkSession.sparkContext.broadcast(index), docs.sparkSession.sparkContext.broadcast(place)
 
     def leave_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,12 +271,13 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, i
                     out.append((e, model.vote(*near)))
             yield pa.RecordBatch.from_arrays([pa.array([e for e, _ in out], pa.int64()), pa.array([v for _, v in out], pa.float64())], names=["example", "vote"])
 
+    del index, rows  # the driver need not keep what is broadcast
     parallel = docs.sparkSession.sparkContext.defaultParallelism
     votes = sorted(tuple(r) for r in vectors.select("digest", "terms", "tf").repartition(parallel).mapInArrow(leave_out, "example long, vote double").collect())
     if not votes:
-        return Model(index, shared, (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
+        return Model(shared, (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
     e = np.array([i for i, _ in votes])
-    return Model(index, shared, rising(np.array([v for _, v in votes]), index.label[e], index.votes[e]))
+    return Model(shared, rising(np.array([v for _, v in votes]), label[e], weight[e]))
 
 
 def _scorer(model: Model):
@@ -276,6 +285,7 @@ def _scorer(model: Model):
     shared, curve = model.shared, model.curve
 
     def score(texts: list[str]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        release()
         index = shared.value
         for at in range(0, len(texts), CHUNK):
             part = texts[at : at + CHUNK]
@@ -297,19 +307,21 @@ def toxicity_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(score(batch.column(1).to_pylist()))
-            scores = np.clip(np.array([s for s, _, _ in found], np.float64), 0, 1)
-            names = ids.value.ids
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(scores),
-                    pa.array((scores >= threshold).astype(np.int32)),
-                    pa.array([[names[e] for e in near] for _, _, near in found], pa.list_(batch.column(0).type)),
-                    pa.array([c.tolist() for _, c, _ in found], pa.list_(pa.float64())),
-                ],
-                names=[id_col, "score", "predicted", "evidence", "similarity"],
-            )
+            for at in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(at, CHUNK)
+                found = list(score(part.column(1).to_pylist()))
+                scores = np.clip(np.array([s for s, _, _ in found], np.float64), 0, 1)
+                names = ids.value.ids
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0),
+                        pa.array(scores),
+                        pa.array((scores >= threshold).astype(np.int32)),
+                        pa.array([[names[e] for e in near] for _, _, near in found], pa.list_(part.column(0).type)),
+                        pa.array([c.tolist() for _, c, _ in found], pa.list_(pa.float64())),
+                    ],
+                    names=[id_col, "score", "predicted", "evidence", "similarity"],
+                )
 
     return docs.select(F.col(id_col), text_of(text_col).alias("text")).mapInArrow(
         run, f"`{id_col}` {kind}, score double, predicted int, evidence array<{kind}>, similarity array<double>"
