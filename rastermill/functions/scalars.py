@@ -89,5 +89,14 @@ def preview_text(text: Column, longest: int = 600) -> Column:
     return F.when(F.length(body) > longest, F.concat(F.substring(body, 1, longest), F.lit("…"))).otherwise(body)
 
 
+#: Fixed value: the collation of file names.
+COLLATION = "zh_Hans_CHN"
+
+
+def by_name(column: str) -> Column:
+    """What files are ordered by."""
+    return F.collate(F.col(column), COLLATION)
+
+
 def batch_id(at: Column) -> Column:
     return F.concat(F.lit("batch-"), F.date_format(at, "yyyyMMdd-HHmmss"))

@@ -1,7 +1,7 @@
 """Planning, deduplication and state of a resumable batch over a listing of files.
 
 files: rel, size, sha, ... ; log: rel, status, ms, sha, cached, duplicate_of, error, at, seq.
-The order of files is the order of rel (byte order here; sources.images.scan_images sorts by collation).
+The order of files is that of rel in the collation of scalars.by_name, as in sources.images.scan_images.
 """
 
 from __future__ import annotations
@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rastermill.functions.scalars import human_ms, preview_text
+from rastermill.functions.lineage import cut_lineage
+from rastermill.functions.scalars import by_name, human_ms, preview_text
 
 
 def latest_per_key(log: DataFrame, key: str = "rel", order: tuple[str, ...] = ("seq",)) -> DataFrame:
@@ -27,16 +28,17 @@ def in_first(rows: DataFrame, n: int, order: list[Column]) -> DataFrame:
 def with_rank(rows: DataFrame, order: str, name: str = "ord") -> DataFrame:
     """Adds the position (from 1) of each row in the order of a unique column, without one big partition.
 
-    Rows are range-partitioned by the column; every partition counts on from the rows before it.
+    Rows are range-partitioned and sorted once, by collation, and kept so in a checkpoint: range
+    bounds are sampled anew by every plan. Each partition then counts on from the rows before it.
     """
-    spark = rows.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = rows.repartitionByRange(n, order).withColumn("_part", F.spark_partition_id())
-    sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [by_name(order), F.col(order)]
+    numbered = rows.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("_id", F.monotonically_increasing_id())
+    numbered = cut_lineage(numbered.withColumn("_part", F.shiftright("_id", 33)).withColumn("_at", F.col("_id").bitwiseAND((1 << 33) - 1) + 1).drop("_id"))
+    sizes = numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     # One row per partition.
     before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
-    inside = parts.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
-    joined = inside.join(F.broadcast(before.select("_part", F.coalesce("_before", F.lit(0)).alias("_before"))), "_part")
+    joined = numbered.join(F.broadcast(before.select("_part", F.coalesce("_before", F.lit(0)).alias("_before"))), "_part")
     return joined.withColumn(name, (F.col("_before") + F.col("_at")).cast("long")).drop("_part", "_before", "_at")
 
 
@@ -53,7 +55,7 @@ def plan_batch(files: DataFrame, log: DataFrame, resume: bool = True, limit: int
     if not limit or limit <= 0:
         return rows.withColumn("label", F.when(needs, "todo").otherwise("done"))
     # The first of those that need work: a bounded set, found by a top-n.
-    first = in_first(rows.where(needs).select("rel"), limit, [F.col("rel")]).withColumn("chosen", F.lit(True))
+    first = in_first(rows.where(needs).select("rel"), limit, [by_name("rel"), F.col("rel")]).withColumn("chosen", F.lit(True))
     rows = rows.join(first, "rel", "left")
     return rows.withColumn("label", F.when(~needs, "done").when(F.col("chosen"), "todo").otherwise("skipped")).drop("chosen")
 
@@ -71,7 +73,7 @@ def split_plan(plan: DataFrame) -> dict[str, DataFrame]:
 def dedupe_content(todo: DataFrame) -> DataFrame:
     """Adds duplicate_of: the first file (by rel) with the same sha, null for that one itself. An empty sha matches nothing."""
     sha = F.when(F.length("sha") > 0, F.col("sha"))
-    first = todo.where(F.length("sha") > 0).groupBy("sha").agg(F.min("rel").alias("first_rel"))
+    first = todo.where(F.length("sha") > 0).groupBy("sha").agg(F.min_by("rel", F.struct(by_name("rel"), "rel")).alias("first_rel"))
     rows = todo.withColumn("_sha", sha).join(first.withColumnRenamed("sha", "_sha"), "_sha", "left")
     return rows.withColumn("duplicate_of", F.when(F.col("first_rel") != F.col("rel"), F.col("first_rel"))).drop("_sha", "first_rel")
 
@@ -126,13 +128,13 @@ def batch_stats(status: DataFrame, results: DataFrame) -> DataFrame:
 def failure_digest(status: DataFrame, n: int = 10) -> DataFrame:
     """The first n failures by rel, their messages cut to 120 characters."""
     rows = status.where("status = 'failed'").select("rel", F.substring(F.coalesce("error", F.lit("unknown")), 1, 120).alias("error"))
-    return in_first(rows, n, [F.col("rel")])
+    return in_first(rows, n, [by_name("rel"), F.col("rel")])
 
 
 def answer_preview(status: DataFrame, n: int = 3, chars: int = 800) -> DataFrame:
     """The first n done rows that have an answer, cut."""
     rows = status.where("status = 'done' AND length(answer) > 0").select("rel", F.substring("answer", 1, chars).alias("answer"))
-    return in_first(rows, n, [F.col("rel")])
+    return in_first(rows, n, [by_name("rel"), F.col("rel")])
 
 
 def report_lines(status: DataFrame, results: DataFrame) -> DataFrame:

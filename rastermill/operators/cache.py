@@ -72,24 +72,46 @@ def cache_stats(cache: DataFrame) -> DataFrame:
 
 
 def cache_prune(cache: DataFrame, ttl_ms: int | None, max_bytes: int, now: Column) -> DataFrame:
-    """Adds drop to every entry: expired ones, then the oldest until at most 90 % of the cap is left.
+    """Adds expired and drop to every entry: expired ones go, then the oldest until at most 90 % of the cap is left.
 
-    An entry goes while what is left without the older ones exceeds the target. Running sums are
-    taken in two levels, by day and within a day, so that no task sees the whole cache; entries of
-    equal time go in order of key.
+    A cap of 0 or less means none. An entry goes while what is left without the older ones exceeds the
+    target; entries of equal time go in order of key, entries without a time come first and never expire.
+    Sums are taken by day, within the one day that the cut falls in by minute, and only the minute of
+    the cut is ordered entry by entry, so that no task sees more of the cache than that.
     """
-    old = (_age_ms("ts", now) > ttl_ms) if ttl_ms and ttl_ms > 0 else F.lit(False)
-    rows = cache.withColumn("expired", old).withColumn("day", F.to_date("ts"))
-    days = rows.where("NOT expired").groupBy("day").agg(F.sum("bytes").alias("day_bytes"))
-    # One row per day.
-    w = Window.orderBy("day")
-    days = days.withColumn("before_day", F.coalesce(F.sum("day_bytes").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum("day_bytes").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    live = rows.where("NOT expired").join(F.broadcast(days.select("day", "before_day", "total")), "day")
-    inside = Window.partitionBy("day").orderBy("ts", "key").rowsBetween(Window.unboundedPreceding, -1)
-    left = F.col("total") - F.col("before_day") - F.coalesce(F.sum("bytes").over(inside), F.lit(0))
-    live = live.withColumn("drop", (F.col("total") > max_bytes) & (left > F.lit(max_bytes) * 0.9))
-    columns = [*cache.columns, "expired", "drop"]
-    return live.select(columns).unionByName(rows.where("expired").withColumn("drop", F.lit(True)).select(columns))
+    old = F.coalesce(_age_ms("ts", now) > ttl_ms, F.lit(False)) if ttl_ms and ttl_ms > 0 else F.lit(False)
+    at = F.coalesce(F.col("ts").cast("timestamp"), F.lit("0001-01-01").cast("timestamp"))
+    rows = cache.withColumn("expired", old).withColumn("_at", at).withColumn("_size", F.coalesce("bytes", F.lit(0)))
+    rows = rows.withColumn("_day", F.to_date("_at")).withColumn("_minute", F.date_trunc("minute", "_at"))
+    columns = [*cache.columns, "expired"]
+    if max_bytes <= 0:
+        return rows.select(*columns, F.col("expired").alias("drop"))
+    target = F.lit(max_bytes) * 0.9
+    live = rows.where("NOT expired")
+
+    def left_after(sums: DataFrame, by: str, start: Column | None) -> DataFrame:
+        """What is left before (hi) and after (lo) each group, and the total; one row per day, or per minute of one day."""
+        w = Window.orderBy(by)
+        total = F.sum("_size").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        lo = (total if start is None else start) - F.sum("_size").over(w.rowsBetween(Window.unboundedPreceding, 0))
+        return sums.select(by, (lo + F.col("_size")).alias("hi"), lo.alias("lo"), total.alias("_total"))
+
+    days = left_after(live.groupBy("_day").agg(F.sum("_size").alias("_size")), "_day", None)
+    days = days.select("_day", "hi", "lo", (F.col("_total") > max_bytes).alias("over"))
+    cut_here = F.col("over") & (F.col("hi") > target) & (F.col("lo") <= target)
+    live = live.join(F.broadcast(days), "_day")
+    whole = live.where(~cut_here).select(*columns, (F.col("over") & (F.col("lo") > target)).alias("drop"))
+    # At most one day, and of it one minute.
+    day = live.where(cut_here).drop("lo", "over")
+    minutes = day.groupBy("_minute").agg(F.sum("_size").alias("_size"), F.max("hi").alias("_hi"))
+    minutes = left_after(minutes, "_minute", F.max("_hi").over(Window.orderBy("_minute").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).drop("_total")
+    day = day.drop("hi").join(F.broadcast(minutes), "_minute")
+    cut_minute = (F.col("hi") > target) & (F.col("lo") <= target)
+    by_minute = day.where(~cut_minute).select(*columns, (F.col("lo") > target).alias("drop"))
+    inside = Window.partitionBy("_minute").orderBy("_at", "key").rowsBetween(Window.unboundedPreceding, -1)
+    by_entry = day.where(cut_minute).select(*columns, (F.col("hi") - F.coalesce(F.sum("_size").over(inside), F.lit(0)) > target).alias("drop"))
+    gone = rows.where("expired").select(*columns, F.lit(True).alias("drop"))
+    return whole.unionByName(by_minute).unionByName(by_entry).unionByName(gone)
 
 
 def expired_paths(listing: DataFrame, now: Column, prefixes: list[str], exclude: list[str] = (), ttl_ms: int = 24 * 3600 * 1000) -> DataFrame:

@@ -7,7 +7,6 @@ but for the joins of tiles and regions with their image, on its id.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rastermill.functions.lineage import cut_lineage
 from rastermill.operators.regions import crop_size
 
 
@@ -183,14 +183,6 @@ def label_components(points: set[tuple[int, int]]) -> dict[tuple[int, int], tupl
     return label
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that the session names; a folder of its own only where it names none."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rastermill-"))
-    return df.checkpoint()
-
-
 def connected_components(cells: DataFrame, key: str = "image_id", span: int = 256) -> DataFrame:
     """key, row, col, label_row, label_col: the smallest cell of each cell's 8-connected set.
 
@@ -207,18 +199,18 @@ def connected_components(cells: DataFrame, key: str = "image_id", span: int = 25
         return out
 
     labelled = blocks.groupBy(key, "br", "bc").applyInPandas(local, f"`{key}` {kind}, row int, col int, lr int, lc int")
-    labelled = _cut(labelled)
+    labelled = cut_lineage(labelled)
     # Links between labels of neighbouring blocks, from the cells on the blocks' edges only.
     edge = labelled.where(f"row % {span} IN (0, {span - 1}) OR col % {span} IN (0, {span - 1})")
     around = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b))
     near = edge.select(key, F.explode(around).alias("o"), "row", "col", F.struct("lr", "lc").alias("p")).select(key, (F.col("row") + F.col("o.a")).alias("row"), (F.col("col") + F.col("o.b")).alias("col"), "p")
     links = near.join(edge.select(key, "row", "col", F.struct("lr", "lc").alias("q")), [key, "row", "col"]).where("p <> q").select(key, "p", "q").distinct()
-    links = _cut(links)
+    links = cut_lineage(links)
     roots = labelled.select(key, F.struct("lr", "lc").alias("p")).distinct().withColumn("root", F.col("p"))
     while True:
         best = links.join(roots.select(key, F.col("p").alias("q"), "root"), [key, "q"]).groupBy(key, "p").agg(F.min("root").alias("m"))
         new = roots.join(best, [key, "p"], "left").select(key, "p", F.least("root", F.coalesce("m", "root")).alias("root"), (F.col("m") < F.col("root")).alias("changed"))
-        new = _cut(new)
+        new = cut_lineage(new)
         roots = new.select(key, "p", "root")
         if new.where("changed").isEmpty():
             break
@@ -226,23 +218,53 @@ def connected_components(cells: DataFrame, key: str = "image_id", span: int = 25
     return out.select(key, "row", "col", F.col("root.lr").alias("label_row"), F.col("root.lc").alias("label_col"))
 
 
+def run_heights(ink: np.ndarray) -> np.ndarray:
+    """The heights of the 8-connected sets of a mask, from its runs: one object per run and pair of touching runs."""
+    edge = np.diff(np.pad(ink.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    (row, start), (_, end) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+    width = ink.shape[1] + 2
+    # Runs of the row above that end at or after the start and start at or before the end: a stretch of neighbours.
+    first = np.searchsorted(row * width + end, (row - 1) * width + start)
+    last = np.searchsorted(row * width + start, (row - 1) * width + end, side="right")
+    root = list(range(len(row)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, (a, b) in enumerate(zip(first.tolist(), last.tolist(), strict=True)):
+        for j in range(a, b):
+            x, y = sorted((find(i), find(j)))
+            root[y] = x
+    of = np.array([find(i) for i in range(len(row))], np.int64)
+    roots, of = np.unique(of, return_inverse=True)
+    low, high = np.full(len(roots), ink.shape[0]), np.zeros(len(roots), np.int64)
+    np.minimum.at(low, of, row)
+    np.maximum.at(high, of, row)
+    return high - low + 1
+
+
 def ink_features(images: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """image_id, dark_share, n_components (per 10,000 samples), mean_height, row_std of the binarised ink.
+    """image_id, dark_share, n_components, per_area, mean_height, row_std of the binarised ink.
 
-    thresholds: image_id, threshold (stats.otsu_threshold). Components and bands are taken on every second pixel.
+    thresholds: image_id, threshold (stats.otsu_threshold). Components are counted on every second
+    pixel of every second row; per_area counts them by 10,000 of these samples, mean_height is in
+    pixels. row_std is the deviation of the ink's share between at most 48 bands of the sampled rows
+    (every second column of them), which share a row where they meet within one.
     """
 
     def kernel(im) -> pd.DataFrame:
         ink = as_luma(as_rgba(im.data, im.width, im.height, im.n_channels)) < im.threshold
-        small = ink[::2, ::2]
-        label = label_components(set(zip(*(v.tolist() for v in np.nonzero(small)), strict=True)))
-        heights: dict[tuple[int, int], list[int]] = {}
-        for (y, _), root in label.items():
-            h = heights.setdefault(root, [y, y])
-            h[0], h[1] = min(h[0], y), max(h[1], y)
-        tall = [(b - a + 1) * 2 for a, b in heights.values()]
-        bands = np.array_split(ink[:, ::2], min(48, im.height))
-        return pd.DataFrame([(im.image_id, float(ink.mean()), len(tall) * 10000.0 / small.size, float(np.mean(tall)) if tall else 0.0, float(np.std([b.mean() for b in bands])))], columns=["image_id", "dark_share", "n_components", "mean_height", "row_std"])
+        # At least two rows and columns: the last ones stand in.
+        rows, columns = (np.minimum(n - 1, 2 * np.arange(max(2, -(-n // 2)))) for n in ink.shape)
+        small = ink[np.ix_(rows, columns)]
+        heights, n = run_heights(small) * 2, min(48, len(rows))
+        tall = len(rows) / n
+        bands = [small[int(y * tall) : min(len(rows), int(np.ceil((y + 1) * tall))), ::2].mean() for y in range(n)]
+        values = (im.image_id, float(ink.mean()), len(heights), len(heights) * 10000.0 / small.size, float(heights.mean()) if len(heights) else 0.0, float(np.std(bands)))
+        return pd.DataFrame([values], columns=["image_id", "dark_share", "n_components", "per_area", "mean_height", "row_std"])
 
     rows = _columns(images).join(thresholds, "image_id")
-    return rows.mapInPandas(lambda it: _each(it, kernel), f"image_id {_id(images)}, dark_share double, n_components double, mean_height double, row_std double")
+    return rows.mapInPandas(lambda it: _each(it, kernel), f"image_id {_id(images)}, dark_share double, n_components long, per_area double, mean_height double, row_std double")

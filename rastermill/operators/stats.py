@@ -99,7 +99,8 @@ def ascii_grid(cells: DataFrame) -> DataFrame:
 
 
 def handwriting_score(features: DataFrame) -> DataFrame:
-    """Adds score and is_hand (0.55 or more) from row_std, mean_height, n_components, dark_share; unreadable: 0.5, no."""
+    """Adds score and is_hand (0.55 or more) from row_std, mean_height, n_components (a count), dark_share; unreadable: 0.5, no."""
+    # The weights and limits of the four features, and the score that counts as handwriting.
     even = F.lit(1.0) - F.least(F.lit(1.0), F.col("row_std") / 0.13)
     ink = F.when(F.col("dark_share").between(0.03, 0.3), 0.8).otherwise(0.4)
     score = even * 0.35 + F.least(F.lit(1.0), F.col("mean_height") / 60) * 0.30 + F.least(F.lit(1.0), F.col("n_components") / 300) * 0.20 + ink * 0.15
@@ -113,24 +114,23 @@ def preprocess_plan(images: DataFrame, histograms: DataFrame, allow_enlarge: boo
     """Which steps prepare an image for OCR: image_id, is_dark, applied (invert, otsu or contrast, enlarge), threshold, low, high.
 
     images: image_id, width, height. Sides below 40 are left alone, and so are images of a standard
-    deviation below 12 (but for an inversion). The threshold of dark images is taken on inverted greys.
+    deviation below 12. The threshold of dark images is taken on inverted greys.
     """
     s, p = luma_stats(histograms), percentile_bounds(histograms)
     t = otsu_threshold(histograms).withColumnRenamed("threshold", "t_plain")
     ti = otsu_threshold(histograms, invert=True).withColumnRenamed("threshold", "t_dark")
     rows = images.select("image_id", "width", "height").join(s, "image_id").join(p, "image_id").join(t, "image_id").join(ti, "image_id")
-    small = F.least("width", "height") < 40
+    alone = (F.least("width", "height") < 40) | (F.col("std") < 12)
     dark = ((F.col("mean") < 110) & (F.col("bright_share") > 0.005)) | (F.lit(force_invert) & (F.col("mean") < 200))
-    flat = F.col("std") < 12
     weak = (F.col("std") < 45) | dark | ((F.col("std") < 90) & (F.col("mean") < 175))
     spread = F.col("high") - F.col("low")
     candidate = (F.col("mean") > 165) & F.col("std").between(30, 135) & (1 - F.col("bright_share")).between(0.03, 0.6)
     bigger = F.lit(allow_enlarge) & (dark | weak | candidate) & (F.greatest("width", "height") <= 1200)
-    steps = F.array_compact(F.array(F.when(dark, "invert"), F.when(~flat & weak, "otsu").when(~flat & (spread > 20) & (spread < 220), "contrast"), F.when(~flat & bigger, "enlarge")))
+    steps = F.array_compact(F.array(F.when(dark, "invert"), F.when(weak, "otsu").when((spread > 20) & (spread < 220), "contrast"), F.when(bigger, "enlarge")))
     return rows.select(
         "image_id",
-        (~small & dark).alias("is_dark"),
-        F.when(small, F.array().cast("array<string>")).otherwise(steps).alias("applied"),
+        (~alone & dark).alias("is_dark"),
+        F.when(alone, F.array().cast("array<string>")).otherwise(steps).alias("applied"),
         F.when(dark, F.col("t_dark")).otherwise(F.col("t_plain")).alias("threshold"),
         F.when(dark, 255 - F.col("high")).otherwise(F.col("low")).cast("int").alias("low"),
         F.when(dark, 255 - F.col("low")).otherwise(F.col("high")).cast("int").alias("high"),

@@ -252,13 +252,14 @@ def own_overlap(spark, d):
     return tiles.own_overlap(seen, t)
 
 
-@query("ocr_lines", """, b AS (SELECT image_id, x, x + width AS x1, y, text || (x % 10) AS text, y // 12 AS band_no FROM ocr_lines WHERE line_no = 1),
-l AS (SELECT *, lag(x1) OVER w AS before FROM b WINDOW w AS (PARTITION BY image_id, band_no ORDER BY x, x1, text)),
-n AS (SELECT *, sum(CASE WHEN before IS NULL OR x - before > 24 THEN 1 ELSE 0 END) OVER (PARTITION BY image_id, band_no ORDER BY x, x1, text ROWS UNBOUNDED PRECEDING) AS line_no FROM l)
-SELECT image_id, band_no, line_no::BIGINT AS line_no, min(x)::INTEGER AS x0, max(x1)::INTEGER AS x1, min(y)::INTEGER AS y0 FROM n GROUP BY ALL""")
+@query("ocr_lines", """, b AS (SELECT image_id, x, x + width AS x1, y, text || (x % 10) AS text, y // 12 AS band_no FROM ocr_lines),
+l AS (SELECT *, lag(x1) OVER w AS before, lag(text) OVER w AS bt FROM b WINDOW w AS (PARTITION BY image_id, band_no ORDER BY x, x1, text)),
+n AS (SELECT *, sum(CASE WHEN before IS NULL OR x - before > 24 THEN 1 ELSE 0 END) OVER (PARTITION BY image_id, band_no ORDER BY x, x1, text ROWS UNBOUNDED PRECEDING) AS line_no FROM l),
+p AS (SELECT *, CASE WHEN before IS NULL OR x - before > 24 THEN text WHEN x >= before THEN ' ' || text WHEN bt = text THEN '' WHEN right(bt, 1) = left(text, 1) THEN substr(text, 2) ELSE text END AS piece FROM n)
+SELECT image_id, band_no, line_no::BIGINT AS line_no, min(x)::INTEGER AS x0, max(x1)::INTEGER AS x1, min(y)::INTEGER AS y0, string_agg(piece, '' ORDER BY x, x1, text, piece) AS text FROM p GROUP BY ALL""")
 def stitch_rows(spark, d):
-    rows = T.ocr_lines(spark, d).where("line_no = 1").select("image_id", F.col("x").alias("x0"), (F.col("x") + F.col("width")).alias("x1"), F.col("y").alias("y0"), F.concat("text", (F.col("x") % 10).cast("string")).alias("text"))
-    return tiles.stitch_rows(rows).drop("text")
+    rows = T.ocr_lines(spark, d).select("image_id", F.col("x").alias("x0"), (F.col("x") + F.col("width")).alias("x1"), F.col("y").alias("y0"), F.concat("text", (F.col("x") % 10).cast("string")).alias("text"))
+    return tiles.stitch_rows(rows)
 
 
 @query("regions images", """, s AS (SELECT r.*, width, height FROM regions r LEFT JOIN images i USING (image_id)),
@@ -394,7 +395,7 @@ def percentile_bounds(spark, d):
 @query("histograms", _LUMA + _BOUNDS + _otsu("ot", "histograms") + _otsu("dk", "(SELECT image_id, 255 - bin AS bin, cnt FROM histograms)") + """,
 k AS (SELECT image_id, mean, std, bright_share, low, high, ot.threshold AS t0, dk.threshold AS t1, mean < 110 AND bright_share > 0.005 AS dark FROM lu JOIN pb USING (image_id) JOIN ot USING (image_id) JOIN dk USING (image_id)),
 z AS (SELECT *, std < 45 OR dark OR (std < 90 AND mean < 175) AS weak, mean > 165 AND std BETWEEN 30 AND 135 AND 1 - bright_share BETWEEN 0.03 AND 0.6 AS cand FROM k)
-SELECT image_id, dark AS is_dark, concat_ws('+', CASE WHEN dark THEN 'invert' END, CASE WHEN std >= 12 AND weak THEN 'otsu' WHEN std >= 12 AND high - low > 20 AND high - low < 220 THEN 'contrast' END, CASE WHEN std >= 12 AND (dark OR weak OR cand) THEN 'enlarge' END) AS applied,
+SELECT image_id, std >= 12 AND dark AS is_dark, concat_ws('+', CASE WHEN std >= 12 AND dark THEN 'invert' END, CASE WHEN std >= 12 AND weak THEN 'otsu' WHEN std >= 12 AND high - low > 20 AND high - low < 220 THEN 'contrast' END, CASE WHEN std >= 12 AND (dark OR weak OR cand) THEN 'enlarge' END) AS applied,
 (CASE WHEN dark THEN t1 ELSE t0 END) AS threshold, (CASE WHEN dark THEN 255 - high ELSE low END)::INTEGER AS low, (CASE WHEN dark THEN 255 - low ELSE high END)::INTEGER AS high FROM z""")
 def preprocess_plan(spark, d):
     images = T.cells(spark, d).select("image_id").distinct().select("image_id", F.lit(640).alias("width"), F.lit(480).alias("height"))
@@ -430,10 +431,10 @@ def ocr_cache_lookup(spark, d):
     return cache.ocr_cache_lookup(_asked(spark, d), T.cache_entries(spark, d).withColumn("value", lines), T.now(spark, d)).select("event_id", "hit")
 
 
-@query("cache_entries", """, n AS (SELECT substr(user_id || '-' || event_type, 1, 2) AS shard, user_id || '-' || event_type AS key, ts + INTERVAL 1 DAY AS ts, props AS value, event_id AS bytes, event_id FROM events WHERE event_id % 3 = 0)
+@query("cache_entries", """, n AS (SELECT substr(user_id || '-' || event_type, 1, 2) AS shard, user_id || '-' || event_type AS key, ts + INTERVAL 1 DAY AS ts, props AS value, event_id AS bytes, event_id FROM events)
 SELECT shard, key, ts, value, bytes FROM (SELECT *, -1 AS event_id FROM cache_entries UNION ALL SELECT * FROM n WHERE event_id IN (SELECT max(event_id) FROM n GROUP BY key)) QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts DESC) = 1""")
 def cache_put(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet").where("event_id % 3 = 0")
+    e = spark.read.parquet(f"{d}/events.parquet")
     key = F.concat_ws("-", F.col("user_id").cast("string"), "event_type")
     last = e.groupBy(key.alias("key")).agg(F.max_by(F.struct("ts", "props", "event_id"), "event_id").alias("r"))
     new = last.select(F.substring("key", 1, 2).alias("shard"), "key", (F.col("r.ts") + F.expr("INTERVAL 1 DAY")).alias("ts"), F.col("r.props").alias("value"), F.col("r.event_id").alias("bytes"), F.lit(True).alias("ok"))
@@ -472,13 +473,13 @@ def classify_responses(spark, d):
     return responses.classify_responses(T.responses(spark, d)).select("event_id", "kind", "retryable", "field")
 
 
-@query("responses", """, a AS (SELECT user_id, event_id, status, body, count(*) FILTER (status IN (429, 503)) OVER p AS n_wait, count(*) FILTER (status = 404) OVER p AS n_path,
-  count(*) FILTER (status = 400 AND event_id % 6 IN (0, 2)) OVER p AS n_token, count(*) FILTER (status = 400 AND event_id % 6 IN (1, 3, 5)) OVER p AS n_field, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS back FROM (SELECT * FROM responses WHERE event_id % 40 < 3) WINDOW p AS (PARTITION BY user_id))
-SELECT user_id AS request_id, CASE WHEN status = 200 THEN 'done' WHEN status IN (429, 503) AND n_wait <= 3 THEN 'wait' WHEN status = 404 AND n_path = 1 THEN 'other-path' WHEN status = 400 AND event_id % 6 IN (0, 2) AND n_token = 1 THEN 'switch-token-field'
+@query("responses", """, a AS (SELECT request_id, event_id, status, body, count(*) FILTER (status IN (429, 503)) OVER p AS n_wait, count(*) FILTER (status = 404) OVER p AS n_path,
+  count(*) FILTER (status = 400 AND event_id % 6 IN (0, 2)) OVER p AS n_token, count(*) FILTER (status = 400 AND event_id % 6 IN (1, 3, 5)) OVER p AS n_field, row_number() OVER (PARTITION BY request_id ORDER BY event_id DESC) AS back FROM (SELECT *, user_id || '-' || event_id // 1000 AS request_id FROM responses) WINDOW p AS (PARTITION BY request_id))
+SELECT request_id, CASE WHEN status = 200 THEN 'done' WHEN status IN (429, 503) AND n_wait <= 3 THEN 'wait' WHEN status = 404 AND n_path = 1 THEN 'other-path' WHEN status = 400 AND event_id % 6 IN (0, 2) AND n_token = 1 THEN 'switch-token-field'
   WHEN status = 400 AND event_id % 6 IN (1, 3, 5) AND n_field <= 3 THEN 'drop-field' ELSE 'fail' END AS action, CASE WHEN status IN (429, 503) AND n_wait <= 3 THEN pow(3.0, n_wait - 1) END AS wait_s FROM a WHERE back = 1""")
 def retry_plan(spark, d):
-    rows = T.responses(spark, d).where("event_id % 40 < 3")
-    attempts = rows.select(F.col("user_id").alias("request_id"), F.col("event_id").alias("attempt"), "status", "body", F.lit(None).cast("double").alias("retry_after"), F.lit(False).alias("empty"))
+    request = F.concat_ws("-", F.col("user_id").cast("string"), F.floor(F.col("event_id") / 1000).cast("string"))
+    attempts = T.responses(spark, d).select(request.alias("request_id"), F.col("event_id").alias("attempt"), "status", "body", F.lit(None).cast("double").alias("retry_after"), F.lit(False).alias("empty"))
     return responses.retry_plan(attempts).select("request_id", "action", "wait_s")
 
 
@@ -499,11 +500,11 @@ def assistant_text(spark, d):
 
 def _prechecks(spark, d):
     """Model answers put together from line items: a text region, a broken one and an interest region."""
-    line = spark.read.parquet(f"{d}/lineitem.parquet").where("l_linenumber = 1")
+    line = spark.read.parquet(f"{d}/lineitem.parquet")
     n = lambda c: F.col(c).cast("string")
     good = F.concat(F.lit('Here: {"hasText": '), F.when(F.col("l_orderkey") % 2 == 0, "1").otherwise('""'), F.lit(', "textRegions": [['), n("l_discount"), F.lit(", null, 1.5, "), n("l_tax"), F.lit('], [1, 2], {"x0": 0.1, "y0": 0.2, "x1": 0.3, "y1": "no"}], "interestRegions": [{"x0": 0, "y0": 0, "x1": '), n("l_discount"), F.lit(', "y1": 1, "label": "a b"}], "summary": "s"} end'))
     raw = F.when(F.col("l_orderkey") % 5 == 0, F.lit("plain prose")).otherwise(good)
-    return line.select(F.col("l_orderkey").alias("image_id"), raw.alias("raw"))
+    return line.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("image_id"), raw.alias("raw"))
 
 
 @query()
@@ -512,8 +513,8 @@ def parse_prechecks(spark, d):
     return out.select("image_id", "has_text", F.size("text_regions").alias("n_text"), F.size("interest_regions").alias("n_interest"), "summary", "parse_error")
 
 
-_SQL["parse_prechecks"] = """SELECT l_orderkey AS image_id, l_orderkey % 5 <> 0 AND l_orderkey % 2 = 0 AS has_text, CASE WHEN l_orderkey % 5 = 0 THEN 0 ELSE 1 END AS n_text, CASE WHEN l_orderkey % 5 = 0 THEN 0 ELSE 1 END AS n_interest,
-CASE WHEN l_orderkey % 5 = 0 THEN 'plain prose' ELSE 's' END AS summary, l_orderkey % 5 = 0 AS parse_error FROM lineitem WHERE l_linenumber = 1"""
+_SQL["parse_prechecks"] = """SELECT l_orderkey * 10 + l_linenumber AS image_id, l_orderkey % 5 <> 0 AND l_orderkey % 2 = 0 AS has_text, CASE WHEN l_orderkey % 5 = 0 THEN 0 ELSE 1 END AS n_text, CASE WHEN l_orderkey % 5 = 0 THEN 0 ELSE 1 END AS n_interest,
+CASE WHEN l_orderkey % 5 = 0 THEN 'plain prose' ELSE 's' END AS summary, l_orderkey % 5 = 0 AS parse_error FROM lineitem"""
 
 
 @query()
@@ -522,8 +523,8 @@ def explode_regions(spark, d):
     return regions.clean_label(out).select("image_id", "kind", "region_idx", "label", "label_name", "rx0", "ry0", "rx1", "ry1")
 
 
-_SQL["explode_regions"] = """SELECT l_orderkey AS image_id, 'text' AS kind, 0 AS region_idx, '' AS label, 'region' AS label_name, l_discount AS rx0, 0.0::DOUBLE AS ry0, 1.0::DOUBLE AS rx1, l_tax AS ry1 FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 5 <> 0
-UNION ALL SELECT l_orderkey, 'interest', 0, 'a b', 'a_b', 0, 0, l_discount, 1 FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 5 <> 0"""
+_SQL["explode_regions"] = """SELECT l_orderkey * 10 + l_linenumber AS image_id, 'text' AS kind, 0 AS region_idx, '' AS label, 'region' AS label_name, l_discount AS rx0, 0.0::DOUBLE AS ry0, 1.0::DOUBLE AS rx1, l_tax AS ry1 FROM lineitem WHERE l_orderkey % 5 <> 0
+UNION ALL SELECT l_orderkey * 10 + l_linenumber, 'interest', 0, 'a b', 'a_b', 0, 0, l_discount, 1 FROM lineitem WHERE l_orderkey % 5 <> 0"""
 
 
 @query()
@@ -634,12 +635,25 @@ def rotate_images(spark, d):
 
 
 
-@query("cells", """, t AS (SELECT image_id, 128 AS threshold FROM cells GROUP BY 1) SELECT image_id, round(avg(CASE WHEN r * 0.299::DOUBLE + g * 0.587::DOUBLE + b * 0.114::DOUBLE < threshold THEN 1.0::DOUBLE ELSE 0 END), 6) AS dark_share FROM cells JOIN t USING (image_id) GROUP BY 1""")
+@query("cells", """, l AS (SELECT image_id, row, col, r * 0.299::DOUBLE + g * 0.587::DOUBLE + b * 0.114::DOUBLE < 128 AS ink FROM cells),
+small AS (SELECT image_id, row // 2 AS y, col // 2 AS x, ink FROM l WHERE row % 2 = 0 AND col % 2 = 0),
+reach(image_id, y, x, l) AS (SELECT image_id, y, x, y * 4 + x FROM small WHERE ink
+UNION SELECT i.image_id, i.y, i.x, r.l FROM reach r JOIN small i ON i.ink AND i.image_id = r.image_id AND abs(i.y - r.y) <= 1 AND abs(i.x - r.x) <= 1),
+lab AS (SELECT image_id, y, x, min(l) AS l FROM reach GROUP BY ALL), comp AS (SELECT image_id, l, (max(y) - min(y) + 1) * 2 AS h FROM lab GROUP BY ALL),
+cs AS (SELECT image_id, count(*) AS n, avg(h) AS h FROM comp GROUP BY 1),
+band AS (SELECT image_id, y, avg(CASE WHEN ink THEN 1.0::DOUBLE ELSE 0 END) AS v FROM small WHERE x % 2 = 0 GROUP BY ALL), bs AS (SELECT image_id, stddev_pop(v) AS row_std FROM band GROUP BY 1),
+ds AS (SELECT image_id, avg(CASE WHEN ink THEN 1.0::DOUBLE ELSE 0 END) AS dark_share FROM l GROUP BY 1)
+SELECT image_id, round(dark_share, 6) AS dark_share, coalesce(n, 0)::BIGINT AS n_components, round(coalesce(n, 0) * 625.0::DOUBLE, 6) AS per_area, round(coalesce(h, 0.0::DOUBLE), 6) AS mean_height, round(row_std, 6) AS row_std
+FROM ds JOIN bs USING (image_id) LEFT JOIN cs USING (image_id)""")
 def ink_features(spark, d):
     from rastermill.operators import pixels
 
     pictures = T.pictures(spark, d)
-    return pixels.ink_features(pictures, pictures.select("image_id", F.lit(128).alias("threshold"))).select("image_id", F.round("dark_share", 6).alias("dark_share"))
+    out = pixels.ink_features(pictures, pictures.select("image_id", F.lit(128).alias("threshold")))
+    return out.select("image_id", "n_components", *(F.round(c, 6).alias(c) for c in ("dark_share", "per_area", "mean_height", "row_std")))
+
+
+_SQL["ink_features"] = _SQL["ink_features"].replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 @query()
@@ -663,11 +677,12 @@ def connected_components(spark, d):
 _SQL["connected_components"] = _SQL["connected_components"].replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-@query("answers", r""" SELECT rel, CASE WHEN length(answer) > 600 THEN substr(answer, 1, 600) || '…' ELSE answer END AS preview FROM (SELECT rel, trim(answer) AS answer FROM answers WHERE NOT contains(answer, chr(10)) AND NOT contains(answer, '#'))""")
+@query("answers", r""", w AS (SELECT rel, trim(coalesce(answer, '')) AS whole FROM answers),
+p AS (SELECT rel, whole, list_filter(list_transform(regexp_split_to_array(whole, '\n\s*\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS parts FROM w),
+b AS (SELECT rel, regexp_replace(coalesce(parts[2], parts[1], whole), '(?m)^#+\s*', '', 'g') AS body FROM p)
+SELECT rel, CASE WHEN length(body) > 600 THEN substr(body, 1, 600) || '…' ELSE body END AS preview FROM b""")
 def preview_text(spark, d):
-    """Answers of one paragraph; those of several are covered by tests."""
-    rows = T.answers(spark, d).where(~F.col("answer").contains("\n") & ~F.col("answer").contains("#"))
-    return rows.select("rel", S.preview_text(F.col("answer")).alias("preview"))
+    return T.answers(spark, d).select("rel", S.preview_text(F.col("answer")).alias("preview"))
 
 
 @query("images", """ SELECT image_id, '## Summary' || chr(10) || width || ' wide' || chr(10) || '## Text' || chr(10) || '### Text 0' || chr(10) || 'h ' || height || chr(10) || '## Details' || chr(10) || '(none)' AS answer FROM images""")

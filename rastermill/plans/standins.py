@@ -32,16 +32,16 @@ def index_log(spark: SparkSession, d: str) -> DataFrame:
 
 
 def run_results(spark: SparkSession, d: str) -> DataFrame:
-    """Results of a run over every seventh document."""
-    rows = files(spark, d).where("doc_id % 7 = 0")
-    bad = F.col("doc_id") % 21 == 0
+    """Results of a run over the labelled documents; toxic ones failed."""
+    rows = _table(spark, d, "labels").join(files(spark, d), "doc_id")
+    bad = F.coalesce(F.col("toxic") == 1, F.lit(False))
     return rows.select("rel", F.when(bad, "failed").otherwise("done").alias("status"), (F.col("doc_id") * 11 % 3000).alias("ms"), F.when(bad, F.lit("no answer")).alias("error"), (F.col("doc_id") % 2 == 0).alias("cached"), F.when(F.col("doc_id") % 5 == 0, F.lit("src0/0.png")).alias("duplicate_of"))
 
 
 def answers(spark: SparkSession, d: str) -> DataFrame:
     docs = _table(spark, d, "documents")
     rel = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".png"))
-    return docs.where("doc_id % 3 <> 0").select(rel.alias("rel"), F.substring("text", 1, 900).alias("answer"))
+    return docs.select(rel.alias("rel"), F.col("text").alias("answer"))
 
 
 def images(spark: SparkSession, d: str) -> DataFrame:
@@ -104,9 +104,9 @@ SQL = {
     "index_log": """SELECT rel, CASE WHEN quality = 1 THEN 'done' ELSE 'failed' END AS status, doc_id * 37 % 5000 AS ms, sha, CASE WHEN quality <> 1 THEN 'bad|input ' || rel END AS error, 1 AS seq FROM labelled
       UNION ALL SELECT rel, 'failed', doc_id * 37 % 5000, sha, 'timeout', 0 FROM labelled WHERE toxic = 1""",
     "last_log": "SELECT * FROM index_log QUALIFY row_number() OVER (PARTITION BY rel ORDER BY seq DESC) = 1",
-    "run_results": """SELECT rel, CASE WHEN doc_id % 21 = 0 THEN 'failed' ELSE 'done' END AS status, doc_id * 11 % 3000 AS ms, CASE WHEN doc_id % 21 = 0 THEN 'no answer' END AS error,
-      doc_id % 2 = 0 AS cached, CASE WHEN doc_id % 5 = 0 THEN 'src0/0.png' END AS duplicate_of FROM files WHERE doc_id % 7 = 0""",
-    "answers": "SELECT source || '/' || doc_id || '.png' AS rel, substr(text, 1, 900) AS answer FROM documents WHERE doc_id % 3 <> 0",
+    "run_results": """SELECT rel, CASE WHEN toxic = 1 THEN 'failed' ELSE 'done' END AS status, doc_id * 11 % 3000 AS ms, CASE WHEN toxic = 1 THEN 'no answer' END AS error,
+      doc_id % 2 = 0 AS cached, CASE WHEN doc_id % 5 = 0 THEN 'src0/0.png' END AS duplicate_of FROM labelled""",
+    "answers": "SELECT source || '/' || doc_id || '.png' AS rel, text AS answer FROM documents",
     "images": "SELECT doc_id AS image_id, (200 + n_chars * 37 % 9000)::INTEGER AS width, (200 + n_chars * 53 % 8000)::INTEGER AS height FROM documents",
     "axis_c": """SELECT image_id, c.i AS col, c.i * 800 AS x, CASE WHEN split THEN least(800, width - c.i * 800) ELSE width END AS w, n_cols
       FROM (SELECT *, greatest(width, height) > 800 AS split, CASE WHEN greatest(width, height) > 800 THEN ceil(width / 800.0)::INTEGER ELSE 1 END AS n_cols FROM images) g, range(g.n_cols) c(i)""",
@@ -127,7 +127,7 @@ SQL = {
     "responses": """SELECT event_id, user_id, CASE event_type WHEN 'click' THEN 200 WHEN 'view' THEN 429 WHEN 'error' THEN 503 WHEN 'signup' THEN 404 WHEN 'purchase' THEN 400 END AS status,
       CASE WHEN event_type = 'purchase' THEN ['max_tokens is not supported', 'unknown detail', 'use max_completion_tokens', 'bad reasoning_effort', 'no such thing', 'Thinking is off'][event_id % 6 + 1] ELSE props END AS body, props FROM events""",
 }
-_USES = {"labelled": ["files"], "index_log": ["labelled"], "last_log": ["index_log"], "run_results": ["files"], "axis_c": ["images"], "axis_r": ["images"], "tiles": ["axis_c", "axis_r"], "sized_tiles": ["tiles"], "histograms": ["cells"]}
+_USES = {"labelled": ["files"], "index_log": ["labelled"], "last_log": ["index_log"], "run_results": ["labelled"], "axis_c": ["images"], "axis_r": ["images"], "tiles": ["axis_c", "axis_r"], "sized_tiles": ["tiles"], "histograms": ["cells"]}
 
 
 def with_tables(names: str, body: str) -> str:

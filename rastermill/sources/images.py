@@ -10,7 +10,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastermill.functions.scalars import EXTENSIONS, content_hash, extension
+from rastermill.functions.scalars import by_name, EXTENSIONS, content_hash, extension
 
 #: Larger files are not read.
 MAX_BYTES = 512 << 20
@@ -32,10 +32,10 @@ def _relative(path: Column, folder: str) -> Column:
     return F.regexp_replace(F.regexp_replace(path, r"^[a-z0-9]+:/*", ""), f"^{re.escape(root)}/", "")
 
 
-def scan_images(spark: SparkSession, folder: str, pattern: str | None = None, recursive: bool = False, max_files: int = 100_000) -> DataFrame:
-    """rel, path, name, ext, size, mtime of the images in a folder: the first max_files by rel in Chinese collation.
+def scan_images(spark: SparkSession, folder: str, pattern: str | None = None, recursive: bool = False, max_files: int | None = None) -> DataFrame:
+    """rel, path, name, ext, size, mtime of the images in a folder: all, or the first max_files by rel in Chinese collation.
 
-    Only metadata is read. An empty or missing folder gives no rows.
+    Only metadata is read; nothing is sorted without a limit. An empty or missing folder gives no rows.
     """
     schema = "rel string, path string, name string, ext string, size long, mtime timestamp"
     try:
@@ -49,7 +49,8 @@ def scan_images(spark: SparkSession, folder: str, pattern: str | None = None, re
     rows = rows.where(~F.col("rel").rlike(r"(^|/)\."))
     if not recursive:
         rows = rows.where(~F.col("rel").contains("/"))
-    return rows.select("rel", "path", "name", "ext", "size", "mtime").orderBy(F.expr("rel COLLATE zh_Hans_CHN")).limit(max_files)
+    rows = rows.select("rel", "path", "name", "ext", "size", "mtime")
+    return rows if max_files is None else rows.orderBy(by_name("rel"), "rel").limit(max_files)
 
 
 def drop_oversize(files: DataFrame, max_bytes: int = MAX_BYTES, column: str = "length") -> DataFrame:

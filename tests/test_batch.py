@@ -123,3 +123,48 @@ def test_expired_paths(spark):
     df = spark.createDataFrame(rows, "path string, age int").withColumn("mtime", F.expr("timestamp'2024-01-10 00:00:00' - make_interval(0,0,0,0,age)"))
     got = cache.expired_paths(df, F.lit("2024-01-10 00:00:00").cast("timestamp"), ["vision-"], ["/t/keep"]).collect()
     assert [r.path for r in got] == ["/t/vision-1"]
+
+
+def test_ranks_of_many_rows(spark):
+    """More rows than the sampling of range bounds sees, in shuffled order, with another column."""
+    n = 400_000
+    rows = spark.range(n).select(F.lpad((F.col("id") * 7919 % n).cast("string"), 7, "0").alias("rel"), (F.col("id") * 7919 % n).alias("k"))
+    got = batch.with_rank(rows, "rel")
+    assert got.columns == ["rel", "k", "ord"]
+    assert got.where("ord <> k + 1").count() == 0 and got.agg(F.countDistinct("ord")).first()[0] == n
+
+
+def test_names_are_ordered_by_collation(spark):
+    names = ["b.png", "B.png", "a.png", "Ä.png", "z.png", "中.png", "阿.png"]
+    rows = spark.createDataFrame([(n,) for n in names], "rel string")
+    by_rank = [r.rel for r in sorted(batch.with_rank(rows, "rel").collect(), key=lambda r: r.ord)]
+    assert by_rank == [r.rel for r in batch.in_first(rows, 7, [batch.by_name("rel")]).collect()]
+    assert by_rank.index("a.png") < by_rank.index("b.png") < by_rank.index("B.png") < by_rank.index("z.png")
+    same = spark.createDataFrame([("B.png", "s"), ("a.png", "s"), ("x.png", "")], "rel string, sha string")
+    assert {r.rel: r.duplicate_of for r in batch.dedupe_content(same).collect()} == {"B.png": "a.png", "a.png": None, "x.png": None}
+
+
+def _pruned(rows, ttl, cap, now):
+    """The definition, entry by entry: rows of (key, seconds or None, bytes)."""
+    gone = {k for k, t, _ in rows if ttl and ttl > 0 and t is not None and (now - t) * 1000 > ttl}
+    left = sum(b for k, _, b in rows if k not in gone)
+    if cap > 0 and left > cap:
+        for k, _, b in sorted((r for r in rows if r[0] not in gone), key=lambda r: (r[1] if r[1] is not None else -1, r[0])):
+            if left <= cap * 0.9:
+                break
+            gone.add(k)
+            left -= b
+    return gone
+
+
+def test_cache_prune_equals_definition(spark):
+    import random
+
+    rng = random.Random(3)
+    for case in range(4):
+        spread = (40, 3600, 86_400, 20 * 86_400)[case]
+        rows = [(f"k{i:03d}", None if rng.random() < 0.05 else 1_700_000_000 + rng.randrange(spread), rng.randrange(0, 50)) for i in range(150)]
+        df = spark.createDataFrame(rows, "key string, s long, bytes long").select("key", F.timestamp_seconds("s").alias("ts"), "bytes")
+        for ttl, cap in ((None, 1000), (10 * 86_400_000, 700), (0, 10**9), (spread * 500, 1), (None, 0), (None, -5)):
+            got = cache.cache_prune(df, ttl, cap, F.timestamp_seconds(F.lit(1_700_000_000 + spread))).collect()
+            assert len(got) == 150 and {r.key for r in got if r["drop"]} == _pruned(rows, ttl, cap, 1_700_000_000 + spread), (case, ttl, cap)

@@ -1,7 +1,7 @@
 import random
 
 import numpy as np
-from conftest import image_rows
+from image_fixtures import image_rows
 
 from rastermill.operators import pixels, stats
 
@@ -93,3 +93,39 @@ def test_ink(spark):
     f = pixels.ink_features(im, stats.otsu_threshold(pixels.tile_histograms(im))).first()
     assert abs(f.dark_share - (a == 0).mean()) < 1e-9 and f.mean_height == 4.0
     assert stats.handwriting_score(spark.createDataFrame([("x", None, None, None, None)], "image_id string, row_std double, mean_height double, n_components double, dark_share double")).first().score == 0.5
+
+
+def test_flat_images_are_left_alone(spark):
+    images = spark.createDataFrame([("dark", 100, 100)], "image_id string, width int, height int")
+    grey = spark.createDataFrame([("dark", 40, 9_900), ("dark", 230, 100)], "image_id string, bin int, cnt long")
+    assert stats.luma_stats(grey).first().std > 12 and stats.preprocess_plan(images, grey).first().is_dark
+    deviation = stats.luma_stats(spark.createDataFrame([("dark", 40, 9_960), ("dark", 150, 40)], "image_id string, bin int, cnt long")).first().std
+    assert deviation < 12
+    flat = stats.preprocess_plan(images, spark.createDataFrame([("dark", 40, 9_960), ("dark", 150, 40)], "image_id string, bin int, cnt long"), force_invert=True).first()
+    assert not flat.is_dark and flat.applied == []
+
+
+def test_components_of_runs():
+    """Numbers and heights of 8-connected sets against flood filling."""
+    rng = np.random.default_rng(6)
+    for share in (0.05, 0.3, 0.5, 0.8):
+        for shape in ((1, 1), (1, 9), (9, 1), (17, 23), (60, 41)):
+            ink = rng.random(shape) < share
+            label = pixels.label_components(set(zip(*(v.tolist() for v in np.nonzero(ink)), strict=True)))
+            rows = {}
+            for (y, _), root in label.items():
+                rows.setdefault(root, []).append(y)
+            assert sorted(pixels.run_heights(ink).tolist()) == sorted(max(v) - min(v) + 1 for v in rows.values())
+
+
+def test_ink_features_are_counts(spark):
+    """Twelve strokes, three samples wide and ten high: the count itself, whatever the size of the picture."""
+    a = np.full((200, 300), 255)
+    for k in range(12):
+        a[20:40, 10 + 20 * k : 16 + 20 * k] = 0
+    rows = image_rows(spark, {"a": a, "dot": np.zeros((1, 1))})
+    got = {r.image_id: r for r in pixels.ink_features(rows, spark.createDataFrame([("a", 128), ("dot", 128)], "image_id string, threshold int")).collect()}
+    assert got["a"].n_components == 12 and got["a"].mean_height == 20 and abs(got["a"].per_area - 12 * 10_000 / 15_000) < 1e-9
+    assert abs(got["a"].dark_share - 12 * 120 / 60_000) < 1e-9 and got["dot"].n_components == 1
+    scored = stats.handwriting_score(spark.createDataFrame([(0.0, 60.0, 300, 0.1)], "row_std double, mean_height double, n_components long, dark_share double")).first()
+    assert abs(scored.score - (0.35 + 0.3 + 0.2 + 0.12)) < 1e-9

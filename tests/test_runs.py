@@ -2,7 +2,7 @@ import base64
 import json
 
 import numpy as np
-from conftest import image_rows, png
+from image_fixtures import image_rows, png
 from pyspark.sql import functions as F
 
 from rastermill.plans.recognise import ocr_parts, recognise_images, run_batch
@@ -20,7 +20,7 @@ def _tree(folder):
 
 def test_scan(spark, tmp_path):
     _tree(tmp_path)
-    rels = lambda **k: [r.rel for r in sources.scan_images(spark, str(tmp_path), **k).collect()]
+    rels = lambda **k: sorted(r.rel for r in sources.scan_images(spark, str(tmp_path), **k).collect())
     assert rels() == ["a.png", "b.jpg"]
     assert sorted(rels(recursive=True)) == ["a.png", "b.jpg", "sub/d.webp", "sub/deep/f.gif", "sub/e.PNG"]
     assert rels(pattern="*.PNG") == ["a.png"] and rels(max_files=1) == ["a.png"]
