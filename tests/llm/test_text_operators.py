@@ -465,15 +465,23 @@ def test_tiling_equals_definition():
     for _ in range(150):
         p = [rng.choice("abc") for _ in range(rng.randint(6, 20))]
         t = [rng.choice("abc") for _ in range(rng.randint(0, 20))] + p[8:] + ["x"] + p[:8]
-        seeds = decontaminate.Seeds([(1, " ".join(p))], 4)
-        ids = np.array([seeds.vocabulary.get(w, 0) for w in t])
-        pairs = seeds.shared(ids).get(0, [])
-        got = decontaminate.tiles(pairs, 4) if pairs else []
+        numbers = {w: i + 1 for i, w in enumerate("abc")}
+        item, doc = (np.array([numbers.get(w, 0) for w in x]) for x in (p, t))
+        got = decontaminate.tiles(item, doc, 4)
         for i, j, n in got:
             assert p[i : i + n] == t[j : j + n] and n >= 4
-        assert len({x for i, _, n in got for x in range(i, i + n)}) == sum(n for _, _, n in got)
-        # Among equally long tiles the choice is free; both ways of choosing stay close.
-        assert abs(sum(n for _, _, n in got) - _tiling(p, t, 4)) <= 4
+        assert len({x for i, _, n in got for x in range(i, i + n)}) == len({x for _, j, n in got for x in range(j, j + n)}) == sum(n for _, _, n in got)
+        assert sum(n for _, _, n in got) == _tiling(p, t, 4)
+
+
+def test_tiling_of_repeated_tokens_is_linear():
+    began = time.process_time()
+    item, doc = np.ones(1000, np.int64), np.ones(20_000, np.int64)
+    assert decontaminate.tiles(item, doc, 5) == [(0, 0, 1000)]
+    mixed = np.tile(np.array([1, 2, 1, 1, 2, 0]), 3000)
+    found = decontaminate.tiles(np.tile(np.array([1, 2, 1, 1, 2]), 200), mixed, 5)
+    assert sum(n for _, _, n in found) == 1000 and all(n == 5 for _, _, n in found)
+    assert time.process_time() - began < 20
 
 
 def test_decontamination(spark, docs, monkeypatch):
@@ -488,6 +496,8 @@ def test_decontamination(spark, docs, monkeypatch):
         assert got == [(0, 1, 1.0), (0, 5, 1.0), (1, 1, 1.0), (1, 5, 1.0), (6, 1, 1.0), (6, 5, 1.0), (7, 4, 1.0)]
         kept = decontaminate.decontaminate(df, bench)
         assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 4, 5]
+    named = bench.select(F.concat(F.lit("i"), "item_id").alias("item_id"), "text", F.lit("z").alias("doc_id"))
+    assert {r.item_id for r in decontaminate.contaminations(df, named).collect()} == {"i1", "i4", "i5"}
     assert decontaminate.contaminations(df.limit(0), bench).count() == decontaminate.contaminations(df, bench.limit(0)).count() == 0
 
 
