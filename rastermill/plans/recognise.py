@@ -127,7 +127,8 @@ def run_batch(spark: SparkSession, folder: str, out: str, strategy: str, fns: di
     """A resumable run over a folder: scan, plan, dedupe, cache, recognise, log, reports. Returns the state of every file.
 
     fns: precheck, ocr and model for strategy `pipeline`, model for `full`. Called again it does only
-    what is new or failed; an empty folder still gives reports.
+    what is new or failed: files that are done are not opened, cached ones not decoded. An empty folder
+    still gives reports.
     """
     if strategy not in ("pipeline", "full"):
         raise ValueError("strategy must be pipeline or full")
@@ -135,7 +136,7 @@ def run_batch(spark: SparkSession, folder: str, out: str, strategy: str, fns: di
     files = _written(sources.scan_images(spark, folder, pattern, recursive), f"{out}/work/files")
     log = logs.read_index(spark, f"{out}/index")
     plan = batch.plan_batch(files, log, resume, limit).where("label = 'todo'").select("rel", "path")
-    content = sources.with_content(plan, spark, folder, recursive).select("rel", "sha")
+    content = sources.with_content(_written(plan, f"{out}/work/plan"), spark, folder, recursive).select("rel", "path", "sha")
     todo = _written(batch.dedupe_content(content), f"{out}/work/todo")
     own = F.create_map(*[F.lit(x) for kv in ({"strategy": strategy} | (params or {})).items() for x in kv])
     keyed = cache.with_cache_key(todo.where("duplicate_of IS NULL AND sha IS NOT NULL").withColumn("params", own)).drop("params")
@@ -146,7 +147,8 @@ def run_batch(spark: SparkSession, folder: str, out: str, strategy: str, fns: di
             raise
         stored = spark.createDataFrame([], "key string, ts timestamp, value string, bytes long, shard string")
     looked = _written(cache.cache_lookup(keyed, stored, None, F.current_timestamp()), f"{out}/work/looked")
-    loaded = sources.load_images(spark, folder, recursive).join(looked.where("NOT hit").select("rel"), "rel", "left_semi").withColumnRenamed("rel", "image_id")
+    missed = looked.where("NOT hit")
+    loaded = sources.load_images(spark, folder, recursive, sources.few_paths(missed)).join(missed.select("rel"), "rel", "left_semi").withColumnRenamed("rel", "image_id")
     images = loaded.where("error IS NULL").drop("error")
     work = f"{out}/work"
     answers = recognise_images(images, fns["precheck"], fns["ocr"], fns["model"], work) if strategy == "pipeline" else recognise_tiles(images, fns["model"], work)

@@ -58,7 +58,7 @@ def _functions():
     return answer, precheck
 
 
-def test_batch_end_to_end_and_resume(spark, tmp_path):
+def test_batch_end_to_end_and_resume(spark, tmp_path, monkeypatch):
     src, out = tmp_path / "in", str(tmp_path / "out")
     src.mkdir()
     rng = np.random.default_rng(2)
@@ -75,10 +75,17 @@ def test_batch_end_to_end_and_resume(spark, tmp_path):
 
     calls = {k: never for k in fns}
     (src / "bad.png").unlink()
+    opened, read = [], sources._read
+    monkeypatch.setattr(sources, "_read", lambda reader, places: opened.append(sorted(p.rsplit("/", 1)[1] for p in places)) or read(reader, places))
     again = {r.rel: r for r in run_batch(spark, str(src), out, "pipeline", calls).collect()}
+    assert opened == []  # with nothing to do no file is opened
     assert {r.status for r in again.values()} == {"done"} and again["y.png"].answer == got["y.png"].answer
     forced = {r.rel: r for r in run_batch(spark, str(src), out, "pipeline", calls, resume=False).collect()}
     assert {r.status for r in forced.values()} == {"done"} and forced["y.png"].cached
+    assert opened == [["x1.png", "x2.png", "y.png"]]  # hashed, but not decoded
+    (src / "new.png").write_bytes(png(rng.integers(0, 255, (40, 40))))
+    more = {r.rel: r for r in run_batch(spark, str(src), out, "pipeline", fns).collect()}
+    assert more["new.png"].status == "done" and opened[1:] == [["new.png"], ["new.png"]]
     assert (tmp_path / "out/reports/summary").exists()
 
 
