@@ -329,9 +329,11 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A class is a connected component of documents linked by a weighted Jaccard similarity of at
     least `threshold` over five-word shingles; class_id is its smallest id, class_size its number of
     rows, copies the number of rows with the very same words. Null and empty texts have the same
-    (no) words and form one class. Rows repeated with one id count as copies. An empty table gives
-    no rows; other columns are ignored. Ids must not be null.
+    (no) words and form one class. Rows repeated with one id count as copies. Texts of any length are
+    read whole. Rows without an id are left out. An empty table gives no rows; other columns, also
+    those named like results, are ignored.
     """
+    docs = docs.where(F.col(id_col).isNotNull())
     sketch = saved(sketches(docs, id_col, text_col), "near-sketches")
     reps = saved(
         sketch.groupBy("key").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies")), "near-reps"

@@ -19,6 +19,7 @@ and forgets it. Contexts above SPLIT occurrences are dealt over several shards b
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -31,7 +32,7 @@ import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rastermill.llm.common import fold_of, saved, shared_dir, text_of
@@ -233,9 +234,16 @@ def _coded(docs: DataFrame, id_col: str, text_col: str, held_out) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     writer = rows.mapInArrow(run, schema).write.format("parquet").bucketBy(n, "batch").option("path", f"{shared_dir(spark)}/{name}")
     writer.saveAsTable(name)
+    atexit.register(_forget, spark, name)
     return spark.table(name)
 
 
+def _forget(spark: SparkSession, name: str) -> None:
+    """Drops the catalog's entry for coded documents when the driver's program ends."""
+    if spark.sparkContext._jsc is not None:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def _shard_bits(keys: int) -> int:
     return max(3, (max(1, keys // SHARD_KEYS) - 1).bit_length())
 
@@ -414,7 +422,8 @@ def language_model_scores(docs: DataFrame, held_out, id_col: str = "doc_id", tex
     in lower case, cut at ASCII white space) and one end per document. A null text counts as empty:
     its one token is the end. Repeated rows count and are scored each. Without training rows every
     probability is that of an unknown word, or of the whole where nothing is known. An empty table
-    gives no rows; other columns are ignored.
+    gives no rows; other columns, also those named like results, are ignored. A text of any length is
+    scored whole. Null ids stay null.
     """
     coded = _coded(docs, id_col, text_col, held_out)
     sums = coded.agg(F.sum("n_words"), F.sum("n_tokens")).first()

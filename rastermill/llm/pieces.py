@@ -278,7 +278,8 @@ def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     roundtrip tells whether decoding gives the text again; it is false only for texts that hold
     the vocabulary's space mark U+2581 itself. A null or empty text has no ids. Repeated rows give
-    repeated rows; other columns are ignored. The file must lie at `model` on every machine.
+    repeated rows, an empty table none; other columns, also those named like results, are ignored.
+    Texts of any length are encoded whole. The file must lie at `model` on every machine.
     """
     if not os.path.exists(model):
         raise FileNotFoundError(model)

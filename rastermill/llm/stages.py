@@ -24,6 +24,10 @@ def keep_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def keep_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of every near-duplicate class: the one of smallest id."""
+    """One document of every near-duplicate class, the one of smallest id, with all its columns.
+
+    Rows that share an id share the decision; rows without an id are kept. Null, empty and very long
+    texts, repeated rows and empty tables are treated as near_classes does.
+    """
     classes = near_dedup.near_classes(docs, id_col, text_col)
     return without(docs, classes.where(F.col(id_col) != F.col("class_id")).select(id_col), id_col)

@@ -237,7 +237,8 @@ def replace_private(docs: DataFrame, key: str, id_col: str = "doc_id", text_col:
     """One row per document: id, text with surrogates, n_entities.
 
     A null text counts as empty, an empty table gives no rows, repeated rows give repeated rows with
-    the same surrogates, other columns are ignored. The same key gives the same surrogates again for
+    the same surrogates, other columns, also those named like results, are ignored. Texts of any length
+    are read whole. Null ids stay null. The same key gives the same surrogates again for
     the same set of documents; without the key they can't be traced back.
     """
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rastermill.llm import decontaminate, html_text, near_dedup, ngram_lm, pieces, toxicity
+from rastermill.llm import decontaminate, html_text, near_dedup, ngram_lm, pieces, stages, toxicity
 
 
 def _sentences(rng, n, vocabulary=400):
@@ -247,6 +247,16 @@ def test_near_classes(spark, docs):
     assert near_dedup.near_classes(docs([]).limit(0)).count() == 0
 
 
+def test_near_classes_of_odd_rows(spark):
+    """Null ids, string ids, repeated rows and columns named like results."""
+    rows = [("a", "x y z", 1), ("a", "x y z", 1), ("b", "x  y Z", 2), (None, "x y z", 3), ("c", None, 4), ("d", "", 5)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, class_id int").withColumn("key", F.lit("k"))
+    got = sorted((r.doc_id, r.class_id, r.class_size) for r in near_dedup.near_classes(df).collect())
+    assert got == [("a", "a", 3), ("a", "a", 3), ("b", "a", 3), ("c", "c", 2), ("d", "c", 2)]
+    kept = stages.keep_near(df)
+    assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["None", "a", "a", "c"]
+
+
 def test_large_group_is_one_class(spark, docs):
     rng = random.Random(8)
     base = _sentences(rng, 150, 10_000).split()
