@@ -149,6 +149,7 @@ def needs_upgrade(regions: DataFrame, mode: str = "full", has_model: bool = True
         raise ValueError("mode must be off, low or full")
     dark = F.coalesce("is_dark", F.lit(False)) & (F.col("n_lines") == 0)
     able = F.lit(mode != "off" and has_model) & ~F.coalesce("degraded", F.lit(False)) & (F.coalesce("engine", F.lit("")) != "handwrite-api")
+    # The confidence below which print, and handwriting, is read again.
     low = ~F.col("is_hand") & ~dark & (F.col("confidence") < 0.85)
     full = (F.col("confidence") < F.when(F.col("is_hand"), 0.9).otherwise(0.85)) | dark
     why = F.concat_ws("+", F.when(F.col("confidence") < 0.85, F.format_string("confidence %.2f<0.85", "confidence")), F.when(dark, "dark and empty"))
