@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastermill.llm import chat, decontaminate, exact_dedup, html_text, near_dedup, ngram_lm, pieces, sharding, surrogates, toxicity
+from rastermill.llm import alignment, chat, decontaminate, exact_dedup, html_text, line_dedup, near_dedup, ngram_lm, pieces, prefix_trie, sharding, surrogates, toxicity
 from rastermill.llm.common import fold_of, table
 
 #: Shards and slots of op4.
@@ -65,8 +65,27 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_pieces(table(spark, sf_dir, "documents"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_common_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.tokenizer_alignment(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.conversation_turns(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie_nodes(*prefix_trie.share_heads(turns))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_html_extraction, op3_minhash_near_dedup, op4_sharding, op5_toxicity, op6_chat_formatting, op7_pii_surrogates, op8_decontamination, op9_exact_dedup, op10_sentencepiece)}
+    own = (
+        op1_lm_scoring, op2_html_extraction, op3_minhash_near_dedup, op4_sharding, op5_toxicity, op6_chat_formatting, op7_pii_surrogates, op8_decontamination,
+        op9_exact_dedup, op10_sentencepiece, op11_line_dedup, op12_tokenizer_alignment, op13_prefix_trie,
+    )
+    return {f.__name__: f for f in own}
 
 
 def sharding_sql() -> str:
@@ -114,4 +133,4 @@ FROM e GROUP BY conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_sharding": sharding_sql(), "op6_chat_formatting": CHAT_SQL, "op9_exact_dedup": exact_dedup.SQL}
+    return {"op4_sharding": sharding_sql(), "op6_chat_formatting": CHAT_SQL, "op9_exact_dedup": exact_dedup.SQL, "op11_line_dedup": line_dedup.SQL, "op13_prefix_trie": prefix_trie.SQL}
