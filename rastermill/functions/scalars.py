@@ -66,15 +66,19 @@ def safe_label(label: Column) -> Column:
 def human_ms(ms: Column) -> Column:
     """Milliseconds for people: 640ms, 1.2s, 2m03s, 1h05m; n/a where negative or unknown.
 
-    Seconds are rounded after minutes are taken off, so 119.6 s reads 1m60s.
+    Tenths of seconds are those nearest to the binary value of the seconds (1.65 is a little less, and
+    reads 1.6s); the only values halfway, .25 and .75, go up. Seconds are rounded after minutes are taken
+    off, so 119.6 s reads 1m60s.
     """
     s = ms / F.lit(1000.0)
+    # format_number rounds the exact binary value, and halves to even.
+    tenths = F.when(ms % 500 == 250, F.format_string("%.1f", (F.floor(s * 10) + 1) / 10)).otherwise(F.format_number(s, 1))
     m = F.floor(s / 60).cast("long")
     rest = F.floor((s - m * 60) + 0.5).cast("long")
     return (
         F.when(ms.isNull() | F.isnan(ms.cast("double")) | (ms < 0), F.lit("n/a"))
         .when(ms < 1000, F.format_string("%dms", F.floor(ms + 0.5).cast("long")))
-        .when(s < 60, F.format_string("%.1fs", s))
+        .when(s < 60, F.concat(tenths, F.lit("s")))
         .when(m < 60, F.format_string("%dm%02ds", m, rest))
         .otherwise(F.format_string("%dh%02dm", F.floor(m / 60).cast("long"), m % 60))
     )

@@ -13,29 +13,48 @@ from rastermill.functions.scalars import round_half_up, safe_label
 RECT = ("x0", "y0", "x1", "y1")
 
 
-def valid_rects(values: Column) -> Column:
-    """An array of variants as rectangles: struct(x0, y0, x1, y1, is_handwrite, label), invalid ones dropped.
+#: What a valid rectangle becomes.
+RECT_TYPE = "array<struct<x0:double,y0:double,x1:double,y1:double,is_handwrite:boolean,label:string>>"
+
+
+def _numbers(texts: Column) -> Column:
+    """An array that holds the texts as numbers in [0, 1]; an empty one if a text is no finite number. Null counts as 0."""
+    read = F.transform(texts, lambda x: F.coalesce(x, F.lit("0")).try_cast("double"))
+    # What is no number is null here, and NaN is larger than any number.
+    finite = F.filter(F.array(read), lambda ns: F.forall(ns, lambda n: F.coalesce(F.abs(n) < float("inf"), F.lit(False))))
+    return F.transform(finite, lambda ns: F.transform(ns, lambda n: F.least(F.greatest(n, F.lit(0.0)), F.lit(1.0))))
+
+
+def _truth_rect(v: Column) -> Column:
+    """The four values of a rectangle read one by one: a text `true` can't be told from the truth value otherwise."""
+    at = lambda path: F.when(F.is_variant_null(F.try_variant_get(v, path, "variant")), F.lit("0")).otherwise(F.try_variant_get(v, path, "double").cast("string"))
+    return F.array(*(F.coalesce(at(f"$.{c}"), at(f"$[{i}]"), F.lit("missing")) for i, c in enumerate(RECT)))
+
+
+def valid_rects(values: Column, path: str = "$") -> Column:
+    """The array at a path of a variant as rectangles: struct(x0, y0, x1, y1, is_handwrite, label), invalid ones dropped.
 
     A rectangle is an object with four numbers or an array of four; numbers are cut to [0, 1]. A JSON
     null counts as 0, anything missing or not a number drops the rectangle. Ends are not sorted here.
+    The whole array is read as objects and as arrays of texts at once. Only what these can't tell
+    apart is looked up: whether a null of an object stands in the JSON, and truth values.
     """
-
-    def number(v: Column, name: str, i: int) -> Column:
-        # Paths that do not fit give null; a JSON null gives a variant null, which counts as 0.
-        at = lambda path: F.when(F.is_variant_null(F.try_variant_get(v, path, "variant")), F.lit(0.0)).otherwise(F.try_variant_get(v, path, "double"))
-        n = F.coalesce(at(f"$.{name}"), at(f"$[{i}]"))
-        return F.when(n.isNull() | F.isnan(n) | (F.abs(n) == float("inf")), None).otherwise(F.least(F.greatest(n, F.lit(0.0)), F.lit(1.0)))
-
-    rects = F.transform(
-        values,
-        lambda v: F.struct(
-            *(number(v, c, i).alias(c) for i, c in enumerate(RECT)),
-            F.try_variant_get(v, "$.isHandwrite", "boolean").alias("is_handwrite"),
-            F.coalesce(F.try_variant_get(v, "$.label", "string"), F.lit("")).alias("label"),
-        ),
-    )
-    whole = lambda r: r["x0"].isNotNull() & r["y0"].isNotNull() & r["x1"].isNotNull() & r["y1"].isNotNull()
-    return F.coalesce(F.filter(rects, whole), F.array().cast("array<struct<x0:double,y0:double,x1:double,y1:double,is_handwrite:boolean,label:string>>"))
+    fields = ",".join(f"{c}:string" for c in RECT)
+    as_objects = F.try_variant_get(values, path, f"array<struct<{fields},isHandwrite:boolean,label:string>>")
+    as_arrays = F.try_variant_get(values, path, "array<array<string>>")
+    as_given = F.try_variant_get(values, path, "array<variant>")
+
+    def rect(z: Column) -> Column:
+        o, a, v = z["o"], z["a"], z["v"]
+        given = lambda c: F.when(F.is_variant_null(F.try_variant_get(v, f"$.{c}", "variant")), F.lit("0")).otherwise(F.lit("missing"))
+        texts = F.when(F.size(a) >= 4, F.slice(a, 1, 4)).when(o.isNull(), F.array(F.lit("missing"))).otherwise(F.array(*(F.coalesce(o[c], given(c)) for c in RECT)))
+        # In an array of one, so that the texts are made once.
+        texts = F.transform(F.array(texts), lambda t: F.when(F.exists(t, lambda x: x.isin("true", "false")), _truth_rect(v)).otherwise(t))
+        whole = lambda n: F.struct(*(n[i].alias(c) for i, c in enumerate(RECT)), o["isHandwrite"].alias("is_handwrite"), F.coalesce(o["label"], F.lit("")).alias("label"))
+        return F.transform(F.flatten(F.transform(texts, _numbers)), whole)
+
+    rects = F.flatten(F.transform(F.arrays_zip(as_objects.alias("o"), as_arrays.alias("a"), as_given.alias("v")), rect))
+    return F.coalesce(rects, F.array().cast(RECT_TYPE))
 
 
 def explode_regions(prechecks: DataFrame, n_text: int = 3, n_interest: int = 6) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -43,7 +44,7 @@ def parse_prechecks(responses: DataFrame) -> DataFrame:
     v = F.try_parse_json(json_slice(F.coalesce("raw", F.lit(""))))
     rows = responses.withColumn("_v", v)
     bad = F.col("_v").isNull()
-    rects = lambda name: valid_rects(F.try_variant_get(F.col("_v"), f"$.{name}", "array<variant>"))
+    rects = lambda name: valid_rects(F.col("_v"), f"$.{name}")
     return rows.select(
         "image_id",
         F.when(bad, False).otherwise(_truthy(F.col("_v"), "$.hasText")).alias("has_text"),
@@ -186,23 +187,118 @@ def build_requests(parts: DataFrame, kind: str, params: dict[str, str] | None =
     )
 
 
+class ModelError(Exception):
+    """What a model function raises for a refused or lost request: HTTP status (0: no connection), body, seconds to wait if the server names them."""
+
+    def __init__(self, status: int, body: str = "", retry_after: float | None = None):
+        super().__init__(f"HTTP {status}: {body}" if status else body or "no connection")
+        self.status, self.body, self.retry_after = status, body, retry_after
+
+    def __reduce__(self):
+        return ModelError, (self.status, self.body, self.retry_after)
+
+
+_ANSWER = (("body", T.StringType()), ("status", T.IntegerType()), ("error", T.StringType()), ("retry_after", T.DoubleType()), ("ms", T.LongType()))
+
+
 def call_model(requests: DataFrame, fn: Callable[[dict], str], parallel: int | None = None) -> DataFrame:
-    """Adds body, status (200 or 0) and error: fn gets each request as a dict and returns a text.
+    """Adds body, status, error, retry_after and ms: fn gets each request as a dict and returns a text.
 
-    An exception is an error row, never a failed task. Write the result before using it twice: a
-    recomputed task would call the model again. `parallel` caps the calls that run at once.
+    A ModelError gives its own status and body, any other exception status 0; both are error rows,
+    never a failed task. A request with a number in `due` (seconds of the clock) is not sent before.
+    Write the result before using it twice: a recomputed task would call the model again. `parallel`
+    caps the calls that run at once.
     """
-    schema = T.StructType([*requests.schema.fields, T.StructField("body", T.StringType()), T.StructField("status", T.IntegerType()), T.StructField("error", T.StringType())])
+    schema = T.StructType([*requests.schema.fields, *(T.StructField(n, t) for n, t in _ANSWER)])
+
+    def ask(request: dict) -> tuple:
+        for name in ("max_tokens", "due"):  # a column of numbers has NaN where there is none
+            if name in request and request[name] != request[name]:
+                request[name] = None
+        due = request.pop("due", None)
+        if due is not None and due > time.time():
+            time.sleep(due - time.time())
+        start = time.time()
+        try:
+            out = (str(fn(request)), 200, None, None)
+        except ModelError as e:
+            out = (e.body, e.status, str(e)[:400], e.retry_after)
+        except Exception as e:
+            out = (None, 0, str(e)[:400], None)
+        return (*out, round((time.time() - start) * 1000))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for request in batch.to_dict("records"):
-                try:
-                    out.append((str(fn(request)), 200, None))
-                except Exception as e:
-                    out.append((None, 0, str(e)[:400]))
-            yield batch.assign(**{n: [r[i] for r in out] for i, n in enumerate(("body", "status", "error"))})
+            out = [ask(request) for request in batch.to_dict("records")]
+            yield batch.assign(**{n: [r[i] for r in out] for i, (n, _) in enumerate(_ANSWER)})
 
     rows = requests.repartition(parallel) if parallel else requests
     return rows.mapInPandas(run, schema)
+
+
+#: What a request may ask for besides its own columns; null or empty at first.
+_CHANGES = {"attempt": "int", "other_path": "boolean", "other_token_field": "boolean", "dropped_fields": "array<string>", "max_tokens": "int", "due": "double"}
+#: Fixed value: the most attempts that retry_plan's own bounds leave to one request.
+ATTEMPTS = 12
+
+
+def call_with_retries(requests: DataFrame, fn: Callable[[dict], str], path: str, keys: list[str], base_tokens: int = 4096, parallel: int | None = None) -> DataFrame:
+    """As call_model, but what retry_plan wants tried again is tried again: requests with body, status, error, ms and n_attempts.
+
+    keys: columns that tell requests apart. Each round asks what is left over, after its wait, and is
+    written to `path`/attempt=<n> before the next one is planned, so every attempt is on record and a
+    lost executor repeats no call of an earlier round. fn finds in its request how it is to ask this time:
+    attempt (from 1), other_path, other_token_field, dropped_fields and max_tokens (null: as at first).
+    A round without failures and empty answers costs one look at its rows. ms adds up all attempts. An
+    answer that stays empty is an error, and so is the last refusal of a request that is given up.
+    """
+    path, spark = path.rstrip("/"), requests.sparkSession
+    clash = [c for c in requests.columns if c in {*_CHANGES, *(n for n, _ in _ANSWER), "request_id"}]
+    if clash:
+        raise ValueError(f"columns of the answer: {', '.join(clash)}")
+    none = F.array().cast("array<string>")
+    # Struct keys keep their types and tell nulls from texts.
+    key = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+    left = requests.select("*", *((none if n == "dropped_fields" else F.lit(1 if n == "attempt" else False if k == "boolean" else None).cast(k)).alias(n) for n, k in _CHANGES.items()))
+    rounds = []
+    for n in range(1, ATTEMPTS + 1):
+        call_model(left, fn, parallel).write.mode("overwrite").parquet(f"{path}/attempt={n}")
+        kinds = T.StructType([*left.schema.fields, *(T.StructField(*x) for x in _ANSWER)])
+        rounds.append(spark.read.schema(kinds).parquet(f"{path}/attempt={n}").withColumn("request_id", key))
+        asked = rounds[-1]
+        empty = F.col("status").eqNullSafe(200) & (F.length(F.trim(F.coalesce("body", F.lit("")))) == 0)
+        open_ = asked.where(empty | (F.col("status") != 200))
+        if open_.isEmpty():
+            break
+        # All attempts of the requests that are not settled; those of settled ones stay out.
+        log = rounds[0].select("request_id", "attempt", "status", "body", "retry_after", empty.alias("empty"))
+        for r in rounds[1:]:
+            log = log.unionByName(r.select("request_id", "attempt", "status", "body", "retry_after", empty.alias("empty")))
+        log = log.join(open_.select("request_id"), "request_id", "left_semi")
+        plan = retry_plan(log, base_tokens).where("action NOT IN ('done', 'fail')").withColumnRenamed("max_tokens", "more_tokens")
+        now = F.unix_millis(F.current_timestamp()) / 1000
+        again = open_.join(plan.select("request_id", "action", "wait_s", "more_tokens", "drop_field"), "request_id")
+        left = again.select(
+            *requests.columns,
+            F.lit(n + 1).alias("attempt"),
+            (F.col("other_path") | (F.col("action") == "other-path")).alias("other_path"),
+            (F.col("other_token_field") | (F.col("action") == "switch-token-field")).alias("other_token_field"),
+            F.array_union(F.coalesce("dropped_fields", none), F.array_compact(F.array("drop_field"))).alias("dropped_fields"),
+            F.coalesce("more_tokens", "max_tokens").alias("max_tokens"),
+            (now + F.coalesce("wait_s", F.lit(0.0))).alias("due"),
+        )
+        # The table of what is asked again is written: the clock in `due` is read once.
+        left.write.mode("overwrite").parquet(f"{path}/again={n + 1}")
+        left = spark.read.schema(left.schema).parquet(f"{path}/again={n + 1}")
+        if left.isEmpty():
+            break
+    out = rounds[0]
+    for r in rounds[1:]:
+        out = out.unionByName(r)
+    error = F.when(F.col("status") != 200, F.coalesce("error", F.lit("no answer"))).when(F.length(F.trim(F.coalesce("body", F.lit("")))) == 0, F.lit("the answer stayed empty"))
+    names = requests.columns
+    out = out.select(*names, "request_id", "attempt", "body", "status", error.alias("error"), "ms")
+    if len(rounds) == 1:
+        return out.drop("request_id", "attempt").withColumn("n_attempts", F.lit(1))
+    last = out.groupBy("request_id").agg(F.max_by(F.struct(*names, "body", "status", "error"), "attempt").alias("r"), F.sum("ms").alias("ms"), F.max("attempt").alias("n_attempts"))
+    return last.select("r.*", "ms", "n_attempts")

@@ -1,6 +1,7 @@
 """Whole recognition runs: composition of the operators around model and OCR functions of the user.
 
-Every table of answers is written to `work` before it is used, so a failed step repeats no calls.
+Every round of calls is written to `work` before it is used, so a failed step repeats no calls; what
+responses.retry_plan wants tried again is tried again.
 """
 
 from __future__ import annotations
@@ -57,18 +58,45 @@ def ocr_parts(ocr: DataFrame) -> DataFrame:
     return rows.select("image_id", "region_idx", text.alias("text"), "error", F.coalesce("confidence", F.lit(1.0)).alias("confidence"), n.alias("n_lines"))
 
 
+#: Images that are decoded and recognised together: their paths pass through the driver.
+WAVE = 10_000
+
+
+def _spent(parts: list[DataFrame]) -> DataFrame:
+    """image_id, ms: what the calls for each image took."""
+    out = None
+    for p in parts:
+        p = p.select("image_id", "ms")
+        out = p if out is None else out.unionByName(p)
+    return out.groupBy("image_id").agg(F.sum("ms").alias("ms"))
+
+
 def recognise_images(images: DataFrame, precheck_fn: Callable[[dict], str], ocr_fn: Callable[[dict], str], model_fn: Callable[[dict], str], work: str, mode: str = "smart") -> DataFrame:
-    """image_id, answer: pre-check, regions, crops, preparation, OCR or model by handwriting, upgrade, details, answer.
+    """image_id, answer, error, ms: pre-check, regions, crops, preparation, OCR or model by handwriting, upgrade, details, answer.
 
     The functions get a dict with image_id, kind, width, height and pixels in base64 (grey, BGR or BGRA
-    rows) and return a text: precheck_fn JSON, ocr_fn plain lines or JSON lines with scores (see
-    ocr_parts), model_fn a transcription or description. OCR gets the crop after preprocess_images
-    (enlarged only where handwriting is to be read), the model the crop itself; what OCR read with
-    low confidence is transcribed by the model too (kind `upgrade`).
+    rows), and how the request is to be asked this time (see responses.call_with_retries). They return a
+    text: precheck_fn JSON, ocr_fn plain lines or JSON lines with scores (see ocr_parts), model_fn a
+    transcription or description; an empty OCR answer is taken as it is. OCR gets the crop after
+    preprocess_images (enlarged only where handwriting is to be read), the model the crop itself; what
+    OCR read with low confidence is transcribed by the model too (kind `upgrade`). An image whose
+    pre-check failed for good has no answer but that error. ms is the time of all its calls.
     """
     work = work.rstrip("/")
     ask = lambda df, kind: df.select("image_id", *(c for c in ("region_idx", "label") if c in df.columns), F.lit(kind).alias("kind"), "width", "height", "n_channels", F.base64("data").alias("pixels"))
-    raw = _written(responses.call_model(ask(images, "precheck"), precheck_fn).select("image_id", F.coalesce("body", F.lit("")).alias("raw")), f"{work}/prechecks")
+    spent = []
+
+    def call(rows: DataFrame, kind: str, fn: Callable[[dict], str], name: str) -> DataFrame:
+        keys = ["image_id", "region_idx"] if "region_idx" in rows.columns else ["image_id"]
+        if kind == "ocr":  # runs beside the data: nothing found is an answer, and asking again finds no more
+            said = _written(responses.call_model(ask(rows, kind), fn), f"{work}/{name}")
+        else:
+            said = responses.call_with_retries(ask(rows, kind), fn, f"{work}/{name}", keys)
+        spent.append(said)
+        return said.select(*keys, F.col("body").alias("text"), "error")
+
+    checks = call(images, "precheck", precheck_fn, "prechecks")
+    raw = checks.where("error IS NULL").select("image_id", F.coalesce("text", F.lit("")).alias("raw"))
     pre = responses.parse_prechecks(raw)
     px = regions.regions_to_pixels(regions.explode_regions(pre), images)
     crops = {}
@@ -84,7 +112,6 @@ def recognise_images(images: DataFrame, precheck_fn: Callable[[dict], str], ocr_
     flags = px.where("kind = 'text'").withColumn("crop", crop).join(local, "crop", "left").drop("crop")
     routed = regions.route_handwriting(flags, mode)
     todo = text_crops.join(routed.select("image_id", "region_idx", "to_model"), ["image_id", "region_idx"])
-    call = lambda rows, kind, fn, name: _written(responses.call_model(ask(rows, kind), fn).select("image_id", "region_idx", F.col("body").alias("text"), "error"), f"{work}/{name}")
     hand = call(todo.where("to_model"), "handwriting", model_fn, "hand")
     plan = stats.preprocess_plan(keyed, hist).join(todo.select(crop.alias("image_id"), "to_model"), "image_id")
     plan = plan.withColumn("applied", F.when(F.col("to_model"), F.col("applied")).otherwise(F.array_remove("applied", "enlarge")))
@@ -104,78 +131,128 @@ def recognise_images(images: DataFrame, precheck_fn: Callable[[dict], str], ocr_
     labels = px.where("kind = 'interest'").select("image_id", "region_idx", "label")
     details = call(crops["interest"], "detail", model_fn, "details").where("error IS NULL").join(labels, ["image_id", "region_idx"])
     grids = stats.ascii_grid(pixels.sample_cells(images))
-    return image_answer(pre, texts, details, grids)
+    answers = image_answer(pre, texts, details, grids)
+    out = checks.select("image_id", "error").join(answers, "image_id", "left").join(_spent(spent), "image_id", "left")
+    return out.select("image_id", "answer", "error", F.coalesce("ms", F.lit(0).cast("long")).alias("ms"))
 
 
 def recognise_tiles(images: DataFrame, model_fn: Callable[[dict], str], work: str, block: int = 800, overlap: int = 0) -> DataFrame:
-    """image_id, answer: every tile of every image in groups and payload batches, then one request over the group texts."""
+    """image_id, answer, error, ms: every tile of every image in groups and payload batches, then one request over the group texts.
+
+    An image one of whose requests failed for good has no answer but the error of the first of them.
+    """
     work = work.rstrip("/")
     grid = tiles.tile_grid(images, block, overlap, block)
     cut = _written(pixels.extract_tiles(grid, images), f"{work}/tiles")
     sized = cut.select("image_id", "tile_id", F.length("data").cast("long").alias("bytes"), F.struct("x", "y", "w", "h", F.base64("data").alias("pixels")).alias("ref"))
     batched = tiles.batch_payloads(tiles.group_tiles(sized))
-    requests = responses.build_requests(batched, "tiles")
+    requests = responses.build_requests(batched, "tiles").drop("request_id")
     lists = tiles.tile_list_text(grid, images).withColumnRenamed("text", "tile_list")
-    said = _written(responses.call_model(requests.join(lists, "image_id"), model_fn).select("image_id", "group_idx", "batch_idx", F.coalesce("body", F.lit("")).alias("text")), f"{work}/batches")
+    said = responses.call_with_retries(requests.join(lists, "image_id"), model_fn, f"{work}/batches", ["image_id", "group_idx", "batch_idx"])
+    said = _written(said.select("image_id", "group_idx", "batch_idx", F.coalesce("body", F.lit("")).alias("text"), "error", "ms"), f"{work}/said")
+    wrong = said.where("error IS NOT NULL").groupBy("image_id").agg(F.min_by("error", F.struct("group_idx", "batch_idx")).alias("error"))
     mode = tiles.choose_mode(sized.select("image_id", "bytes"), fallback=True).select("image_id", "mode")
-    whole = responses.group_text(said).join(mode, "image_id")
-    final = responses.call_model(whole.where("mode = 'layered'").select("image_id", F.lit("aggregate").alias("kind"), "text"), model_fn).select("image_id", F.coalesce("body", "text").alias("answer"))
-    return _written(whole.where("mode = 'single'").select("image_id", F.col("text").alias("answer")).unionByName(final), f"{work}/answers")
+    whole = _written(responses.group_text(said.select("image_id", "group_idx", "batch_idx", "text")).join(mode, "image_id").join(wrong, "image_id", "left"), f"{work}/whole")
+    layered = whole.where("mode = 'layered' AND error IS NULL").select("image_id", F.lit("aggregate").alias("kind"), "text")
+    final = responses.call_with_retries(layered, model_fn, f"{work}/aggregates", ["image_id"])
+    final = final.select("image_id", F.when(F.col("error").isNull(), F.col("body")).alias("answer"), "error", "ms")
+    single = whole.where("mode = 'single' OR error IS NOT NULL").select("image_id", F.when(F.col("error").isNull(), F.col("text")).alias("answer"), "error", F.lit(0).cast("long").alias("ms"))
+    every = single.unionByName(final)
+    out = every.drop("ms").join(_spent([said, every]), "image_id", "left")
+    return _written(out.select("image_id", "answer", "error", "ms"), f"{work}/answers")
+
+
+def _none(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "rel string, answer string, error string, ms long")
+
+
+def _recognised(spark: SparkSession, missed: DataFrame, n: int, folder: str, recursive: bool, strategy: str, fns: dict[str, Callable[[dict], str]], work: str) -> DataFrame:
+    """rel, answer, error, ms of n files, about WAVE at a time: exactly these are opened, and a wave's answers are written before the next begins."""
+    out, waves = _none(spark), -(-n // WAVE)
+    for wave in range(waves):
+        rows = missed.where(F.pmod(F.xxhash64("path"), F.lit(waves)) == wave)
+        paths = [r.path for r in rows.select("path").collect()]
+        loaded = sources.load_images(spark, folder, recursive, paths).withColumnRenamed("rel", "image_id")
+        own = f"{work}/wave={wave}"
+        images = loaded.where("error IS NULL").drop("error")
+        if strategy == "pipeline":
+            answers = recognise_images(images, fns["precheck"], fns["ocr"], fns["model"], own)
+        else:
+            answers = recognise_tiles(images, fns["model"], own)
+        broken = loaded.where("error IS NOT NULL").select("image_id", F.lit(None).cast("string").alias("answer"), "error", F.lit(0).cast("long").alias("ms"))
+        out = out.unionByName(_written(answers.unionByName(broken).withColumnRenamed("image_id", "rel"), f"{own}/run_answers"))
+    return out
+
+
+def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table that earlier runs wrote, or an empty one."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
+
+
+#: What a run has of each of its files.
+ENTRIES = "rel string, status string, ms long, cached boolean, duplicate_of string, error string, sha string, answer string, seq long, at string"
 
 
 def run_batch(spark: SparkSession, folder: str, out: str, strategy: str, fns: dict[str, Callable[[dict], str]], pattern: str | None = None, recursive: bool = False, resume: bool = True, limit: int | None = None, params: dict[str, str] | None = None) -> DataFrame:
     """A resumable run over a folder: scan, plan, dedupe, cache, recognise, log, reports. Returns the state of every file.
 
     fns: precheck, ocr and model for strategy `pipeline`, model for `full`. Called again it does only
-    what is new or failed: files that are done are not opened, cached ones not decoded. An empty folder
-    still gives reports.
+    what is new or failed: files that are done are not opened, cached ones not decoded, and where
+    nothing is left to do only the reports are written anew. A failed file keeps the message of what failed;
+    ms is the time of its calls. An empty folder still gives reports.
     """
     if strategy not in ("pipeline", "full"):
         raise ValueError("strategy must be pipeline or full")
     out = out.rstrip("/")
-    files = _written(sources.scan_images(spark, folder, pattern, recursive), f"{out}/work/files")
-    log = logs.read_index(spark, f"{out}/index")
-    plan = batch.plan_batch(files, log, resume, limit).where("label = 'todo'").select("rel", "path")
-    content = sources.with_content(_written(plan, f"{out}/work/plan"), spark, folder, recursive).select("rel", "path", "sha")
-    todo = _written(batch.dedupe_content(content), f"{out}/work/todo")
+    work = f"{out}/work"
+    files = _written(sources.scan_images(spark, folder, pattern, recursive), f"{work}/files")
+    log = _written(logs.read_index(spark, f"{out}/index"), f"{work}/log")
+    plan = batch.plan_batch(files, log, resume, limit).where("label = 'todo'").select("rel", "path", "size")
+    plan = _written(plan, f"{work}/plan")
+    if plan.isEmpty():
+        entries = spark.createDataFrame([], ENTRIES)
+    else:
+        entries = _run(spark, plan, folder, out, strategy, fns, recursive, params)
+        logs.append_index(entries.drop("answer"), f"{out}/index")
+        entries.where("status = 'done'").select("rel", "answer", "seq").write.mode("append").parquet(f"{out}/answers")
+    kept = batch.latest_per_key(_stored(spark, f"{out}/answers", "rel string, answer string, seq long")).select("rel", "answer")
+    status = batch.merge_status(files, entries, log).join(entries.select("rel", "sha", "cached", "duplicate_of", "answer"), "rel", "left")
+    status = _written(batch.attach_answers(status, kept), f"{out}/status")
+    logs.write_reports(status, entries, f"{out}/reports")
+    return status
+
+
+def _run(spark: SparkSession, plan: DataFrame, folder: str, out: str, strategy: str, fns: dict[str, Callable[[dict], str]], recursive: bool, params: dict[str, str] | None) -> DataFrame:
+    """The entries of the planned files: copies, cached answers and new ones."""
+    work = f"{out}/work"
+    content = sources.with_content(plan).select("rel", "path", "sha", "read_error")
+    todo = _written(batch.dedupe_content(content), f"{work}/todo")
     own = F.create_map(*[F.lit(x) for kv in ({"strategy": strategy} | (params or {})).items() for x in kv])
-    keyed = cache.with_cache_key(todo.where("duplicate_of IS NULL AND sha IS NOT NULL").withColumn("params", own)).drop("params")
-    try:
-        stored = spark.read.parquet(f"{out}/cache")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        stored = spark.createDataFrame([], "key string, ts timestamp, value string, bytes long, shard string")
-    looked = _written(cache.cache_lookup(keyed, stored, None, F.current_timestamp()), f"{out}/work/looked")
+    keyed = cache.with_cache_key(todo.where("duplicate_of IS NULL AND sha IS NOT NULL").withColumn("params", own)).drop("params", "read_error")
+    stored = _stored(spark, f"{out}/cache", "key string, ts timestamp, value string, bytes long, shard string")
+    looked = _written(cache.cache_lookup(keyed, stored, None, F.current_timestamp()), f"{work}/looked")
     missed = looked.where("NOT hit")
-    loaded = sources.load_images(spark, folder, recursive, sources.few_paths(missed)).join(missed.select("rel"), "rel", "left_semi").withColumnRenamed("rel", "image_id")
-    images = loaded.where("error IS NULL").drop("error")
-    work = f"{out}/work"
-    answers = recognise_images(images, fns["precheck"], fns["ocr"], fns["model"], work) if strategy == "pipeline" else recognise_tiles(images, fns["model"], work)
-    answers = _written(answers.withColumnRenamed("image_id", "rel"), f"{out}/work/run_answers")
+    n = missed.count()
+    answers = _recognised(spark, missed, n, folder, recursive, strategy, fns, work)
     got = looked.join(answers, "rel", "left").withColumn("answer", F.coalesce("cached_value", "answer"))
-    good = F.length(F.trim("answer")) > 0
-    results = got.select("rel", F.when(good, "done").otherwise("failed").alias("status"), F.lit(0).cast("long").alias("ms"), F.when(~F.coalesce(good, F.lit(False)), "no answer").alias("error"), "answer", "hit", "sha", "key", "shard")
-    results = _written(results, f"{out}/work/results")
-    cache.write_cache(results.where("NOT hit").select("shard", "key", F.current_timestamp().alias("ts"), F.col("answer").alias("value"), F.length("answer").cast("long").alias("bytes"), (F.col("status") == "done").alias("ok")), f"{out}/cache")
+    good = F.coalesce(F.length(F.trim("answer")) > 0, F.lit(False))
+    error = F.when(~good, F.coalesce("error", F.lit("no answer")))
+    unread = todo.where("sha IS NULL").select("rel", F.lit("failed").alias("status"), F.lit(0).cast("long").alias("ms"), F.coalesce("read_error", F.lit("can't be read")).alias("error"), *(F.lit(None).cast(k).alias(c) for c, k in (("answer", "string"), ("hit", "boolean"), ("sha", "string"), ("key", "string"), ("shard", "string"))))
+    results = got.select("rel", F.when(good, "done").otherwise("failed").alias("status"), F.coalesce("ms", F.lit(0).cast("long")).alias("ms"), error.alias("error"), "answer", "hit", "sha", "key", "shard")
+    results = _written(results.unionByName(unread), f"{work}/results")
+    if n:
+        cache.write_cache(results.where("NOT hit").select("shard", "key", F.current_timestamp().alias("ts"), F.col("answer").alias("value"), F.length("answer").cast("long").alias("bytes"), (F.col("status") == "done").alias("ok")), f"{out}/cache")
     spread = batch.fan_out_duplicates(todo, results).withColumn("status", F.coalesce("status", F.lit("failed")))
     texts = todo.select("rel", "sha", F.coalesce("duplicate_of", "rel").alias("source")).join(results.select(F.col("rel").alias("source"), "answer", "hit"), "source", "left").drop("source")
     entries = spread.join(texts, "rel", "left").withColumn("cached", F.coalesce(F.col("cached") | F.col("hit"), F.lit(False)))
     seq = int(spark.range(1).select(F.unix_millis(F.current_timestamp())).first()[0])
-    entries = _written(entries.withColumn("seq", F.lit(seq)).withColumn("at", F.lit(f"{seq:020d}")).drop("hit"), f"{out}/work/entries")
-    logs.append_index(entries.drop("answer"), f"{out}/index")
-    stored_answers = _keep_answers(spark, entries, f"{out}/answers")
-    status = batch.merge_status(files, entries, log).join(entries.select("rel", "sha", "cached", "duplicate_of", "answer"), "rel", "left")
-    status = batch.attach_answers(status, stored_answers)
-    status = _written(status, f"{out}/status")
-    logs.write_reports(status, entries, f"{out}/reports")
-    return status
-
-
-def _keep_answers(spark: SparkSession, entries: DataFrame, path: str) -> DataFrame:
-    """Adds this run's answers to the stored ones; the newest of each file."""
-    entries.where("status = 'done'").select("rel", "answer", "seq").write.mode("append").parquet(path)
-    return batch.latest_per_key(spark.read.parquet(path)).select("rel", "answer")
+    entries = entries.withColumn("seq", F.lit(seq).cast("long")).withColumn("at", F.lit(f"{seq:020d}"))
+    return _written(entries.select(*(f.split()[0] for f in ENTRIES.split(", "))), f"{work}/entries")
 
 
 def pixels_of(request: dict) -> bytes:

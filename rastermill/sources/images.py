@@ -10,16 +10,13 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastermill.functions.scalars import by_name, EXTENSIONS, content_hash, extension
+from rastermill.functions.scalars import EXTENSIONS, by_name, content_hash, extension
+from rastermill.sources.listed import read_listed
 
 #: Larger files are not read.
 MAX_BYTES = 512 << 20
 
 
-#: Listings of up to so many files are read by their paths.
-LISTED = 10_000
-
-
 def parse_pattern(pattern: str | None) -> list[str]:
     """Extensions from a text such as `*.png;jpg`; nothing in it: the default set."""
     parts = re.split(r"[;,、\s]+", pattern or "")
@@ -62,28 +59,20 @@ def drop_oversize(files: DataFrame, max_bytes: int = MAX_BYTES, column: str = "l
     return files.withColumn("error", F.when(F.col(column) > max_bytes, F.lit("file too large")).cast("string"))
 
 
-def few_paths(files: DataFrame) -> list[str] | None:
-    """The paths of a listing of at most LISTED files; None for a longer one."""
-    paths = [r.path for r in files.select("path").limit(LISTED + 1).collect()]
-    return paths if len(paths) <= LISTED else None
-
-
-def _read(reader, places: list[str]) -> DataFrame:
+def exact(reader, places: list[str]) -> DataFrame:
     """Reads files by their exact paths: signs that a pattern would be read from are taken as they are."""
     return reader.load([re.sub(r"([\\\[\]{}*?])", r"\\\1", p) for p in places])
 
 
-def with_content(files: DataFrame, spark: SparkSession, folder: str, recursive: bool = False, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Adds content and sha to a listing; files above the bound are left out of the read.
+def with_content(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Adds content, sha and read_error to a listing (path, size): exactly its files are opened, however many there are.
 
-    A listing of at most LISTED files is read by its paths (an empty one opens no file), a longer one with a scan of the folder.
+    A file above max_bytes is not opened and has an error; so has one that can't be read.
     """
-    paths = few_paths(files)
-    if paths == []:
-        return files.withColumn("content", F.lit(None).cast("binary")).withColumn("sha", F.lit(None).cast("string"))
-    read = _binary(spark, folder, recursive) if paths is None else _read(spark.read.format("binaryFile"), paths)
-    read = read.where(F.col("length") <= max_bytes).select("path", "content", content_hash(F.col("content")).alias("sha"))
-    return files.join(read, "path", "left")
+    marked = drop_oversize(files, max_bytes, "size").withColumnRenamed("error", "_large")
+    read = read_listed(marked.where("_large IS NULL").select("path", "size"))
+    found = read.select("path", "content", content_hash(F.col("content")).alias("sha"), F.col("error").alias("_unread"))
+    return marked.join(found, "path", "left").withColumn("read_error", F.coalesce("_large", "_unread")).drop("_large", "_unread")
 
 
 def image_sizes(files: DataFrame) -> DataFrame:
@@ -109,7 +98,7 @@ def load_images(spark: SparkSession, folder: str, recursive: bool = False, paths
     if paths == []:
         return spark.createDataFrame([], "rel string, width int, height int, n_channels int, data binary, error string")
     reader = spark.read.format("image").option("dropInvalid", False)
-    rows = (reader.option("recursiveFileLookup", str(recursive).lower()).load(folder) if paths is None else _read(reader, paths)).select("image.*")
+    rows = (reader.option("recursiveFileLookup", str(recursive).lower()).load(folder) if paths is None else exact(reader, paths)).select("image.*")
     bad = F.col("width") < 1
     null = lambda c, t: F.when(~bad, F.col(c)).cast(t)
     return rows.select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,11 +42,23 @@ def write_tiles(tiles: DataFrame, path: str, buckets: int = 64) -> None:
 
 
 def write_reports(status: DataFrame, results: DataFrame, path: str) -> None:
-    """Rebuilds the three reports: summary and full text as lines in order, items as JSON lines."""
+    """Rebuilds the three reports: summary and full text as lines in order, items as JSON lines. All are written at once."""
     path = path.rstrip("/")
-    lines = batch.report_lines(status, results)
-    lines.repartitionByRange("section", "rel", "ord").sortWithinPartitions("section", "rel", "ord").select("line").write.mode("overwrite").text(f"{path}/summary")
-    full = batch.full_report(status)
-    full.repartitionByRange("n").sortWithinPartitions("n").select("block").write.mode("overwrite").text(f"{path}/full")
-    batch.report_json(status).select("item").write.mode("overwrite").text(f"{path}/items")
-    batch.batch_stats(status, results).write.mode("overwrite").json(f"{path}/stats")
+
+    def summary() -> None:
+        lines = batch.report_lines(status, results)
+        lines.repartitionByRange("section", "rel", "ord").sortWithinPartitions("section", "rel", "ord").select("line").write.mode("overwrite").text(f"{path}/summary")
+
+    def full() -> None:
+        # Blocks come out of with_rank in order, in the partitions they are to be written in.
+        batch.full_report(status).select("block").write.mode("overwrite").text(f"{path}/full")
+
+    def items() -> None:
+        batch.report_json(status).select("item").write.mode("overwrite").text(f"{path}/items")
+
+    def counts() -> None:
+        batch.batch_stats(status, results).write.mode("overwrite").json(f"{path}/stats")
+
+    with ThreadPoolExecutor(4) as pool:
+        for job in [pool.submit(f) for f in (summary, full, items, counts)]:
+            job.result()

@@ -50,7 +50,7 @@ def test_rank_over_partitions(spark):
 
 
 def test_scalars(spark):
-    cases = [(None, "n/a"), (-1, "n/a"), (640, "640ms"), (1234, "1.2s"), (119600, "1m60s"), (123000, "2m03s"), (3900000, "1h05m")]
+    cases = [(None, "n/a"), (-1, "n/a"), (640, "640ms"), (1234, "1.2s"), (1650, "1.6s"), (1750, "1.8s"), (1250, "1.3s"), (2250, "2.3s"), (1050, "1.1s"), (1150, "1.1s"), (59949, "59.9s"), (59950, "60.0s"), (999, "999ms"), (119600, "1m60s"), (123000, "2m03s"), (3900000, "1h05m")]
     df = spark.createDataFrame([c[:1] for c in cases], "ms long")
     assert [r[0] for r in df.select(S.human_ms(F.col("ms"))).collect()] == [c[1] for c in cases]
     names = spark.createDataFrame([("a/b c.png",), ("..x.jpg",), ("...",), ("图像-1.png",), ("d/" + "x" * 80 + ".gif",)], "rel string")

@@ -5,9 +5,11 @@ import numpy as np
 from image_fixtures import image_rows, png
 from pyspark.sql import functions as F
 
+from rastermill.operators import responses
+from rastermill.plans import recognise
 from rastermill.plans.recognise import ocr_parts, recognise_images, run_batch
 from rastermill.sources import images as sources
-from rastermill.sources import logs
+from rastermill.sources import listed, logs
 from rastermill.streaming import arrivals
 
 
@@ -33,7 +35,7 @@ def test_sizes_and_bad_files(spark, tmp_path):
     (tmp_path / "broken.png").write_bytes(b"text")
     rows = {r.rel: r for r in sources.load_images(spark, str(tmp_path)).collect()}
     assert (rows["ok.png"].width, rows["ok.png"].height, rows["ok.png"].error) == (13, 7, None) and rows["broken.png"].error
-    files = sources.with_content(sources.scan_images(spark, str(tmp_path)), spark, str(tmp_path))
+    files = sources.with_content(sources.scan_images(spark, str(tmp_path)))
     got = {r.rel: (r.width, r.height) for r in sources.image_sizes(files).collect()}
     assert got == {"ok.png": (13, 7), "broken.png": (None, None)}
 
@@ -74,21 +76,119 @@ def test_batch_end_to_end_and_resume(spark, tmp_path, monkeypatch):
         raise AssertionError("called again")
 
     calls = {k: never for k in fns}
+    assert got["bad.png"].error == "not an image that can be decoded" and all(r.ms >= 0 for r in got.values())
     (src / "bad.png").unlink()
-    opened, read = [], sources._read
-    monkeypatch.setattr(sources, "_read", lambda reader, places: opened.append(sorted(p.rsplit("/", 1)[1] for p in places)) or read(reader, places))
+    opened, exact, hashed, listed = [], sources.exact, [], sources.read_listed
+    monkeypatch.setattr(sources, "exact", lambda reader, places: opened.append(sorted(p.rsplit("/", 1)[1] for p in places)) or exact(reader, places))
+    monkeypatch.setattr(sources, "read_listed", lambda files: hashed.append(sorted(r.path.rsplit("/", 1)[1] for r in files.collect())) or listed(files))
     again = {r.rel: r for r in run_batch(spark, str(src), out, "pipeline", calls).collect()}
-    assert opened == []  # with nothing to do no file is opened
+    assert opened == hashed == []  # with nothing to do no file is opened
     assert {r.status for r in again.values()} == {"done"} and again["y.png"].answer == got["y.png"].answer
     forced = {r.rel: r for r in run_batch(spark, str(src), out, "pipeline", calls, resume=False).collect()}
     assert {r.status for r in forced.values()} == {"done"} and forced["y.png"].cached
-    assert opened == [["x1.png", "x2.png", "y.png"]]  # hashed, but not decoded
+    assert hashed == [["x1.png", "x2.png", "y.png"]] and opened == []  # hashed, but not decoded
     (src / "new.png").write_bytes(png(rng.integers(0, 255, (40, 40))))
     more = {r.rel: r for r in run_batch(spark, str(src), out, "pipeline", fns).collect()}
-    assert more["new.png"].status == "done" and opened[1:] == [["new.png"], ["new.png"]]
+    assert more["new.png"].status == "done" and hashed[1:] == opened == [["new.png"]]
     assert (tmp_path / "out/reports/summary").exists()
 
 
+def test_run_retries_and_says_what_failed(spark, tmp_path, monkeypatch):
+    """Refusals of several kinds, in waves of one image: what can be tried again is, the rest keeps its message."""
+    src = tmp_path / "in"
+    src.mkdir()
+    rng = np.random.default_rng(4)
+    for name in ("busy", "path", "field", "auth"):
+        (src / f"{name}.png").write_bytes(png(rng.integers(0, 255, (30, 40))))
+    monkeypatch.setattr(recognise, "WAVE", 1)
+
+    def model(request):
+        from rastermill.operators.responses import ModelError
+
+        name, n = request["image_id"].split(".")[0], request["attempt"]
+        if name == "busy" and n < 3:
+            raise ModelError(429, "slow down", 0.05)
+        if name == "path" and not request["other_path"]:
+            raise ModelError(404, "no such path")
+        if name == "field" and "thinking" not in request["dropped_fields"]:
+            raise ModelError(400, "unknown field thinking")
+        if name == "auth":
+            raise ModelError(401, "no key")
+        return f"{name} read at attempt {n}"
+
+    got = {r.rel: r for r in run_batch(spark, str(src), str(tmp_path / "out"), "full", {"model": model}).collect()}
+    assert {k: r.status for k, r in got.items()} == {"busy.png": "done", "path.png": "done", "field.png": "done", "auth.png": "failed"}
+    assert "attempt 3" in got["busy.png"].answer and "attempt 2" in got["path.png"].answer and got["auth.png"].error == "HTTP 401: no key"
+    log = {r.rel: r for r in logs.read_index(spark, str(tmp_path / "out/index")).collect()}
+    assert log["auth.png"].error == "HTTP 401: no key" and log["busy.png"].status == "done"
+
+
+def test_retries(spark, tmp_path):
+    def fn(r):
+        import time as clock
+
+        from rastermill.operators.responses import ModelError
+
+        k, n = r["k"], r["attempt"]
+        if k == "busy" and n <= 2:
+            raise ModelError(429, "slow down", 0.3)
+        if k in ("path", "path2") and (k == "path2" or not r["other_path"]):
+            raise ModelError(404, "not here")
+        if k == "token" and not r["other_token_field"]:
+            raise ModelError(400, "use max_completion_tokens")
+        if k == "field" and set(r["dropped_fields"]) != {"thinking", "detail"}:
+            raise ModelError(400, "unknown " + ("thinking" if n == 1 else "detail"))
+        if k == "auth":
+            raise ModelError(401, "no key")
+        if k == "empty":
+            return "long" if (r["max_tokens"] or 0) >= 4096 + 12288 else " "
+        if k == "mute":
+            return ""
+        if k is None:
+            raise ValueError("lost")
+        return f"{n} {clock.time()}"
+
+    df = spark.createDataFrame([(k,) for k in ("fine", "busy", "path", "path2", "token", "field", "auth", "empty", "mute", None)], "k string")
+    path = str(tmp_path / "calls")
+    got = {r.k: r for r in responses.call_with_retries(df, fn, path, ["k"]).collect()}
+    assert {k: r.n_attempts for k, r in got.items()} == {"fine": 1, "busy": 3, "path": 2, "path2": 2, "token": 2, "field": 3, "auth": 1, "empty": 3, "mute": 3, None: 2}
+    assert {k for k, r in got.items() if r.error is None} == {"fine", "busy", "path", "token", "field", "empty"} and got["mute"].error == "the answer stayed empty" and got[None].error == "lost"
+    assert float(got["busy"].body.split()[1]) - float(got["fine"].body.split()[1]) > 0.6  # it waited twice
+    assert sorted(r.attempt for r in spark.read.parquet(path + "/attempt=*").where("k = 'field'").collect()) == [1, 2, 3]
+    assert responses.call_with_retries(df.limit(0), fn, path, ["k"]).count() == 0
+
+
+def test_exactly_the_listed_files_are_opened(spark, tmp_path):
+    """Of many files those that are not listed are gone before the read; it opens the others, in all partitions."""
+    src = tmp_path / "in"
+    src.mkdir()
+    names = [f"f {i}[{i % 7}].png" for i in range(6001)]
+    for n in names:
+        (src / n).write_bytes(n.encode())
+    files = sources.scan_images(spark, str(src)).cache()
+    assert files.count() == 6001
+    wanted = files.where(F.pmod(F.hash("rel"), F.lit(2)) == 0)
+    keep = {r.name for r in wanted.collect()}
+    for n in names:
+        if n not in keep:
+            (src / n).unlink()
+    assert listed.read_listed(wanted).rdd.getNumPartitions() == 4
+    rows = sources.with_content(wanted).select("name", "content", "sha", "read_error").collect()
+    assert {r.name: bytes(r.content) for r in rows} == {n: n.encode() for n in keep} and all(r.sha and not r.read_error for r in rows)
+    gone = sources.with_content(files.where(~F.col("name").isin(list(keep))).limit(3)).collect()
+    assert len(gone) == 3 and all(r.content is None and r.read_error for r in gone)
+    large = sources.with_content(wanted.limit(2), max_bytes=3).collect()
+    assert {r.read_error for r in large} == {"file too large"} and sources.with_content(wanted.limit(0)).count() == 0
+    files.unpersist()
+
+
+def test_listed_files_of_other_storage(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.png").write_bytes(b"one")
+    monkeypatch.setattr(listed, "SCHEMES", ())
+    got = sources.with_content(sources.scan_images(spark, str(tmp_path))).collect()
+    assert [(r.rel, bytes(r.content)) for r in got] == [("a.png", b"one")]
+
+
 def test_low_confidence_is_upgraded_and_crops_are_prepared(spark, tmp_path):
     page = np.full((200, 400), 255)
     page[:, :200] = 30
