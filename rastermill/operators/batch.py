@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from rastermill.functions.lineage import cut_lineage
 from rastermill.functions.scalars import by_name, human_ms, preview_text
+from rastermill.operators.skew import join_counted
 
 
 def latest_per_key(log: DataFrame, key: str = "rel", order: tuple[str, ...] = ("seq",)) -> DataFrame:
@@ -71,25 +72,48 @@ def split_plan(plan: DataFrame) -> dict[str, DataFrame]:
 
 
 def dedupe_content(todo: DataFrame) -> DataFrame:
-    """Adds duplicate_of: the first file (by rel) with the same sha, null for that one itself. An empty sha matches nothing."""
-    sha = F.when(F.length("sha") > 0, F.col("sha"))
-    first = todo.where(F.length("sha") > 0).groupBy("sha").agg(F.min_by("rel", F.struct(by_name("rel"), "rel")).alias("first_rel"))
-    rows = todo.withColumn("_sha", sha).join(first.withColumnRenamed("sha", "_sha"), "_sha", "left")
-    return rows.withColumn("duplicate_of", F.when(F.col("first_rel") != F.col("rel"), F.col("first_rel"))).drop("_sha", "first_rel")
+    """Adds duplicate_of: the first file (by rel) with the same sha, null for that one itself. A null or empty sha matches nothing.
+
+    Files are counted by sha where they are read. Only shas of several files meet the files again, those
+    of very many by a broadcast, so that a content that most files have is no task of its own.
+    """
+    named = todo.where(F.length("sha") > 0)
+    first = named.groupBy("sha").agg(F.min_by("rel", F.struct(by_name("rel"), "rel")).alias("first_rel"), F.count(F.lit(1)).alias("_files"))
+    several = cut_lineage(first.where("_files > 1")).withColumnRenamed("sha", "_sha")
+    rows = join_counted(todo.withColumn("_sha", F.when(F.length("sha") > 0, F.col("sha"))), several, "_sha", "_files")
+    return rows.withColumn("duplicate_of", F.when(F.col("first_rel") != F.col("rel"), F.col("first_rel"))).select(*todo.columns, "duplicate_of")
 
 
 def fan_out_duplicates(todo: DataFrame, results: DataFrame) -> DataFrame:
     """Every file of todo with its own or its representative's result; a failed one fails its copies too.
 
     todo: rel, duplicate_of; results: rel, status, ms, error. Copies are marked cached and take no time.
+    Results that very many copies ask for are broadcast to them.
     """
-    asked = todo.select("rel", "duplicate_of", F.coalesce("duplicate_of", "rel").alias("source"))
     got = results.select(F.col("rel").alias("source"), "status", "ms", "error")
-    rows = asked.join(got, "source", "left")
+    asked = todo.select("rel", "duplicate_of", F.coalesce("duplicate_of", "rel").alias("source"))
+    shared = cut_lineage(asked.where("duplicate_of IS NOT NULL").groupBy("source").agg(F.count(F.lit(1)).alias("_copies")))
+    of_copies = got.join(shared, "source")
+    own = asked.where("duplicate_of IS NULL").join(got, "source", "left")
+    copies = join_counted(asked.where("duplicate_of IS NOT NULL"), of_copies, "source", "_copies").drop("_copies")
+    rows = own.unionByName(copies)
     copy = F.col("duplicate_of").isNotNull()
     return rows.select("rel", "status", F.when(copy, F.lit(0)).otherwise(F.col("ms")).cast("long").alias("ms"), copy.alias("cached"), "duplicate_of", "error")
 
 
+def known_copies(files: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entries of files whose content is known, the other files). files: rel, sha; known: sha, first_rel, one row a sha.
+
+    A copy is done, cached and takes no time; a file that is known by its own name is no duplicate.
+    """
+    rows = files.join(known.select("sha", "first_rel"), "sha", "left")
+    found = rows.where("first_rel IS NOT NULL")
+    entries = found.select(
+        "rel", F.lit("done").alias("status"), F.lit(0).cast("long").alias("ms"), F.lit(True).alias("cached"), F.when(F.col("first_rel") != F.col("rel"), F.col("first_rel")).alias("duplicate_of"), F.lit(None).cast("string").alias("error"), "sha"
+    )
+    return entries, rows.where("first_rel IS NULL").select(files.columns)
+
+
 def merge_status(files: DataFrame, results: DataFrame, log: DataFrame) -> DataFrame:
     """rel, status, ms, error of every file: this run's result, else its last record, else pending."""
     now = results.select("rel", F.col("status").alias("s1"), F.col("ms").alias("m1"), F.col("error").alias("e1"))

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from rastermill.functions.scalars import cache_key, cache_shard, fingerprint
 
 
+#: Keys of a look-up that may be broadcast.
+MOST_KEYS = 300_000
+
+
 def with_cache_key(rows: DataFrame, digest: str = "sha", params: str = "params") -> DataFrame:
     """Adds key and shard from the content hash and a map of everything the result depends on."""
     return rows.withColumn("key", cache_key(F.col(digest), fingerprint(F.col(params)))).withColumn("shard", cache_shard(F.col("key")))
@@ -21,7 +25,9 @@ def cache_lookup(requests: DataFrame, cache: DataFrame, ttl_ms: int | None, now:
     """Adds hit and cached_value. An entry counts if it has a value and is not older than ttl_ms.
 
     ttl_ms of None, 0 or less: entries never expire, or always with nonpositive="expired".
-    Of several entries of one key the newest counts.
+    Of several entries of one key the newest counts. A null or empty key never hits. Of the cache only
+    the entries of keys that are asked for are grouped; where it is stored in folders by shard, only
+    the folders of these keys are read.
     """
     if nonpositive not in ("never", "expired"):
         raise ValueError("nonpositive must be never or expired")
@@ -30,6 +36,9 @@ def cache_lookup(requests: DataFrame, cache: DataFrame, ttl_ms: int | None, now:
         live = live.where(_age_ms("ts", now) <= ttl_ms)
     elif nonpositive == "expired":
         live = live.where(F.lit(False))
+    asked = requests.where("length(key) > 0").select("shard", "key").distinct()
+    few = asked.count() <= MOST_KEYS
+    live = live.join(F.broadcast(asked) if few else asked, ["shard", "key"], "left_semi")
     newest = live.groupBy("shard", "key").agg(F.max_by("value", "ts").alias("cached_value"))
     rows = requests.join(newest, ["shard", "key"], "left")
     return rows.withColumn("hit", F.col("cached_value").isNotNull())

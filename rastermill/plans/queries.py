@@ -74,6 +74,15 @@ def fan_out_duplicates(spark, d):
     return batch.fan_out_duplicates(batch.dedupe_content(T.files(spark, d)), T.run_results(spark, d))
 
 
+@query("files labelled", """, known AS (SELECT sha, min(rel) AS first_rel FROM labelled WHERE quality = 1 GROUP BY sha)
+SELECT rel, sha, CASE WHEN first_rel IS NULL THEN 'new' ELSE 'done' END AS status, CASE WHEN first_rel <> rel THEN first_rel END AS duplicate_of FROM files LEFT JOIN known USING (sha)""")
+def known_copies(spark, d):
+    """What a micro-batch of all files finds done by the log: the batch twin of stream_recognise."""
+    known = T.index_log(spark, d).where("status = 'done'").groupBy("sha").agg(F.min("rel").alias("first_rel"))
+    old, new = batch.known_copies(T.files(spark, d).select("rel", "sha"), known)
+    return old.select("rel", "sha", "status", "duplicate_of").unionByName(new.select("rel", "sha", F.lit("new").alias("status"), F.lit(None).cast("string").alias("duplicate_of")))
+
+
 _STATUS = """, st AS (SELECT f.rel, coalesce(r.status, l.status, 'pending') AS status, CASE WHEN r.rel IS NOT NULL THEN r.ms ELSE l.ms END AS ms, CASE WHEN r.rel IS NOT NULL THEN r.error ELSE l.error END AS error
 FROM files f LEFT JOIN run_results r USING (rel) LEFT JOIN last_log l ON l.rel = f.rel)"""
 

@@ -89,7 +89,7 @@ def recognise_images(images: DataFrame, precheck_fn: Callable[[dict], str], ocr_
     def call(rows: DataFrame, kind: str, fn: Callable[[dict], str], name: str) -> DataFrame:
         keys = ["image_id", "region_idx"] if "region_idx" in rows.columns else ["image_id"]
         if kind == "ocr":  # runs beside the data: nothing found is an answer, and asking again finds no more
-            said = _written(responses.call_model(ask(rows, kind), fn), f"{work}/{name}")
+            said = _written(responses.call_model(ask(rows, kind), fn).withColumnRenamed("body", "text"), f"{work}/{name}").withColumnRenamed("text", "body")
         else:
             said = responses.call_with_retries(ask(rows, kind), fn, f"{work}/{name}", keys)
         spent.append(said)

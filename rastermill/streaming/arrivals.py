@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from rastermill.functions.lineage import cut_lineage
 from rastermill.functions.scalars import EXTENSIONS, content_hash, extension
 from rastermill.operators import batch
+from rastermill.sources.keyed import KeyedTable
 
 
 def stream_images(spark: SparkSession, folder: str, limit: int = 100, recursive: bool = False) -> DataFrame:
@@ -30,32 +32,37 @@ def stream_status_counts(log_stream: DataFrame) -> DataFrame:
     return log_stream.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def stream_recognise(stream: DataFrame, recognise: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
-    """Per micro-batch: dedupe, leave out what the log has as done, recognise, write answers and log.
+#: Micro-batches after which the table of done contents is written anew as one snapshot.
+COMPACT_EVERY = 50
+
+
+def stream_recognise(stream: DataFrame, recognise: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, compact_every: int = COMPACT_EVERY) -> StreamingQuery:
+    """Per micro-batch: look contents up, dedupe, recognise what is new, write answers and log. Every file gets one record.
 
     stream: path, sha, ... ; recognise: rows with path and sha -> path, status, answer, error. What a
     batch writes stands in folders of its own number, so a batch that is run again replaces its output.
-    Copies within a batch get the result of their first file.
+    Copies of a file that is done, in this batch or an earlier one, are done from cache and name it as
+    duplicate_of; contents that failed are tried again with their next file. What is done is kept by sha in a
+    keyed table (`out`/done), of which a batch reads the shards of its own contents; the log is never read.
     """
     out = out.rstrip("/")
 
     def each(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
+        done = KeyedTable(spark, f"{out}/done", "first_rel string")
+        if number and number % compact_every == 0:
+            done.compact(below=number)
         files = rows.withColumnRenamed("path", "rel")
-        try:
-            # Folders of other batches only: one that is run again must not see its own output.
-            old = spark.read.option("basePath", f"{out}/log").schema("rel string, status string, sha string, error string, cached boolean, duplicate_of string, batch long").json(f"{out}/log")
-            done = old.where((F.col("batch") != number) & (F.col("status") == "done")).select("sha").distinct()
-            files = files.join(done, "sha", "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        marked = batch.dedupe_content(files)
+        known = done.lookup(files.select(F.col("sha").alias("key")), but=number).withColumnRenamed("key", "sha")
+        old, new = batch.known_copies(files, cut_lineage(known))
+        marked = batch.dedupe_content(new)
         answers = recognise(marked.where("duplicate_of IS NULL").withColumnRenamed("rel", "path"))
         answers.write.mode("overwrite").parquet(f"{out}/answers/batch={number}")
         got = spark.read.schema(answers.schema).parquet(f"{out}/answers/batch={number}")
         results = got.select(F.col("path").alias("rel"), "status", F.lit(0).cast("long").alias("ms"), "error")
-        entries = batch.fan_out_duplicates(marked, results).join(marked.select("rel", "sha"), "rel")
+        entries = batch.fan_out_duplicates(marked, results).join(marked.select("rel", "sha"), "rel").unionByName(old)
         entries.select("rel", "status", "sha", "error", "cached", "duplicate_of").write.mode("overwrite").json(f"{out}/log/batch={number}")
+        shas = marked.where("duplicate_of IS NULL").select("rel", F.col("sha").alias("key"))
+        done.put(shas.join(results.where("status = 'done'").select("rel"), "rel").withColumnRenamed("rel", "first_rel"), number)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

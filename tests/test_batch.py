@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from rastermill.functions import scalars as S
-from rastermill.operators import batch, cache, responses
+from rastermill.operators import batch, cache, responses, skew
 
 LOG = "rel string, status string, ms long, sha string, error string, seq int"
 
@@ -168,3 +168,34 @@ def test_cache_prune_equals_definition(spark):
         for ttl, cap in ((None, 1000), (10 * 86_400_000, 700), (0, 10**9), (spread * 500, 1), (None, 0), (None, -5)):
             got = cache.cache_prune(df, ttl, cap, F.timestamp_seconds(F.lit(1_700_000_000 + spread))).collect()
             assert len(got) == 150 and {r.key for r in got if r["drop"]} == _pruned(rows, ttl, cap, 1_700_000_000 + spread), (case, ttl, cap)
+
+
+def test_a_hot_content_is_no_task_of_its_own(spark, monkeypatch):
+    """One content in nine of ten files, empty and null ones: broadcast for the hot, a shuffled join for the rest, same rows."""
+    rows = [(f"r{i:05d}", "hot" if i % 10 else ["", None, "a", "b", f"u{i}"][i // 10 % 5]) for i in range(5000)]
+    files = spark.createDataFrame(rows, "rel string, sha string").repartition(8)
+    first = {}
+    for r, s in rows:
+        if s:
+            first.setdefault(s, r)
+    want = {r: first[s] if s and first[s] != r else None for r, s in rows}
+    for most in (skew.MOST_KEYS, 2):
+        monkeypatch.setattr(skew, "MOST_KEYS", most)
+        todo = batch.dedupe_content(files)
+        got = todo.collect()
+        assert {r.rel: r.duplicate_of for r in got} == want and len(got) == 5000 and todo.columns == ["rel", "sha", "duplicate_of"]
+        results = todo.where("duplicate_of IS NULL").select("rel", F.lit("done").alias("status"), F.lit(3).cast("long").alias("ms"), F.lit(None).cast("string").alias("error"))
+        spread = batch.fan_out_duplicates(todo, results).collect()
+        assert len(spread) == 5000 and {r.status for r in spread} == {"done"} and all(r.cached == (want[r.rel] is not None) for r in spread)
+        sizes = todo.groupBy(F.spark_partition_id()).count().collect()
+        assert max(r["count"] for r in sizes) < 2500
+
+
+def test_cache_lookup_reads_the_shards_that_are_asked_for(spark, tmp_path):
+    entries = spark.range(2000).select(F.substring(F.md5(F.col("id").cast("string")), 1, 2).alias("shard"), F.md5(F.col("id").cast("string")).alias("key"), F.current_timestamp().alias("ts"), F.col("id").cast("string").alias("value"), F.lit(1).cast("long").alias("bytes"))
+    entries.write.partitionBy("shard").parquet(str(tmp_path / "cache"))
+    stored = spark.read.parquet(str(tmp_path / "cache"))
+    asked = entries.where("id IN (3, 5)").select("shard", "key").unionByName(spark.createDataFrame([("zz", "zz"), (None, None), ("", "")], "shard string, key string"))
+    got = cache.cache_lookup(asked, stored, None, F.current_timestamp())
+    assert sorted(r.cached_value or "" for r in got.collect()) == ["", "", "", "3", "5"]
+    assert "dynamicpruning" in got._jdf.queryExecution().executedPlan().toString()

@@ -10,6 +10,7 @@ from rastermill.plans import recognise
 from rastermill.plans.recognise import ocr_parts, recognise_images, run_batch
 from rastermill.sources import images as sources
 from rastermill.sources import listed, logs
+from rastermill.sources.keyed import KeyedTable
 from rastermill.streaming import arrivals
 
 
@@ -233,9 +234,46 @@ def test_streams(spark, tmp_path):
     n = log.count()
     go()
     assert spark.read.json(str(tmp_path / "out/log")).count() == n
+    first = {r.rel.rsplit("/", 1)[1]: r for r in spark.read.json(str(tmp_path / "out/log")).collect()}
+    assert n == 4 and {k: bool(r.duplicate_of) for k, r in first.items()} in ({"0.png": a, "1.png": not a, "2.png": False, "3.png": False} for a in (True, False))
+    # A copy that comes in a later batch gets its record, from cache.
     (src / "new.png").write_bytes(b"same")
     go()
-    assert spark.read.json(str(tmp_path / "out/log")).count() == n
+    log = {r.rel.rsplit("/", 1)[1]: r for r in spark.read.json(str(tmp_path / "out/log")).collect()}
+    assert len(log) == 5 and log["new.png"].status == "done" and log["new.png"].cached and log["new.png"].duplicate_of.rsplit("/", 1)[1] in ("0.png", "1.png")
+
+
+def test_stream_tries_failed_contents_again(spark, tmp_path):
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    src.mkdir()
+    go = lambda status, **k: arrivals.stream_recognise(arrivals.stream_images(spark, str(src), limit=1), lambda df: df.select("path", F.lit(status).alias("status"), F.lit("t").alias("answer"), F.lit(None).cast("string").alias("error")), out, str(tmp_path / "cp"), **k).awaitTermination()
+    for k, (name, status) in enumerate([("a", "failed"), ("b", "done"), ("c", "failed"), ("d", "failed")]):
+        (src / f"{name}.png").write_bytes(b"same")
+        go(status, compact_every=2)
+    log = {r.rel.rsplit("/", 1)[1]: (r.status, r.cached) for r in spark.read.json(f"{out}/log").collect()}
+    assert log == {"a.png": ("failed", False), "b.png": ("done", False), "c.png": ("done", True), "d.png": ("done", True)}
+    assert KeyedTable(spark, f"{out}/done", "first_rel string").generation() == 1
+
+
+def test_keyed_table(spark, tmp_path):
+    t = KeyedTable(spark, str(tmp_path / "t"), "v int")
+    asked = lambda *ks: spark.createDataFrame([(k,) for k in ks], "key string")
+    seen = lambda df: {r.key: r.v for r in df.collect()}
+    rows = lambda **kv: spark.createDataFrame([(k, v) for k, v in kv.items()], "key string, v int")
+    assert t.lookup(asked("aa1")).count() == 0
+    t.put(rows(aa1=1, bb1=2), 0)
+    t.put(rows(aa1=3, cc1=4).union(spark.createDataFrame([(None, 1), ("", 2)], "key string, v int")), 1)
+    assert seen(t.lookup(asked("aa1", "aa1", "bb1", "zz", None, ""))) == {"aa1": 3, "bb1": 2}
+    assert seen(t.lookup(asked("aa1", "cc1"), but=1)) == {"aa1": 1}
+    t.put(rows(aa1=5), 1)  # run again
+    assert seen(t.lookup(asked("aa1", "cc1"))) == {"aa1": 5}
+    t.compact(below=1)
+    assert t.generation() == 1 and seen(t.lookup(asked("aa1", "bb1"))) == {"aa1": 1, "bb1": 2}
+    t.put(rows(bb1=9), 1)
+    t.compact()
+    assert t.generation() == 2 and seen(t.lookup(asked("aa1", "bb1"))) == {"aa1": 1, "bb1": 9}
+    plan = t.lookup(asked("aa1"))._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan
 
 
 def test_stream_dedupe_and_counts(spark, tmp_path):
