@@ -111,8 +111,34 @@ def extract_tiles(tiles: DataFrame, images: DataFrame) -> DataFrame:
     return rows.mapInPandas(lambda it: _each(it, kernel), f"image_id {_id(images)}, tile_id int, x int, y int, w int, h int, n_channels int, data binary")
 
 
-def crop_regions(regions: DataFrame, images: DataFrame, max_edge: int = 800) -> DataFrame:
-    """image_id, region_idx, source rectangle, out_w, out_h, n_channels, data; nearest sampling, never enlarged."""
+def shrink(a: np.ndarray, out_h: int, out_w: int) -> np.ndarray:
+    """Pixels averaged over the area that each new pixel covers, row by row: the mean of the picture is kept, thin strokes fade but stay.
+
+    A new row is the weighted mean of the rows it covers; its sums from the left, at the (fractional)
+    borders of the new pixels, give these by their differences.
+    """
+    h, w, channels = a.shape
+    at = np.arange(out_w + 1) * w / out_w
+    whole = np.minimum(at.astype(int), w - 1)
+    part = (at - whole)[:, None]
+    out = np.empty((out_h, out_w, channels), np.uint8)
+    for r in range(out_h):
+        low, high = r * h / out_h, (r + 1) * h / out_h
+        rows = np.arange(int(low), min(h, int(np.ceil(high))))
+        weights = np.minimum(rows + 1, high) - np.maximum(rows, low)
+        row = np.tensordot(weights / weights.sum(), a[rows[0] : rows[-1] + 1].astype(float), 1)
+        sums = np.concatenate([np.zeros((1, channels)), np.cumsum(row, axis=0)])
+        # A sum that is a half but for the last bits of its digits counts as one.
+        out[r] = np.floor(np.diff(sums[whole] + part * row[whole], axis=0) * out_w / w + 0.5 + 1e-9)
+    return out
+
+
+def crop_regions(regions: DataFrame, images: DataFrame, max_edge: int = 800, smooth: bool = False) -> DataFrame:
+    """image_id, region_idx, source rectangle, out_w, out_h, n_channels, data; never enlarged.
+
+    A region that is larger than max_edge is made smaller: by the pixel in the middle of each new one, or
+    with smooth by the mean of all pixels that the new one covers.
+    """
     out_w, out_h = crop_size(F.col("w"), F.col("h"), max_edge)
     sized = regions.where("w IS NOT NULL").withColumn("out_w", out_w).withColumn("out_h", out_h)
     lists = sized.groupBy("image_id").agg(F.collect_list(F.struct("region_idx", "x0", "y0", "w", "h", "out_w", "out_h")).alias("rects"))
@@ -121,6 +147,10 @@ def crop_regions(regions: DataFrame, images: DataFrame, max_edge: int = 800) ->
         a = np.frombuffer(im.data, np.uint8).reshape(im.height, im.width, im.n_channels)
         out = []
         for r in im.rects:
+            own = a[r["y0"] : r["y0"] + r["h"], r["x0"] : r["x0"] + r["w"]]
+            if smooth and (r["h"], r["w"]) != (r["out_h"], r["out_w"]):
+                out.append((im.image_id, *(r[k] for k in ("region_idx", "x0", "y0", "w", "h", "out_w", "out_h")), im.n_channels, shrink(own, r["out_h"], r["out_w"]).tobytes()))
+                continue
             y = r["y0"] + ((np.arange(r["out_h"]) + 0.5) * r["h"] / r["out_h"]).astype(int)
             x = r["x0"] + ((np.arange(r["out_w"]) + 0.5) * r["w"] / r["out_w"]).astype(int)
             out.append((im.image_id, *(r[k] for k in ("region_idx", "x0", "y0", "w", "h", "out_w", "out_h")), im.n_channels, a[y[:, None], x[None, :]].tobytes()))
@@ -167,7 +197,7 @@ def preprocess_images(images: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def label_components(points: set[tuple[int, int]]) -> dict[tuple[int, int], tuple[int, int]]:
-    """Every point with the smallest point of its 8-connected set."""
+    """Every point with the smallest point of its 8-connected set, by flood filling: what the runs are tested against."""
     label: dict[tuple[int, int], tuple[int, int]] = {}
     for start in sorted(points):
         if start in label:
@@ -183,62 +213,95 @@ def label_components(points: set[tuple[int, int]]) -> dict[tuple[int, int], tupl
     return label
 
 
+def label_runs(ink: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end, root) of the runs of a mask, in order of rows: root is the first run of each run's 8-connected set."""
+    edge = np.diff(np.pad(ink.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    (row, start), (_, end) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+    width = ink.shape[1] + 2
+    # Runs of the row above that end at or after the start and start at or before the end: a stretch of neighbours.
+    first = np.searchsorted(row * width + end, (row - 1) * width + start)
+    last = np.searchsorted(row * width + start, (row - 1) * width + end, side="right")
+    root = list(range(len(row)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, (a, b) in enumerate(zip(first.tolist(), last.tolist(), strict=True)):
+        for j in range(a, b):
+            x, y = sorted((find(i), find(j)))
+            root[y] = x
+    return row, start, end, np.array([find(i) for i in range(len(row))], np.int64)
+
+
 def connected_components(cells: DataFrame, key: str = "image_id", span: int = 256) -> DataFrame:
     """key, row, col, label_row, label_col: the smallest cell of each cell's 8-connected set.
 
-    Cells are labelled inside blocks of span x span; then blocks pass their smallest labels across
-    their borders until nothing changes. A block is bounded, however large the picture.
+    Cells are labelled inside blocks of span x span by their runs; a block is bounded, however large the
+    picture. The labels of touching blocks are then contracted: each is hooked to its least neighbour,
+    chains of hooks are halved until each label has its root, and links between roots go on to the next
+    round. A long winding line over n blocks is a chain, so it takes about log2(n) steps and not n.
+    Rows with a null row or column are left out; repeated cells give one row.
     """
     kind = cells.schema[key].dataType.simpleString()
-    blocks = cells.select(key, "row", "col", F.floor(F.col("row") / span).alias("br"), F.floor(F.col("col") / span).alias("bc"))
+    named = cells.where("row IS NOT NULL AND col IS NOT NULL")
+    blocks = named.select(key, "row", "col", F.floor(F.col("row") / span).alias("br"), F.floor(F.col("col") / span).alias("bc"))
 
     def local(frame: pd.DataFrame) -> pd.DataFrame:
-        found = label_components(set(zip(frame["row"].tolist(), frame["col"].tolist(), strict=True)))
-        out = pd.DataFrame([(*p, *q) for p, q in found.items()], columns=["row", "col", "lr", "lc"])
+        at_row, at_col = int(frame["br"].iloc[0]) * span, int(frame["bc"].iloc[0]) * span
+        ink = np.zeros((span, span), bool)
+        ink[frame["row"].to_numpy() - at_row, frame["col"].to_numpy() - at_col] = True
+        row, start, end, root = label_runs(ink)
+        wide = end - start
+        of = np.repeat(np.arange(len(row)), wide)
+        col = np.arange(len(of)) - np.repeat(np.cumsum(wide) - wide, wide) + start[of]
+        out = pd.DataFrame({"row": row[of] + at_row, "col": col + at_col, "lr": row[root[of]] + at_row, "lc": start[root[of]] + at_col})
         out.insert(0, key, frame[key].iloc[0])
         return out
 
     labelled = blocks.groupBy(key, "br", "bc").applyInPandas(local, f"`{key}` {kind}, row int, col int, lr int, lc int")
     labelled = cut_lineage(labelled)
     # Links between labels of neighbouring blocks, from the cells on the blocks' edges only.
-    edge = labelled.where(f"row % {span} IN (0, {span - 1}) OR col % {span} IN (0, {span - 1})")
+    edge = labelled.where(f"pmod(row, {span}) IN (0, {span - 1}) OR pmod(col, {span}) IN (0, {span - 1})")
     around = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b))
     near = edge.select(key, F.explode(around).alias("o"), "row", "col", F.struct("lr", "lc").alias("p")).select(key, (F.col("row") + F.col("o.a")).alias("row"), (F.col("col") + F.col("o.b")).alias("col"), "p")
     links = near.join(edge.select(key, "row", "col", F.struct("lr", "lc").alias("q")), [key, "row", "col"]).where("p <> q").select(key, "p", "q").distinct()
-    links = cut_lineage(links)
-    roots = labelled.select(key, F.struct("lr", "lc").alias("p")).distinct().withColumn("root", F.col("p"))
-    while True:
-        best = links.join(roots.select(key, F.col("p").alias("q"), "root"), [key, "q"]).groupBy(key, "p").agg(F.min("root").alias("m"))
-        new = roots.join(best, [key, "p"], "left").select(key, "p", F.least("root", F.coalesce("m", "root")).alias("root"), (F.col("m") < F.col("root")).alias("changed"))
-        new = cut_lineage(new)
-        roots = new.select(key, "p", "root")
-        if new.where("changed").isEmpty():
-            break
-    out = labelled.withColumn("p", F.struct("lr", "lc")).join(roots, [key, "p"])
+    roots = contracted(cut_lineage(links), key)
+    out = labelled.withColumn("p", F.struct("lr", "lc")).join(roots, [key, "p"], "left").withColumn("root", F.coalesce("root", "p"))
     return out.select(key, "row", "col", F.col("root.lr").alias("label_row"), F.col("root.lc").alias("label_col"))
 
 
-def run_heights(ink: np.ndarray) -> np.ndarray:
-    """The heights of the 8-connected sets of a mask, from its runs: one object per run and pair of touching runs."""
-    edge = np.diff(np.pad(ink.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-    (row, start), (_, end) = np.nonzero(edge == 1), np.nonzero(edge == -1)
-    width = ink.shape[1] + 2
-    # Runs of the row above that end at or after the start and start at or before the end: a stretch of neighbours.
-    first = np.searchsorted(row * width + end, (row - 1) * width + start)
-    last = np.searchsorted(row * width + start, (row - 1) * width + end, side="right")
-    root = list(range(len(row)))
+def contracted(links: DataFrame, key: str) -> DataFrame:
+    """key, p, root: the least label of the component of each label p that has a link. links: key, p, q, in both directions."""
+    roots = links.select(key, "p").distinct().withColumn("root", F.col("p"))
+    while not links.isEmpty():
+        # Each root of this round and its least neighbour, if that is smaller.
+        hooks = links.groupBy(key, "p").agg(F.min("q").alias("q")).select(key, F.col("p").alias("a"), F.least("p", "q").alias("b"))
+        hooks = flattened(hooks, key)
+        at = lambda c: hooks.withColumnsRenamed({"a": c, "b": f"{c}_new"})
+        roots = cut_lineage(roots.join(at("root"), [key, "root"], "left").select(key, "p", F.coalesce("root_new", "root").alias("root")))
+        links = links.join(at("p"), [key, "p"]).join(at("q"), [key, "q"]).select(key, F.col("p_new").alias("p"), F.col("q_new").alias("q")).where("p <> q").distinct()
+        links = cut_lineage(links)
+    return roots
 
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
 
-    for i, (a, b) in enumerate(zip(first.tolist(), last.tolist(), strict=True)):
-        for j in range(a, b):
-            x, y = sorted((find(i), find(j)))
-            root[y] = x
-    of = np.array([find(i) for i in range(len(row))], np.int64)
+def flattened(hooks: DataFrame, key: str) -> DataFrame:
+    """Pointers a -> b to smaller ones, or to themselves, followed to their ends: each step doubles how far they reach."""
+    while True:
+        hooks = cut_lineage(hooks)
+        on = hooks.select(key, F.col("a").alias("b"), F.col("b").alias("c"))
+        farther = hooks.join(on, [key, "b"], "left").select(key, "a", "b", F.coalesce("c", "b").alias("c"))
+        farther = cut_lineage(farther)
+        hooks = farther.select(key, "a", F.col("c").alias("b"))
+        if farther.where("c <> b").isEmpty():
+            return hooks
+
+
+def run_heights(ink: np.ndarray) -> np.ndarray:
+    """The heights of the 8-connected sets of a mask, from its runs: one object per run and pair of touching runs."""
+    row, _, _, of = label_runs(ink)
     roots, of = np.unique(of, return_inverse=True)
     low, high = np.full(len(roots), ink.shape[0]), np.zeros(len(roots), np.int64)
     np.minimum.at(low, of, row)

@@ -638,6 +638,47 @@ def crop_regions(spark, d):
     return pixels.crop_regions(whole, pictures, 4).select("image_id", F.hex("data").alias("bytes"))
 
 
+_MEAN = "((sum({c}) * 2 + 4) // 8)::INTEGER AS {c}"
+
+
+@query("cells", f""", m AS (SELECT image_id, row // 2 AS y, col // 2 AS x, {", ".join(_MEAN.format(c=c) for c in "rgba")} FROM cells GROUP BY ALL)
+SELECT image_id, string_agg(printf('%02X%02X%02X%02X', b, g, r, a), '' ORDER BY y, x) AS bytes FROM m GROUP BY 1""")
+def crop_regions_smooth(spark, d):
+    """Each picture at half its size, by the means of its pixels."""
+    from rastermill.operators import pixels
+
+    pictures = T.pictures(spark, d)
+    whole = pictures.select("image_id", F.lit(0).alias("region_idx"), F.lit(0).alias("x0"), F.lit(0).alias("y0"), F.lit(8).alias("w"), F.lit(8).alias("h"))
+    return pixels.crop_regions(whole, pictures, 4, smooth=True).select("image_id", F.hex("data").alias("bytes"))
+
+
+@query("images", " SELECT image_id, width, height FROM images")
+def jpeg_sizes(spark, d):
+    """Sizes from JPEG headers with a thumbnail in front, put together from the images' own sizes."""
+    from rastermill.sources.images import image_sizes
+
+    two = lambda c: F.lpad(F.hex(c), 4, "0")
+    frame = F.concat(F.when(F.col("image_id") % 2 == 0, "FFC0").otherwise("FFC2"), F.lit("001108"), two(F.col("height")), two(F.col("width")), F.lit("03012200021101031101"))
+    thumbnail = "FFE10018457869660000FFD8FFC0001108001000200301220002"
+    content = F.unhex(F.concat(F.lit("FFD8FFE000104A46494600010100000100010000" + thumbnail + "FF"), frame, F.lit("FFDA")))
+    return image_sizes(T.images(spark, d).select("image_id", content.alias("content"), F.col("width").alias("_w"), F.col("height").alias("_h"))).select("image_id", "width", "height")
+
+
+@query("ocr_lines", """ SELECT image_id, region_idx, (row_number() OVER (PARTITION BY region_idx ORDER BY line_no, text, x, y, width, score) - 1)::INTEGER AS pos, text, x, y, width, height FROM ocr_lines""")
+def explode_lines(spark, d):
+    """Lines of each region with slanted boxes: corners within the box by fractions of a pixel."""
+    lines = T.ocr_lines(spark, d)
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    x1, y1 = F.col("x") + F.col("width"), F.col("y") + F.col("height")
+    polygon = F.array(point(F.col("x") + 0.25, F.col("y") + 0.5), point(x1 - 0.5, F.col("y") + 0.25), point(x1 - 0.75, y1 - 0.5), point(F.col("x") + 0.5, y1 - 0.25))
+    # A line of no width has all its corners in one place.
+    polygon = F.when(F.col("width") > 0, polygon).otherwise(F.array(point(F.col("x"), F.col("y")), point(F.col("x"), y1)))
+    line = F.struct("line_no", "text", "x", "y", "width", "score", polygon.alias("points"))
+    ocr = lines.groupBy("image_id", "region_idx").agg(F.sort_array(F.collect_list(line)).alias("ls"))
+    ocr = ocr.select("image_id", "region_idx", F.transform("ls", lambda x: F.struct(x["text"].alias("text"), x["points"].alias("points"), x["score"].alias("score"))).alias("lines"))
+    return regions.explode_lines(ocr).select("image_id", "region_idx", F.col("line_no").alias("pos"), "text", "x", "y", "width", "height")
+
+
 @query("cells", """ SELECT image_id, string_agg(printf('%02X%02X%02X%02X', b, g, r, a), '' ORDER BY col, 7 - row) AS bytes FROM cells GROUP BY 1""")
 def rotate_images(spark, d):
     from rastermill.operators import pixels

@@ -101,7 +101,7 @@ def recognise_images(images: DataFrame, precheck_fn: Callable[[dict], str], ocr_
     px = regions.regions_to_pixels(regions.explode_regions(pre), images)
     crops = {}
     for kind in ("text", "interest"):
-        cut = pixels.crop_regions(px.where(F.col("kind") == kind), images)
+        cut = pixels.crop_regions(px.where(F.col("kind") == kind), images, smooth=True)
         crops[kind] = cut.select("image_id", "region_idx", F.col("out_w").alias("width"), F.col("out_h").alias("height"), "n_channels", "data")
     text_crops = _written(crops["text"], f"{work}/crops")
     crop = F.concat_ws("#", F.col("image_id").cast("string"), F.col("region_idx").cast("string"))

@@ -75,8 +75,49 @@ def with_content(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     return marked.join(found, "path", "left").withColumn("read_error", F.coalesce("_large", "_unread")).drop("_large", "_unread")
 
 
+#: JPEG markers that begin a frame (and so hold its size), markers without a length, and those after which no frame can begin.
+FRAMES = (0xC0, 0xC1, 0xC2, 0xC3, 0xC5, 0xC6, 0xC7, 0xC9, 0xCA, 0xCB, 0xCD, 0xCE, 0xCF)
+BARE, ENDS = (0x01, *range(0xD0, 0xD8)), (0xD9, 0xDA)
+#: Segments before the frame of a JPEG that are walked over; a file with more has no size.
+SEGMENTS = 400
+
+
+def _number(start: Column, n: int) -> Column:
+    """n bytes of the content from a place (from 1) as a number; null beyond its end."""
+    return F.conv(F.when(F.length("content") >= start + (n - 1), F.hex(F.substring("content", start, F.lit(n)))), 16, 10).cast("int")
+
+
+def _jpeg_size() -> Column:
+    """struct(w, h) of JPEG content: from segment to segment by their lengths, so that a picture inside one (a thumbnail) is passed over."""
+    none = F.lit(None).cast("int")
+    state = lambda at, w, h, over: F.struct(at.cast("int").alias("at"), w.alias("w"), h.alias("h"), over.alias("over"))
+    over = lambda at: state(at, none, none, F.lit(True))
+
+    def step(s: Column, _: Column) -> Column:
+        # In an array of one, so that the bytes are read once.
+        head = F.array(F.struct(s["at"].alias("at"), _number(s["at"], 1).alias("sign"), _number(s["at"] + 1, 1).alias("mark"), _number(s["at"] + 2, 2).alias("size")))
+
+        def next_(x: Column) -> Column:
+            at, mark, size = x["at"], x["mark"], x["size"]
+            return (
+                F.when(mark.isNull() | (x["sign"] != 0xFF) | mark.isin(*ENDS), over(at))
+                .when(mark == 0xFF, state(at + 1, none, none, F.lit(False)))
+                .when(mark.isin(*BARE), state(at + 2, none, none, F.lit(False)))
+                .when(mark.isin(*FRAMES), state(at, _number(at + 7, 2), _number(at + 5, 2), F.lit(True)))
+                .when(size.isNull() | (size < 2), over(at))
+                .otherwise(state(at + 2 + size, none, none, F.lit(False)))
+            )
+
+        return F.when(s["over"], s).otherwise(F.transform(head, next_)[0])
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(SEGMENTS)), state(F.lit(3), none, none, F.lit(False)), step)
+
+
 def image_sizes(files: DataFrame) -> DataFrame:
-    """Adds width and height from the first bytes of PNG, GIF and BMP content; null for anything else."""
+    """Adds width and height from the headers of PNG, GIF, BMP and JPEG content; null for anything else.
+
+    Of a JPEG it is the size of its frame (baseline or progressive), not of a thumbnail in its metadata.
+    """
 
     def number(start: int, n: int, little: bool) -> Column:
         digits = F.hex(F.substring("content", start, n))
@@ -85,9 +126,10 @@ def image_sizes(files: DataFrame) -> DataFrame:
         return F.conv(digits, 16, 10).cast("int")
 
     magic = F.hex(F.substring("content", 1, 4))
-    png, gif, bmp = magic == "89504E47", magic.startswith("474946"), magic.startswith("424D")
-    size = lambda p, g, b: F.when(png, number(p, 4, False)).when(gif, number(g, 2, True)).when(bmp, number(b, 4, True))
-    return files.withColumn("width", size(17, 7, 19)).withColumn("height", size(21, 9, 23))
+    png, gif, bmp, jpeg = magic == "89504E47", magic.startswith("474946"), magic.startswith("424D"), magic.startswith("FFD8")
+    rows = files.withColumn("_jpeg", F.when(jpeg, _jpeg_size()))
+    size = lambda p, g, b, j: F.when(png, number(p, 4, False)).when(gif, number(g, 2, True)).when(bmp, number(b, 4, True)).when(jpeg & (F.col(j) > 0), F.col(j))
+    return rows.withColumn("width", size(17, 7, 19, "_jpeg.w")).withColumn("height", size(21, 9, 23, "_jpeg.h")).drop("_jpeg")
 
 
 def load_images(spark: SparkSession, folder: str, recursive: bool = False, paths: list[str] | None = None) -> DataFrame:

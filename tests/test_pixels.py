@@ -4,6 +4,7 @@ import numpy as np
 from image_fixtures import image_rows
 
 from rastermill.operators import pixels, stats
+from rastermill.sources.images import image_sizes
 
 
 def quad(n=160):
@@ -129,3 +130,64 @@ def test_ink_features_are_counts(spark):
     assert abs(got["a"].dark_share - 12 * 120 / 60_000) < 1e-9 and got["dot"].n_components == 1
     scored = stats.handwriting_score(spark.createDataFrame([(0.0, 60.0, 300, 0.1)], "row_std double, mean_height double, n_components long, dark_share double")).first()
     assert abs(scored.score - (0.35 + 0.3 + 0.2 + 0.12)) < 1e-9
+
+
+def test_a_winding_line_is_contracted_in_few_rounds(spark, monkeypatch):
+    """A spiral through very many blocks, dense blots, two pictures and negative places: the labels of flood filling, by few steps."""
+    n, points, y, x, dy, dx = 64, set(), 0, 0, 0, 1
+    seen = np.zeros((n, n), bool)
+    free = lambda a, b: 0 <= a < n and 0 <= b < n and not seen[max(0, a - 1) : a + 2, max(0, b - 1) : b + 2].sum() > 2
+    for _ in range(n * n):
+        seen[y, x] = True
+        points.add((y, x))
+        if not free(y + dy, x + dx):
+            dy, dx = dx, -dy
+            if not free(y + dy, x + dx):
+                break
+        y, x = y + dy, x + dx
+    assert len(points) > 900
+    rng = random.Random(2)
+    blots = {(rng.randint(-30, 30), rng.randint(-30, 30)) for _ in range(900)}
+    df = spark.createDataFrame([("s", *p) for p in points] + [("b", *p) for p in blots] * 2 + [("s", None, 3)], "image_id string, row int, col int")
+    cuts, cut = [], pixels.cut_lineage
+    monkeypatch.setattr(pixels, "cut_lineage", lambda d: cuts.append(1) or cut(d))
+    got = {(r.image_id, r.row, r.col): (r.label_row, r.label_col) for r in pixels.connected_components(df, span=4).collect()}
+    want = {("s", *p): q for p, q in pixels.label_components(points).items()} | {("b", *p): q for p, q in pixels.label_components(blots).items()}
+    assert got == want
+    assert len(cuts) < 60  # one step a block would be some 250
+    assert pixels.connected_components(df.limit(0)).count() == 0
+
+
+def test_smooth_reduction_keeps_the_mean(spark):
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 256, (37, 53, 3)).astype(np.uint8)
+    for h, w in ((9, 13), (36, 52), (1, 1), (5, 53)):
+        out = pixels.shrink(a, h, w)
+        fine = np.repeat(np.repeat(a.astype(float), h, 0), w, 1)  # every pixel as h x w: the new ones cover whole blocks
+        want = fine.reshape(h, 37, w, 53, 3).mean((1, 3))
+        assert np.abs(out - want).max() <= 0.5 + 1e-6 and abs(out.mean() - a.mean()) < 1
+    thin = np.full((100, 100), 255)
+    thin[:, 49] = 0
+    im = image_rows(spark, {"t": thin})
+    reg = spark.createDataFrame([("t", 0, 0, 0, 100, 100)], "image_id string, region_idx int, x0 int, y0 int, w int, h int")
+    dark = lambda **k: min(pixels.crop_regions(reg, im, 20, **k).first().data)
+    assert dark() == 255 and dark(smooth=True) == 204  # a stroke of one pixel is missed or kept
+
+
+def _segment(mark, body):
+    return bytes([0xFF, mark]) + (len(body) + 2).to_bytes(2, "big") + body
+
+
+def test_jpeg_sizes(spark):
+    frame = lambda m, h, w: _segment(m, bytes([8]) + h.to_bytes(2, "big") + w.to_bytes(2, "big") + bytes(7))
+    exif = _segment(0xE1, b"Exif\0\0" + b"\xff\xd8" + frame(0xC0, 16, 32) + b"\xff\xd9")
+    start, table = b"\xff\xd8", _segment(0xDB, bytes(65))
+    cases = {
+        "baseline": (start + table + frame(0xC0, 300, 400) + b"\xff\xda", (400, 300)), "progressive": (start + frame(0xC2, 70, 65535), (65535, 70)), "thumbnail": (start + exif + table + frame(0xC1, 7, 9), (9, 7)),
+        "huffman": (start + _segment(0xC4, bytes(30)) + _segment(0xCC, b"x") + frame(0xC0, 5, 6), (6, 5)), "filled": (start + b"\xff\xff\xff" + frame(0xC0, 5, 6)[1:], (6, 5)), "bare": (start + b"\xff\xd0\xff\x01" + frame(0xC0, 5, 6), (6, 5)),
+        "scan first": (start + b"\xff\xda" + frame(0xC0, 5, 6), None), "cut": (start + frame(0xC0, 5, 6)[:6], None), "noise": (start + b"\x00\x01", None), "only": (start, None), "short": (start + b"\xff\xe0\x00\x01" + frame(0xC0, 5, 6), None),
+        "many": (start + _segment(0xFE, b"c") * 350 + frame(0xC0, 5, 6), (6, 5)), "none": (None, None),
+    }
+    rows = spark.createDataFrame([(k, bytearray(c) if c is not None else None) for k, (c, _) in cases.items()], "k string, content binary")
+    got = {r.k: (r.width, r.height) if r.width else None for r in image_sizes(rows).collect()}
+    assert got == {k: s for k, (_, s) in cases.items()}
