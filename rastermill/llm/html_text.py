@@ -63,7 +63,8 @@ for _i, _ws in enumerate(TOKENS.values()):
     for _w in _ws.split():
         _TOKEN.setdefault(_w, []).append(_i)
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+_OPEN = re.compile(r"<(?:(!--)|[!?]|(/?)([a-zA-Z][^\s/>]{0,63}))")
+_SIGN = re.compile("[>\"']")
 _ATTR = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-label|data-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -72,6 +73,53 @@ _ENDS = {name: re.compile(f"</{name}(?![a-z0-9-])", re.I) for name in RAW} | {"h
 _NEXT = {name: re.compile(f"<(/?){name}(?![a-z0-9-])", re.I) for name in FOREIGN}
 
 
+class Tags:
+    """The tags of a source in order. A tag ends at the next > outside quotes; one that has none is text.
+
+    Every place is looked at a bounded number of times: the first sign after a start is kept for the
+    next start, the quotes on a way that led to no end are remembered, and after the last > nothing is
+    looked for.
+    """
+
+    def __init__(self, source: str):
+        self.source, self.last = source, source.rfind(">")
+        self.seen, self.sign = 0, -1  # from where the first sign was looked for, and its place
+        self.dead: set[int] = set()
+
+    def first_sign(self, at: int) -> int:
+        if not self.seen <= at <= self.sign:
+            m = _SIGN.search(self.source, at)
+            self.seen, self.sign = at, m.start() if m else len(self.source)
+        return self.sign
+
+    def end_of(self, at: int) -> int:
+        """Where the tag whose attributes begin here ends, or -1."""
+        way, sign = [], self.first_sign(at) if at <= self.last else self.last + 1
+        while sign <= self.last and sign not in self.dead:
+            if self.source[sign] == ">":
+                return sign
+            way.append(sign)
+            closed = self.source.find(self.source[sign], sign + 1)
+            m = _SIGN.search(self.source, closed + 1) if closed >= 0 else None
+            if not m:
+                break
+            sign = m.start()
+        self.dead.update(way)
+        return -1
+
+    def after(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """The next tag or comment: start, end, whether it closes, name (none for comments) and attributes."""
+        while m := _OPEN.search(self.source, at):
+            if not m[3]:
+                end = self.source.find("-->" if m[1] else ">", m.end())
+                return m.start(), len(self.source) if end < 0 else end + (3 if m[1] else 1), False, "", ""
+            end = self.end_of(m.end())
+            if end >= 0:
+                return m.start(), end + 1, bool(m[2]), m[3].lower(), self.source[m.end() : end]
+            at = m.start() + 1
+        return None
+
+
 class Page:
     """Nodes in page order (parents first): block elements and, as leaves, runs of text.
 
@@ -106,35 +154,35 @@ class Page:
             while blocks[-1] >= depth:
                 blocks.pop()
 
-        for m in iter(lambda: _TAG.search(source, at), None):
-            if m.start() > at:
-                piece = html.unescape(source[at : m.start()])
+        signs = Tags(source)
+        for start, end, closes, name, attributes in iter(lambda: signs.after(at), None):
+            if start > at:
+                piece = html.unescape(source[at:start])
                 run.append(piece)
                 if open_.get("a"):
                     linked += len(piece)
-            at = m.end()
-            name = (m[2] or "").lower()
+            at = end
             if not name:
                 continue
-            if m[1]:
+            if closes:
                 if name in BLOCKS:
                     end_run()
                 if open_.get(name) and name != "html":
                     cut(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name))
                 continue
             if name in RAW or name == "head" and not headed:
-                if m[3].endswith("/"):
+                if attributes.endswith("/"):
                     continue
                 # An unclosed head ends where the body begins.
-                end = _ENDS[name].search(source, at)
+                found = _ENDS[name].search(source, at)
                 headed = headed or name == "head"
-                at = end.start() if end else at if name == "head" else len(source)
+                at = found.start() if found else at if name == "head" else len(source)
                 run.append(" ")
                 continue
             if name in FOREIGN:
                 run.append(" ")
-                end = None if m[3].endswith("/") else _NEXT[name].search(source, at)
-                at = end.start() if end and end[1] else at
+                found = None if attributes.endswith("/") else _NEXT[name].search(source, at)
+                at = found.start() if found and found[1] else at
                 continue
             if name in BLOCKS:
                 end_run()
@@ -143,7 +191,7 @@ class Page:
                 if name in ("html", "body") and open_.get(name):
                     continue
                 if name not in VOID:
-                    tokens, label = _tokens(m[3], labelled)
+                    tokens, label = _tokens(attributes, labelled)
                     self.add(name, stack[-1][1], tokens, label)
                     blocks.append(len(stack))
                     stack.append((name, len(self.tags) - 1))
@@ -152,7 +200,7 @@ class Page:
                 run.append(" ")
             else:
                 tags += 1
-                if not m[3].endswith("/"):
+                if not attributes.endswith("/"):
                     stack.append((name, stack[-1][1]))
                     open_[name] = open_.get(name, 0) + 1
         if at < len(source):

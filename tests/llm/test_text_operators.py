@@ -121,6 +121,37 @@ def test_labels_of_a_page_mean_nothing():
     assert set(html_text.Page(source).labels) == {-1} and html_text.Page(source.replace('"x"', '"0"'), labelled=True).labels[1] == 1
 
 
+@pytest.mark.parametrize("part", ["<a ", '<a b="', "<p title='", "<a b=\"'", "<", "<a<a", "</p ", "<!-", "<svg>", "<tbody>", "<a b='\">", "<b class='x' ", "<p>&amp", "<x y='z\"' \""])
+def test_unclosed_tags_take_linear_time(part):
+    """Of a page of eight times the size parsing takes about eight times as long, also where no tag, quote or element is closed."""
+    took = []
+    for n in (20_000, 160_000):
+        best = 1e9
+        for _ in range(3 if n < 100_000 else 1):
+            start = time.process_time()
+            html_text.Page("<article><p>text " + part * n + " end")
+            best = min(best, time.process_time() - start)
+        took.append(best)
+    assert took[1] < 24 * max(took[0], 0.02)
+
+
+def test_tags_end_outside_quotes():
+    import re
+
+    whole = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>"'<]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+    rng = random.Random(8)
+    parts = ["<a", "<p ", "</p", ">", '"', "'", " b=", "x ", "<!--", "-->", "<!", "<br/>", "/", "é"]
+    for _ in range(3000):
+        source = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))
+        if re.search(r"""<[a-zA-Z/][^\s/>]*["'<]""", source):
+            continue  # a quote within a name belongs to the name
+        signs, at, got = html_text.Tags(source), 0, []
+        while found := signs.after(at):
+            got.append(found)
+            at = found[1]
+        assert [(s, e) for s, e, *_ in got] == [m.span() for m in whole.finditer(source)], source
+
+
 @pytest.mark.parametrize("tag", ["<b>", "<div>", "<b><hr>", "<a>x", "<button>", "<svg>", "<p><b>", "<li>", "</b>"])
 def test_parsing_takes_linear_time(tag):
     def seconds(n):
