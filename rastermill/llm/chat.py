@@ -142,8 +142,10 @@ def format_turns(conversations: DataFrame, template: Template = INSTRUCT) -> Dat
 
     Concatenated in order of turn_no and segment they are the formatted conversation. valid tells
     whether the turn's role may follow the one before. Null texts and roles count as empty, an
-    unknown role is written by name and never valid. Repeated rows are turns of their own.
-    Other columns are ignored.
+    unknown role is written by name and never valid. Repeated rows are turns of their own; turns of
+    equal number stand in order of role, then text, a null number first. Ids are numbers (long); rows
+    without one form a conversation of their own. Texts of any length are formatted whole. Other columns,
+    also those named like results, are ignored; an empty table gives no segments.
     """
     schema = "conv_id long, turn long, turn_no long, segment int, text string, loss boolean, valid boolean"
 
@@ -179,7 +181,11 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def read_back(segments: DataFrame, template: Template = INSTRUCT) -> DataFrame:
-    """One row per conversation, read from the formatted segments alone (already grouped and in order)."""
+    """One row per conversation, read from the formatted segments alone (already grouped and in order).
+
+    Texts stream by: of a conversation one turn is held at a time, however long it is. What has no
+    segment has no row, so an empty table gives none; segments that end inside a turn fail.
+    """
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -129,7 +129,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts are equal when identical without ASCII white space. Of equal texts the row with the most
     code points stays, then the smallest id. A null text counts as empty, so all empty and blank
     texts form one group. A null id sorts first. Rows repeated with the same id share one decision.
-    Other columns are ignored; an empty table gives an empty result.
+    Texts of any length are compared whole. Other columns, also those named like results, are ignored; an
+    empty table gives an empty result.
     """
     entries = saved(memtables(docs, id_col, text_col, runs), "lsm-entries")
     runs_table = saved(flush(entries), "lsm-runs")

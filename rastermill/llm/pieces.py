@@ -308,7 +308,11 @@ def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def decode_pieces(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: str = MODEL) -> DataFrame:
-    """One row per row: id, text. Null ids give an empty text; an id outside the vocabulary fails."""
+    """One row per row: id, text. Null ids give an empty text; an id outside the vocabulary fails.
+
+    Rows of any length are decoded whole, repeated rows each for itself, an empty table to none. Other
+    columns, also one named text, are ignored.
+    """
     kind = encoded.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

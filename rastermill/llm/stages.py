@@ -12,7 +12,9 @@ from rastermill.llm.common import without
 def keep_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of equal texts the row that exact_dedup keeps; of rows repeated whole, one.
 
-    Ids name documents: rows that share an id share the decision. Rows without an id are kept.
+    Ids name documents: rows that share an id share the decision. Rows without an id are kept. Null, empty
+    and blank texts are one text; texts of any length are compared whole. All columns are kept, whatever
+    their names; an empty table stays one.
     """
     found = exact_dedup.exact_dedup(docs, id_col, text_col)
     kept = without(docs, found.where(~F.col("kept")).select(id_col), id_col)
