@@ -11,8 +11,9 @@ band of coordinates meet in a bucket; there everyone is compared with one member
 (another one in every band), not with everyone. Pairs are verified by their exact similarity, and
 linked documents form components. Buckets that still hold several components are joined again:
 small ones by all pairs of different components, large ones with two drawn members. What large
-buckets then still hold of different components is compared completely, block against block, so
-that every link of documents that share a bucket is found.
+buckets then still hold of different components is joined completely, so that every link of
+documents that share a bucket is found: a bucket falls apart by length, members that share none of
+their rarest elements with another component have no link and go, and the rest meets in blocks.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rastermill.llm.common import pick, release, saved, text_of
+from rastermill.operators.skew import join_counted
 
 WORDS = 5
 #: Bands and coordinates in a band: a pair of similarity 0.8 is missed once in 1400 times.
@@ -38,6 +40,10 @@ SMALL = 24
 FIRST = 6
 #: Large buckets are compared in blocks of about so many members and bytes of elements, and so many elements at once.
 BLOCK, BLOCK_BYTES, WIDTH = 512, 8 << 20, 4096
+#: Cells in which the frequency of elements is counted (8 bytes each on driver and workers, whatever the data).
+CELLS = 1 << 18
+#: Pairs of one document that are verified in one place; beyond, its text is repeated.
+PER_HUB = 2000
 
 _U = np.uint64
 
@@ -178,10 +184,16 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b and further columns) whose exact similarity reaches the threshold. texts: id, text.
 
     The text of b travels with the pair to a's partition; the text of a, which may stand in very
-    many pairs, is not repeated in the shuffle.
+    many pairs, travels once for each PER_HUB of them, so a hub's pairs are spread.
     """
-    rows = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    rows = rows.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    pairs = saved(pairs, "near-pairs")
+    hubs = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PER_HUB).cast("int").alias("places")).where("places > 1")
+    hubs = saved(hubs, "near-hubs")
+    spread = lambda rows: rows.join(hubs, "a", "left").withColumn("places", F.coalesce("places", F.lit(1)))
+    rows = spread(pairs).withColumn("place", F.pmod(F.xxhash64("b"), "places").cast("int"))
+    rows = rows.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    left = spread(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")))
+    rows = rows.join(left.select("a", "text_a", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place")), ["a", "place"])
 
     def elements(text: str):
         return np.unique(shingles([text])[0], return_counts=True)
@@ -270,17 +282,73 @@ def overlaps(left: list[bytes], right: list[bytes]) -> np.ndarray:
     return out
 
 
+def rarest(sets: DataFrame, threshold: float) -> DataFrame:
+    """id, size and rare: of each set as many of its rarest elements as could be missing in a linked one, and one more.
+
+    Of two sets whose similarity reaches the threshold these have an element in common, in whatever
+    order elements are taken, as long as it is the same for all sets. It is that of frequency here,
+    which is counted in CELLS cells over all sets. sets: id, elements.
+    """
+    kind = sets.schema["id"].dataType.simpleString()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                np.add.at(n, (np.frombuffer(raw, np.uint64) % _U(CELLS)).astype(np.int64), 1)
+        cell = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n[cell])], names=["cell", "n"])
+
+    counted = sets.select("elements").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    often = np.zeros(CELLS, np.int64)
+    often[counted["cell"].to_numpy()] = counted["n"].to_numpy()
+    shared = sets.sparkSession.sparkContext.broadcast(often)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = shared.value
+        for batch in batches:
+            size, rare = [], []
+            for raw in batch.column(1).to_pylist():
+                x = np.frombuffer(raw, np.uint64)
+                order = np.lexsort((x, n[(x % _U(CELLS)).astype(np.int64)]))
+                size.append(len(x))
+                rare.append(x[order[: len(x) - int(np.ceil(threshold * len(x) - 1e-9)) + 1]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(rare, pa.list_(pa.int64()))], names=["id", "size", "rare"])
+
+    return sets.select("id", "elements").mapInArrow(run, f"id {kind}, size long, rare array<long>")
+
+
+def candidates(members: DataFrame, rare: DataFrame, threshold: float) -> DataFrame:
+    """The members that may have a link to another component: rep, bucket, label, size. rare: as from rarest.
+
+    Linked sets are of sizes in the same class or in neighbouring ones (a class reaches up to
+    1 / threshold times its least size), so each bucket falls into one for each two neighbours. In
+    these a member stays if one of its rarest elements stands in the rarest of another component.
+    Of 64-bit hashes that meet, members stay that need not.
+    """
+    step = max(float(np.log(1 / threshold)) * 1.0001, 1e-6)
+    size_class = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / step)
+    rows = members.join(rare.withColumnRenamed("id", "rep"), "rep")
+    rows = rows.withColumn("size_class", F.explode(F.array(size_class, size_class - 1)))
+    rows = rows.select("rep", "label", "size", F.xxhash64("bucket", "size_class").alias("bucket"), "rare")
+    found = rows.select("rep", "label", "bucket", F.explode("rare").alias("element"))
+    found = saved(found.select("rep", "label", "bucket", F.xxhash64("bucket", "element").alias("key")), "near-rare")
+    met = found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    kept = join_counted(found, saved(met.select("key", "n"), "near-met"), "key", "n", "inner").select("rep", "bucket").distinct()
+    return rows.drop("rare").join(kept, ["rep", "bucket"], "left_semi")
+
+
 def _exhaustive(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Every link of different components in a bucket, as labels a, b. members: rep, bucket, label.
 
     Of two members of different components one at least is not of the bucket's largest component.
-    So all members are met, in blocks, with those outside the largest one, in blocks too.
+    So all candidates are met, in blocks, with those outside the largest one, in blocks too.
     """
     kind = members.schema["label"].dataType.simpleString()
     needed = members.select(F.col("rep").alias("id")).distinct()
     sets = saved(bags(pick(texts, needed)), "near-bags")
-    sized = members.join(sets.select(F.col("id").alias("rep"), F.length("elements").cast("long").alias("bytes")), "rep")
-    parts = sized.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    members = saved(candidates(members, saved(rarest(sets, threshold), "near-rarest"), threshold), "near-candidates")
+    parts = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("size") * 8).alias("bytes"))
     by = F.struct("n", "label")
     shape = parts.groupBy("bucket").agg(F.max_by("label", by).alias("main"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max("n").alias("n0"), F.max_by("bytes", by).alias("bytes0"))
     blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
@@ -363,7 +431,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         labels = _merged(labels, saved(_exhaustive(rest, texts, threshold), "near-rest"))
 
     named = reps.select("key", "rep", "copies").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-    named = named.select("key", "copies", F.coalesce("label", "rep").alias("class_id"))
-    sizes = named.groupBy("class_id").agg(F.sum("copies").alias("class_size"))
-    classes = named.join(sizes, "class_id")
-    return sketch.select("id", "key").join(classes, "key").select(F.col("id").alias(id_col), "class_id", "class_size", "copies")
+    named = saved(named.select("key", "copies", F.coalesce("label", "rep").alias("class_id")), "near-named")
+    # One class, or the texts without words, may hold a third of all rows.
+    sizes = saved(named.groupBy("class_id").agg(F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("n")), "near-sizes")
+    classes = saved(join_counted(named, sizes, "class_id", "n", "inner").select("key", "class_id", "class_size", "copies"), "near-classes")
+    return join_counted(sketch.select("id", "key"), classes, "key", "copies", "inner").select(F.col("id").alias(id_col), "class_id", "class_size", "copies")

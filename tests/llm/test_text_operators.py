@@ -320,6 +320,38 @@ def test_weak_links_in_large_buckets(spark, docs, monkeypatch):
     assert [k for k in range(400) if got[k] != want[k]] == []
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 1.0])
+def test_candidates_keep_every_link(spark, threshold):
+    """Sets of all sizes in one bucket: no pair that reaches the threshold is lost, sets without a link go."""
+    rng = np.random.default_rng(14)
+    sets = [rng.choice(40 + 400 * (k % 3), rng.integers(1, 40), replace=False).astype(np.uint64) for k in range(120)]
+    sets += [np.append(s[:-1], [10_000 + k]).astype(np.uint64) for k, s in enumerate(sets[:60])] + [sets[k] for k in range(5)]
+    sets += [np.arange(20_000 + 50 * k, 20_050 + 50 * k).astype(np.uint64) for k in range(20)]
+    rows = spark.createDataFrame([(k, s.tobytes()) for k, s in enumerate(sets)], "id long, elements binary")
+    members = spark.createDataFrame([(k, 7, k) for k in range(len(sets))], "rep long, bucket long, label long")
+    got = near_dedup.candidates(members, near_dedup.rarest(rows, threshold), threshold).collect()
+    by_bucket = {}
+    for r in got:
+        by_bucket.setdefault(r.bucket, set()).add(r.rep)
+    met = {(a, b) for reps in by_bucket.values() for a in reps for b in reps if a < b}
+    same = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    links = {(a, b) for b in range(len(sets)) for a in range(b) if same(sets[a], sets[b]) >= threshold}
+    assert len(links) > 4 and links <= met
+    assert not {r.rep for r in got} & set(range(len(sets) - 20, len(sets))) and all(r.size == len(sets[r.rep]) for r in got)
+    assert near_dedup.candidates(members.limit(0), near_dedup.rarest(rows.limit(0), threshold), threshold).count() == 0
+
+
+def test_pairs_of_a_hub_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "PER_HUB", 4)
+    words = [f"w{k}" for k in range(100)]
+    texts = [" ".join(words)] + [" ".join(words[: 100 - k]) for k in range(1, 30)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    pairs = spark.createDataFrame([(0, k, "x") for k in range(1, 30)] + [(1, 2, "y")], "a long, b long, extra string")
+    got = sorted((r.a, r.b, r.extra) for r in near_dedup.verified(pairs, rows, 0.8).collect())
+    assert got == [(0, k, "x") for k in range(1, 20)] + [(1, 2, "y")]
+    assert near_dedup.verified(pairs.limit(0), rows, 0.8).count() == 0
+
+
 def test_overlaps(monkeypatch):
     monkeypatch.setattr(near_dedup, "WIDTH", 7)
     rng = np.random.default_rng(12)
