@@ -49,8 +49,8 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 
 #: Type -> pattern, in order of precedence. Each starts at a boundary, so that no text is scanned twice.
 PATTERNS = {
-    # No repeated group: the engine recurses on those. At most 64 characters stand before the sign, 253 after it.
-    "email": r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9][A-Za-z0-9.-]{1,252}(?<=[A-Za-z0-9-]\.[A-Za-z]{2,24})(?![A-Za-z])",
+    # No repeated group: the engine recurses on those. A run before the sign is tried once, from its start; at most 253 characters stand after it.
+    "email": r"(?<![\w.%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9][A-Za-z0-9.-]{1,252}(?<=[A-Za-z0-9-]\.[A-Za-z]{2,24})(?![A-Za-z])",
     "key": r"(?<![\w-])(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![\w-])",
     "iban": r"(?<![\w])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\w])",
     "ip": rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\w]|\.\d)",
@@ -161,7 +161,8 @@ def surrogate(key: str) -> Column:
     host, top = f"substring_index({domain}, '.', size(split({domain}, '[.]')) - 1)", f"substring_index({domain}, '.', -1)"
     # A domain has one surrogate whoever the address belongs to: coreference of hosts.
     host_hash = f"concat(sha2(concat_ws('|', {k}, 'host', {domain}, '0'), 512), sha2(concat_ws('|', {k}, 'host', {domain}, '1'), 512), sha2(concat_ws('|', {k}, 'host', {domain}, '2'), 512))"
-    email = f"concat({_shaped(f'substring(canon, 1, {at} - 1)', x)}, '@', {_shaped(host, host_hash)}, '.', {top})"
+    # What stands before the sign keeps its length up to the 64 characters that an address may have there.
+    email = f"concat({_shaped(f'substring(canon, 1, least({at} - 1, 64))', x)}, '@', {_shaped(host, host_hash)}, '.', {top})"
     lead = "CASE WHEN canon LIKE 'AKIA%' OR canon LIKE 'ghp!_%' ESCAPE '!' THEN 4 ELSE 3 END"
     access = f"concat(substring(canon, 1, {lead}), {_shaped(f'substring(canon, {lead} + 1)', x)})"
     octets = ", ".join(f"CAST({_value(x, str(i))} % 254 + 1 AS STRING)" for i in range(1, 5))

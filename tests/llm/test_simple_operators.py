@@ -152,6 +152,7 @@ def test_surrogates_in_very_long_texts(spark, docs):
     """Patterns neither recurse nor run away: long runs of parts, digits, capitals and names."""
     parts = ["x@" + "a." * 50_000, "1 " * 50_000, "Ab " * 50_000, "A" * 100_000, "x" * 200_000 + "@b.com", "+" + "12 " * 30_000, "word " * 300_000 + "jo@mail.example.com."]
     got = {r.doc_id: r for r in surrogates.replace_private(docs(parts), "k").collect()}
+    assert got[4].n_entities == 1 and "x" * 65 not in got[4].text and len(got[4].text) == 64 + len("@b.com")
     assert len(got) == len(parts) and "jo@mail.example.com" not in got[6].text and got[6].n_entities == 1 and got[6].text.endswith(".com.")
 
 
