@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from rastermill.llm.common import fold_of, release, saved, text_of
 
 #: Labelled rows that are sampled for each class, by least hash of the id.
-PER_CLASS = 2048
+PER_CLASS = 4096
 #: Examples that vote, examples in a block of the index, blocks that a query reads first.
 NEIGHBOURS, BLOCK, FIRST = 15, 64, 8
 #: Terms that stand in this share of the examples have a column of weights in place of postings.
