@@ -321,21 +321,23 @@ def rarest(sets: DataFrame, threshold: float) -> DataFrame:
 def candidates(members: DataFrame, rare: DataFrame, threshold: float) -> DataFrame:
     """The members that may have a link to another component: rep, bucket, label, size. rare: as from rarest.
 
-    Linked sets are of sizes in the same class or in neighbouring ones (a class reaches up to
-    1 / threshold times its least size), so each bucket falls into one for each two neighbours. In
-    these a member stays if one of its rarest elements stands in the rarest of another component.
-    Of 64-bit hashes that meet, members stay that need not.
+    A member stays if one of its rarest elements is also among the rarest of another component; each
+    is looked at once, however many buckets it stands in. Linked sets are of sizes in the same class or
+    in neighbouring ones (a class reaches up to 1 / threshold times its least size), so each bucket
+    falls into one for each two neighbours, of which those with one component only go.
     """
     step = max(float(np.log(1 / threshold)) * 1.0001, 1e-6)
     size_class = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / step)
-    rows = members.join(rare.withColumnRenamed("id", "rep"), "rep")
+    named = rare.join(members.select(F.col("rep").alias("id"), "label").distinct(), "id")
+    found = saved(named.select("id", "label", F.explode("rare").alias("element")), "near-rare")
+    met = found.groupBy("element").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    kept = join_counted(found.select("id", "element"), saved(met.select("element", "n"), "near-met"), "element", "n", "inner").select("id").distinct()
+    sizes = saved(pick(rare.select("id", "size"), kept), "near-sized")
+    rows = members.join(sizes.withColumnRenamed("id", "rep"), "rep")
     rows = rows.withColumn("size_class", F.explode(F.array(size_class, size_class - 1)))
-    rows = rows.select("rep", "label", "size", F.xxhash64("bucket", "size_class").alias("bucket"), "rare")
-    found = rows.select("rep", "label", "bucket", F.explode("rare").alias("element"))
-    found = saved(found.select("rep", "label", "bucket", F.xxhash64("bucket", "element").alias("key")), "near-rare")
-    met = found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    kept = join_counted(found, saved(met.select("key", "n"), "near-met"), "key", "n", "inner").select("rep", "bucket").distinct()
-    return rows.drop("rare").join(kept, ["rep", "bucket"], "left_semi")
+    rows = rows.select("rep", "label", "size", F.xxhash64("bucket", "size_class").alias("bucket"))
+    split = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+    return rows.join(split, "bucket", "left_semi")
 
 
 def _exhaustive(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
