@@ -287,7 +287,8 @@ def rarest(sets: DataFrame, threshold: float) -> DataFrame:
 
     Of two sets whose similarity reaches the threshold these have an element in common, in whatever
     order elements are taken, as long as it is the same for all sets. It is that of frequency here,
-    which is counted in CELLS cells over all sets. sets: id, elements.
+    which is counted in CELLS cells over all sets. Those that are alone in their cell stand in no other
+    set and are left out. sets: id, elements.
     """
     kind = sets.schema["id"].dataType.simpleString()
 
@@ -312,7 +313,8 @@ def rarest(sets: DataFrame, threshold: float) -> DataFrame:
                 x = np.frombuffer(raw, np.uint64)
                 order = np.lexsort((x, n[(x % _U(CELLS)).astype(np.int64)]))
                 size.append(len(x))
-                rare.append(x[order[: len(x) - int(np.ceil(threshold * len(x) - 1e-9)) + 1]].view(np.int64))
+                first = x[order[: len(x) - int(np.ceil(threshold * len(x) - 1e-9)) + 1]]
+                rare.append(first[n[(first % _U(CELLS)).astype(np.int64)] > 1].view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(rare, pa.list_(pa.int64()))], names=["id", "size", "rare"])
 
     return sets.select("id", "elements").mapInArrow(run, f"id {kind}, size long, rare array<long>")
