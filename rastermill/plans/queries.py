@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rastermill.functions import scalars as S
+from rastermill.functions.lineage import scratch_dir
 from rastermill.operators import batch, cache, regions, responses, stats, tiles
 from rastermill.plans import standins as T
 from rastermill.plans.standins import with_tables
+from rastermill.sources import logs
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -102,6 +105,29 @@ def status_union(spark, d):
     return batch.status_union(T.index_log(spark, d).select(columns), T.run_results(spark, d).withColumn("seq", F.lit(2)).select(columns))
 
 
+_LAST = """ SELECT rel, status, ms, seq FROM (SELECT rel, status, ms, seq, error FROM index_log UNION ALL SELECT rel, status, ms, 2, error FROM run_results) QUALIFY row_number() OVER (PARTITION BY rel ORDER BY seq DESC) = 1"""
+
+
+def _logged(spark, d, compacted):
+    """All records of the log and of a run, written as lines and read back."""
+    log = logs.ProgressLog(spark, f"{scratch_dir(spark)}/index-{uuid.uuid4().hex}")
+    log.append(T.index_log(spark, d))
+    if compacted:
+        log.compact()
+    log.append(T.run_results(spark, d).withColumn("seq", F.lit(2)))
+    return (log.read() if compacted else logs.read_index(spark, log.path)).select("rel", "status", "ms", "seq")
+
+
+@query("index_log run_results", _LAST)
+def read_index(spark, d):
+    return _logged(spark, d, False)
+
+
+@query("index_log run_results", _LAST)
+def compacted_index(spark, d):
+    return _logged(spark, d, True)
+
+
 def _with_answers(spark, d):
     return batch.attach_answers(_status(spark, d).withColumn("answer", F.lit(None).cast("string")), T.answers(spark, d))
 

@@ -211,14 +211,16 @@ def run_batch(spark: SparkSession, folder: str, out: str, strategy: str, fns: di
     out = out.rstrip("/")
     work = f"{out}/work"
     files = _written(sources.scan_images(spark, folder, pattern, recursive), f"{work}/files")
-    log = _written(logs.read_index(spark, f"{out}/index"), f"{work}/log")
+    index = logs.ProgressLog(spark, f"{out}/index")
+    log = _written(index.read(), f"{work}/log")
     plan = batch.plan_batch(files, log, resume, limit).where("label = 'todo'").select("rel", "path", "size")
     plan = _written(plan, f"{work}/plan")
     if plan.isEmpty():
         entries = spark.createDataFrame([], ENTRIES)
     else:
         entries = _run(spark, plan, folder, out, strategy, fns, recursive, params)
-        logs.append_index(entries.drop("answer"), f"{out}/index")
+        index.append(entries.drop("answer"))
+        index.compact_if_long()
         entries.where("status = 'done'").select("rel", "answer", "seq").write.mode("append").parquet(f"{out}/answers")
     kept = batch.latest_per_key(_stored(spark, f"{out}/answers", "rel string, answer string, seq long")).select("rel", "answer")
     status = batch.merge_status(files, entries, log).join(entries.select("rel", "sha", "cached", "duplicate_of", "answer"), "rel", "left")

@@ -61,6 +61,36 @@ def _functions():
     return answer, precheck
 
 
+def test_snapshots_of_the_log(spark, tmp_path):
+    path = str(tmp_path / "index")
+    log = logs.ProgressLog(spark, path)
+    assert log.read().count() == 0 and not log.compact_if_long()
+    (tmp_path / "index").mkdir()
+    (tmp_path / "index/old.jsonl").write_text('{"rel": "old", "status": "done", "seq": 1}\nnot json\n{"rel": 5}\n{"rel": "a", "status": "failed", "seq": 0}\n')
+    write = lambda *rows: log.append(spark.createDataFrame(rows, "rel string, status string, seq long, error string"))
+    last = lambda rows: sorted((r.rel, r.status, r.seq, r.error) for r in rows.collect())
+    write(("a", "done", 3, None), ("b", "failed", 3, "no"))
+    want = [("a", "done", 3, None), ("b", "failed", 3, "no"), ("old", "done", 1, None)]
+    assert last(log.read()) == last(logs.read_index(spark, path)) == want
+    log.compact()
+    assert log.generation() == 1 and last(log.read()) == want
+    # An older record that comes late does not win over one in the snapshot; a newer one does.
+    write(("a", "failed", 2, "late"), ("b", "done", 4, None), ("c", "done", 4, None))
+    want = [("a", "done", 3, None), ("b", "done", 4, None), ("c", "done", 4, None), ("old", "done", 1, None)]
+    assert last(log.read()) == last(logs.read_index(spark, path)) == want
+    # What was folded is not read again: neither files of generation 0 nor their lines.
+    read = log.read().inputFiles()
+    assert read and not any("gen=0" in f or "old.jsonl" in f for f in read)
+    # A snapshot without a pointer to it does not count and is written again.
+    spark.createDataFrame([], logs.LOG).write.parquet(f"{path}_snapshots/gen=2")
+    assert log.generation() == 1 and last(log.read()) == want
+    log.LEAST_ROWS = 3
+    assert log.compact_if_long() and log.generation() == 2 and last(log.read()) == want and not log.compact_if_long()
+    log.MOST_FILES = 0
+    write(("d", "done", 5, None))
+    assert log.compact_if_long() and log.generation() == 3 and len(last(log.read())) == 5
+
+
 def test_batch_end_to_end_and_resume(spark, tmp_path, monkeypatch):
     src, out = tmp_path / "in", str(tmp_path / "out")
     src.mkdir()
