@@ -78,26 +78,30 @@ class Index:
     """Examples as unit vectors, by term and block. Rows of `examples`: (id, n0, n1, terms, tf)."""
 
     def __init__(self, examples: list[tuple], share: tuple[float, float]):
+        # The driver builds it, so numbers are as narrow as they can be and none is kept longer than needed.
         n = len(examples)
         sizes = np.array([len(e[3]) for e in examples], np.int64)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
         n0, n1 = (np.array([e[k] for e in examples], np.float64) for k in (1, 2))
-        flat = np.concatenate([*(e[3] for e in examples), np.empty(0, np.uint64)])
-        owner = np.repeat(np.arange(n), sizes)
-        self.keys, code = np.unique(flat, return_inverse=True)
+        self.keys = np.unique(np.concatenate([*(e[3] for e in examples), np.empty(0, np.uint64)]))
+        code = np.empty(ends[-1], np.int32)
+        for e, at, end in zip(examples, ends, ends[1:], strict=False):
+            code[at:end] = np.searchsorted(self.keys, e[3])
+        owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
         a, b = (np.bincount(code, c[owner], len(self.keys)) for c in (n1, n0))
         self.weight = relevance(a, b, n1.sum(), n0.sum())
-        tf = np.concatenate([*(e[4] for e in examples), np.empty(0, np.int64)])
-        value = self._unit(owner, code, tf, n)
+        value = np.empty(ends[-1], np.float32)
+        for e, at, end in zip(examples, ends, ends[1:], strict=False):
+            value[at:end] = self._unit(np.zeros(end - at, np.int64), code[at:end], e[4], 1)
         # Examples that share their commonest terms (a language, as a rule) and are equally long are neighbours
         # in the index, which keeps the bounds tight.
-        common = np.full((n, 3), len(self.keys), np.int64)
-        ranked = np.lexsort((code, -(a + b)[code], owner))
-        rank = np.arange(len(ranked)) - (np.cumsum(sizes) - sizes)[owner[ranked]]
-        for k in range(3):
-            at = ranked[rank == k]
-            common[owner[at], k] = code[at]
+        often, common = a + b, np.full((n, 3), len(self.keys), np.int64)
+        for i, (at, end) in enumerate(zip(ends, ends[1:], strict=False)):
+            own = code[at:end]
+            first = own[np.lexsort((own, -often[own]))[:3]]
+            common[i, : len(first)] = first
         order = np.lexsort((np.arange(n), sizes, *common.T[::-1]))
-        place = np.empty(n, np.int64)
+        place = np.empty(n, np.int32)
         place[order] = np.arange(n)
         self.ids = [examples[i][0] for i in order]
         weight = (n0 * share[0] + n1 * share[1])[order]
@@ -107,12 +111,15 @@ class Index:
         # Columns of the terms that stand in very many examples; all others have postings by block.
         often = np.bincount(code, minlength=len(self.keys)) >= max(self.size, DENSE * n)
         self.column = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)
-        by = np.lexsort((place[owner], code))
-        example, value, code = place[owner][by], value[by], code[by]
+        example = place[owner]
+        del owner
+        by = np.lexsort((example, code))
+        example, value, code = example[by], value[by], code[by]
+        del by
         full = often[code]
         self.dense = np.zeros((int(often.sum()), self.n_blocks * self.size), np.float32)
         self.dense[self.column[code[full]], example[full]] = value[full]
-        self.example, self.value, code = example[~full].astype(np.int32), value[~full].astype(np.float32), code[~full]
+        self.example, self.value, code = example[~full], value[~full], code[~full]
         block = self.example // self.size
         new = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (block[1:] != block[:-1])])) if len(code) else np.empty(0, np.int64)
         self.block = block[new].astype(np.int32)
@@ -254,7 +261,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, i
     vectors = saved(sample.mapInArrow(count, f"id {kind}, n0 long, n1 long, digest binary, terms binary, tf binary"), "toxic-vectors")
     # The bounded sample, in an order that depends on the texts alone.
     rows = sorted(vectors.collect(), key=lambda r: bytes(r.digest))
-    index = Index([(r.id, r.n0, r.n1, np.frombuffer(r.terms, "<u8"), np.frombuffer(r.tf, "<u4").astype(np.int64)) for r in rows], share)
+    index = Index([(r.id, r.n0, r.n1, np.frombuffer(r.terms, "<u8"), np.frombuffer(r.tf, "<u4")) for r in rows], share)
     place = {bytes(r.digest): int(p) for r, p in zip(rows, index.place, strict=True)}
     label, weight = index.label, index.votes
     shared, places = docs.sparkSession.sparkContext.broadcast(index), docs.sparkSession.sparkContext.broadcast(place)
