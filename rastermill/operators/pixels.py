@@ -11,6 +11,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -218,29 +220,53 @@ def label_runs(ink: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     edge = np.diff(np.pad(ink.astype(np.int8), ((0, 0), (1, 1))), axis=1)
     (row, start), (_, end) = np.nonzero(edge == 1), np.nonzero(edge == -1)
     width = ink.shape[1] + 2
-    # Runs of the row above that end at or after the start and start at or before the end: a stretch of neighbours.
-    first = np.searchsorted(row * width + end, (row - 1) * width + start)
-    last = np.searchsorted(row * width + start, (row - 1) * width + end, side="right")
-    root = list(range(len(row)))
+    return row, start, end, first_runs(row * width + start, row * width + end, width)
 
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
 
-    for i, (a, b) in enumerate(zip(first.tolist(), last.tolist(), strict=True)):
-        for j in range(a, b):
-            x, y = sorted((find(i), find(j)))
-            root[y] = x
-    return row, start, end, np.array([find(i) for i in range(len(row))], np.int64)
+def first_runs(start: np.ndarray, end: np.ndarray, width: int) -> np.ndarray:
+    """For each run the first one of its 8-connected set. start, end: row * width + column, in order; rows are narrower than width - 1."""
+    # Runs of the row above that end at or after the start and start at or before the end: a stretch of neighbours.
+    first, last = np.searchsorted(end, start - width), np.searchsorted(start, end - width, side="right")
+    n = last - first
+    below = np.repeat(np.arange(len(n)), n)
+    above = np.arange(len(below)) + (first - np.cumsum(n) + n)[below]
+    root = np.arange(len(n))
+    while True:
+        x, y = root[above], root[below]
+        apart = x != y
+        if not apart.any():
+            return root
+        above, below, x, y = above[apart], below[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(farther := root[root], root):
+            root = farther
+
+
+def _changes(column: pa.Array) -> np.ndarray:
+    """Whether each value but the first differs from the one before; nulls are equal."""
+    one, other = column.slice(1), column.slice(0, len(column) - 1)
+    return pc.coalesce(pc.not_equal(one, other), pc.xor(pc.is_null(one), pc.is_null(other))).to_numpy(zero_copy_only=False)
+
+
+def _labelled_blocks(cells: pa.RecordBatch, span: int) -> pa.RecordBatch:
+    """key, row, col, lr, lc of the cells of whole blocks, each in order and once. cells: key, br, bc, row, col."""
+    key, (br, bc, row, col) = cells.column(0), (cells.column(i).to_numpy() for i in range(1, 5))
+    new = np.concatenate([[True], _changes(key) | (br[1:] != br[:-1]) | (bc[1:] != bc[:-1])])
+    # Rows of blocks one below another, with an empty one between.
+    line = (np.cumsum(new) - 1) * (span + 1) + row - br * span
+    at = line * (span + 2) + col - bc * span
+    begin = np.concatenate([[True], at[1:] != at[:-1] + 1])
+    runs = np.flatnonzero(begin)
+    root = first_runs(at[runs], at[np.append(runs[1:], len(at)) - 1] + 1, span + 2)
+    head = runs[root[np.cumsum(begin) - 1]]
+    return pa.RecordBatch.from_arrays([key, *(pa.array(x.astype(np.int32)) for x in (row, col, row[head], col[head]))], names=[cells.schema.names[0], "row", "col", "lr", "lc"])
 
 
 def connected_components(cells: DataFrame, key: str = "image_id", span: int = 256) -> DataFrame:
     """key, row, col, label_row, label_col: the smallest cell of each cell's 8-connected set.
 
     Cells are labelled inside blocks of span x span by their runs; a block is bounded, however large the
-    picture. The labels of touching blocks are then contracted: each is hooked to its least neighbour,
+    picture, and a batch labels all its blocks at once, however small they are. The labels of touching blocks are then contracted: each is hooked to its least neighbour,
     chains of hooks are halved until each label has its root, and links between roots go on to the next
     round. A long winding line over n blocks is a chain, so it takes about log2(n) steps and not n.
     Rows with a null row or column are left out; repeated cells give one row.
@@ -249,26 +275,36 @@ def connected_components(cells: DataFrame, key: str = "image_id", span: int = 25
     named = cells.where("row IS NOT NULL AND col IS NOT NULL")
     blocks = named.select(key, "row", "col", F.floor(F.col("row") / span).alias("br"), F.floor(F.col("col") / span).alias("bc"))
 
-    def local(frame: pd.DataFrame) -> pd.DataFrame:
-        at_row, at_col = int(frame["br"].iloc[0]) * span, int(frame["bc"].iloc[0]) * span
-        ink = np.zeros((span, span), bool)
-        ink[frame["row"].to_numpy() - at_row, frame["col"].to_numpy() - at_col] = True
-        row, start, end, root = label_runs(ink)
-        wide = end - start
-        of = np.repeat(np.arange(len(row)), wide)
-        col = np.arange(len(of)) - np.repeat(np.cumsum(wide) - wide, wide) + start[of]
-        out = pd.DataFrame({"row": row[of] + at_row, "col": col + at_col, "lr": row[root[of]] + at_row, "lc": start[root[of]] + at_col})
-        out.insert(0, key, frame[key].iloc[0])
-        return out
-
-    labelled = blocks.groupBy(key, "br", "bc").applyInPandas(local, f"`{key}` {kind}, row int, col int, lr int, lc int")
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = pa.concat_batches([held, batch]) if held is not None else batch
+            same = [~_changes(held.column(i)) for i in range(5)]
+            held = held.filter(pa.array(np.concatenate([[True], ~np.logical_and.reduce(same)])))
+            # The last block may go on in the next batch.
+            ends = np.flatnonzero(np.logical_or.reduce([_changes(held.column(i)) for i in range(3)]))
+            whole = int(ends[-1]) + 1 if len(ends) else 0
+            if whole:
+                yield _labelled_blocks(held.slice(0, whole), span)
+                held = held.slice(whole)
+        if held is not None:
+            yield _labelled_blocks(held, span)
+
+    place = [key, "br", "bc"]
+    blocks = blocks.select(*place, F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"))
+    labelled = blocks.repartition(*place).sortWithinPartitions(*place, "row", "col").mapInArrow(local, f"`{key}` {kind}, row int, col int, lr int, lc int")
     labelled = cut_lineage(labelled)
-    # Links between labels of neighbouring blocks, from the cells on the blocks' edges only.
+    # Links between labels of neighbouring blocks: half of the neighbours of the cells on the blocks' edges, and only those in other blocks.
     edge = labelled.where(f"pmod(row, {span}) IN (0, {span - 1}) OR pmod(col, {span}) IN (0, {span - 1})")
-    around = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b))
-    near = edge.select(key, F.explode(around).alias("o"), "row", "col", F.struct("lr", "lc").alias("p")).select(key, (F.col("row") + F.col("o.a")).alias("row"), (F.col("col") + F.col("o.b")).alias("col"), "p")
-    links = near.join(edge.select(key, "row", "col", F.struct("lr", "lc").alias("q")), [key, "row", "col"]).where("p <> q").select(key, "p", "q").distinct()
-    roots = contracted(cut_lineage(links), key)
+    around = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 1), (1, -1), (1, 0), (1, 1))))
+    near = edge.select(key, F.explode(around).alias("o"), "row", "col", F.struct("lr", "lc").alias("p"))
+    near = near.where(f"floor((row + o.a) / {span}) <> floor(row / {span}) OR floor((col + o.b) / {span}) <> floor(col / {span})")
+    near = near.select(key, (F.col("row") + F.col("o.a")).alias("row"), (F.col("col") + F.col("o.b")).alias("col"), "p")
+    links = near.join(edge.select(key, "row", "col", F.struct("lr", "lc").alias("q")), [key, "row", "col"]).select(key, "p", "q")
+    links = cut_lineage(links.unionByName(links.select(key, F.col("q").alias("p"), F.col("p").alias("q"))).distinct())
+    roots = contracted(links, key)
     out = labelled.withColumn("p", F.struct("lr", "lc")).join(roots, [key, "p"], "left").withColumn("root", F.coalesce("root", "p"))
     return out.select(key, "row", "col", F.col("root.lr").alias("label_row"), F.col("root.lc").alias("label_col"))
 

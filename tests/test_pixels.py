@@ -191,3 +191,14 @@ def test_jpeg_sizes(spark):
     rows = spark.createDataFrame([(k, bytearray(c) if c is not None else None) for k, (c, _) in cases.items()], "k string, content binary")
     got = {r.k: (r.width, r.height) if r.width else None for r in image_sizes(rows).collect()}
     assert got == {k: s for k, (_, s) in cases.items()}
+
+
+def test_small_blocks_are_labelled_together(spark):
+    rng = random.Random(9)
+    points = {(k, rng.randint(0, 7), rng.randint(0, 7)) for k in range(40) for _ in range(30)}
+    df = spark.createDataFrame([(f"p{k}", y, x) for k, y, x in points], "image_id string, row int, col int")
+    out = pixels.connected_components(df.unionByName(df), span=4)
+    got = {(r.image_id, r.row, r.col): (r.label_row, r.label_col) for r in out.collect()}
+    assert got == {(f"p{k}", *c): l for k in range(40) for c, l in pixels.label_components({(y, x) for i, y, x in points if i == k}).items()}
+    first = np.array([[1, 1, 0, 1], [0, 0, 1, 0], [1, 0, 0, 0]], bool)
+    assert pixels.first_runs(np.array([0, 3, 8, 12]), np.array([2, 4, 9, 13]), 6).tolist() == pixels.label_runs(first)[3].tolist() == [0, 0, 0, 3]
