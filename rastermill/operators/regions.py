@@ -88,18 +88,20 @@ def regions_to_pixels(regions: DataFrame, images: DataFrame) -> DataFrame:
     for c in v.values():
         finite = finite & c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
         relative = relative & c.between(0.0, 1.0)
-    fine = F.coalesce(finite & (F.col("width") > 0) & (F.col("height") > 0), F.lit(False))
-
-    def span(a: Column, b: Column, size: str) -> tuple[Column, Column]:
-        scale = F.when(relative, F.col(size)).otherwise(F.lit(1))
-        low, high = round_half_up(F.least(a, b) * scale), round_half_up(F.greatest(a, b) * scale)
-        start = F.greatest(F.lit(0), F.least(low, F.col(size) - 1))
-        return start, F.greatest(start + 1, F.least(high, F.col(size)))
-
-    (x0, x1), (y0, y1) = span(v["x0"], v["x1"], "width"), span(v["y0"], v["y1"], "height")
-    out = {"x0": x0, "y0": y0, "x1": x1, "y1": y1, "w": x1 - x0, "h": y1 - y0}
-    rows = rows.withColumns({k: F.when(fine, c).cast("int") for k, c in out.items()})
-    return rows.withColumn("error", F.when(~fine, F.lit("rectangle needs four finite numbers and a known image size"))).drop("width", "height")
+    # Step by step, each value a column that the next step reads: as one expression, whose parts occur in
+    # one another, the generated code is longer than what the JVM compiles.
+    rows = rows.withColumns({"_fine": F.coalesce(finite & (F.col("width") > 0) & (F.col("height") > 0), F.lit(False)), "_relative": relative})
+    axes = {"x": "width", "y": "height"}
+    scale = lambda size: F.when(F.col("_relative"), F.col(size)).otherwise(F.lit(1))
+    ends = lambda a, f: f(v[f"{a}0"], v[f"{a}1"])
+    rows = rows.withColumns({f"_{a}{i}": F.when(F.col("_fine"), round_half_up(ends(a, f) * scale(size))) for a, size in axes.items() for i, f in enumerate((F.least, F.greatest))})
+    rows = rows.withColumns({f"{a}0": F.when(F.col("_fine"), F.greatest(F.lit(0), F.least(F.col(f"_{a}0"), F.col(size) - 1))).cast("int") for a, size in axes.items()})
+    rows = rows.withColumns({f"{a}1": F.when(F.col("_fine"), F.greatest(F.col(f"{a}0") + 1, F.least(F.col(f"_{a}1"), F.col(size)))).cast("int") for a, size in axes.items()})
+    rows = rows.withColumns({"w": F.col("x1") - F.col("x0"), "h": F.col("y1") - F.col("y0")})
+    rows = rows.withColumn("error", F.when(~F.col("_fine"), F.lit("rectangle needs four finite numbers and a known image size")))
+    # In the order in which they have always been.
+    out = ("x0", "y0", "x1", "y1", "w", "h", "error")
+    return rows.select(*regions.columns, *out) if not set(out) & set(regions.columns) else rows.drop("width", "height", "_fine", "_relative", "_x0", "_x1", "_y0", "_y1")
 
 
 def crop_size(width: Column, height: Column, max_edge: int) -> tuple[Column, Column]:

@@ -1,4 +1,5 @@
 import itertools
+import re
 
 import pytest
 
@@ -74,3 +75,15 @@ def test_prechecks(spark):
     assert got[2].parse_error and not got[3].has_text and got[4].has_text
     ex = regions.explode_regions(responses.parse_prechecks(df)).collect()
     assert len(ex) == 3 and {r.kind for r in ex} == {"text", "interest"}
+
+
+def test_pixels_are_compiled(spark, capsys):
+    r = spark.range(9).selectExpr("id AS image_id", "id / 9D AS rx0", "id / 8D AS ry0", "id / 7D AS rx1", "id / 6D AS ry1")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        regions.regions_to_pixels(r, spark.range(9).selectExpr("id AS image_id", "cast(id AS int) AS width", "cast(id AS int) AS height")).explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000  # the JVM leaves longer methods to its interpreter
