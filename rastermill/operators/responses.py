@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import gc
+import json
+import re
 import time
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rastermill.operators.regions import valid_rects
+from rastermill.operators.regions import RECT, RECT_TYPE, valid_rects
 
 # Optional fields that a server may refuse, in the order in which they are looked for.
 OPTIONAL_FIELDS = ("detail", "thinking", "reasoning_effort", "stream_options", "response_format")
@@ -36,22 +41,130 @@ def _truthy(v: Column, path: str) -> Column:
     )
 
 
+class _Odd(ValueError):
+    """An answer that is read by Spark's JSON functions: not JSON, or with values of kinds that are seldom there."""
+
+
+def _once(pairs: list[tuple]) -> dict:
+    found = dict(pairs)
+    if len(found) < len(pairs):
+        raise _Odd
+    return found
+
+
+def _odd(_: str):
+    raise _Odd
+
+
+_read = json.JSONDecoder(parse_constant=_odd).decode
+_read_once = json.JSONDecoder(object_pairs_hook=_once, parse_constant=_odd).decode
+_NONE = object()
+_KINDS = {dict, list}
+
+
+def _plain_rects(given) -> tuple[list[tuple], int]:
+    """(x0, y0, x1, y1, is_handwrite, label) of each rectangle that valid_rects keeps, and how many keys their objects have."""
+    rects, keys = [], 0
+    for item in given if type(given) is list else ():
+        kind = type(item)
+        if kind is dict:
+            keys += len(item)
+            get = item.get
+            four, hand, label = (get("x0", _NONE), get("y0", _NONE), get("x1", _NONE), get("y1", _NONE)), get("isHandwrite"), get("label")
+        elif kind is list and len(item) >= 4:
+            four, hand, label = item[:4], None, None
+        else:
+            continue
+        out = []
+        for v in four:
+            kind = type(v)
+            if kind is float or kind is int:
+                if not -1e15 < v < 1e15:
+                    raise _Odd
+                out.append(1.0 if v > 1 else 0.0 if v <= 0 else float(v))
+            elif v is None:
+                out.append(0.0)
+            elif v is _NONE or kind in _KINDS or kind is str and not re.search(r"\d", v):
+                break
+            else:
+                raise _Odd
+        else:
+            if hand is not None and type(hand) is not bool or label is not None and type(label) is not str:
+                raise _Odd
+            rects.append((*out, hand, label or ""))
+    return rects, keys
+
+
+def _plain_answer(text: str) -> tuple:
+    """has_text, text rectangles, interest rectangles and summary of a JSON text."""
+    # Within these bounds both readers take the same texts.
+    if len(text) > 400 and (len(text) > 1 << 20 or text.count("[") + text.count("{") > 500 or re.search(r"\d{400}", text)) or "\\" in text and re.search(r"\\u[dD]", text):
+        raise _Odd
+    found = _read(text)
+    (ours, n), (others, m) = _plain_rects(found.get("textRegions")), _plain_rects(found.get("interestRegions"))
+    if text.count(":") != len(found) + n + m:  # a colon elsewhere, or a key that stands twice in an object
+        _read_once(text)
+    has, summary = found.get("hasText"), found.get("summary")
+    if summary is not None and type(summary) is not str:
+        raise _Odd
+    return type(has) in _KINDS or bool(has), ours, others, summary or ""
+
+
+def _rect_lists(lists: list[list[tuple] | None]) -> pa.Array:
+    flat = [r for rects in lists if rects for r in rects]
+    ends = np.cumsum([0, *(len(rects) if rects else 0 for rects in lists)], dtype=np.int32)
+    columns = list(zip(*flat, strict=True)) if flat else [()] * 6
+    kinds = [pa.float64()] * 4 + [pa.bool_(), pa.string()]
+    rows = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[*RECT, "is_handwrite", "label"])
+    return pa.ListArray.from_arrays(pa.array(ends), rows)
+
+
 def parse_prechecks(responses: DataFrame) -> DataFrame:
     """image_id, has_text, text_regions, interest_regions, summary, parse_error from the raw answer.
 
-    What can't be parsed is a parse error: no text, no regions, the raw answer as summary.
+    What can't be parsed is a parse error: no text, no regions, the raw answer as summary. Each answer is
+    read once, in Arrow batches; what is odd there (kinds of values that models seldom give, bad JSON) is
+    read by Spark's JSON functions, whose many look-ups take some ten times as long, with the same rules.
     """
-    v = F.try_parse_json(json_slice(F.coalesce("raw", F.lit(""))))
-    rows = responses.withColumn("_v", v)
+    kind = responses.schema["image_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            odd, out = [], []
+            gc.disable()  # nothing here is cyclic, and the collector would walk all answers of the batch
+            for raw in batch.column(1).to_pylist():
+                first, last = (raw.find("{"), raw.rfind("}")) if raw else (-1, -1)
+                unread = None
+                if first < 0 or last < first:
+                    row = False, None, None, raw or "", True
+                else:
+                    try:
+                        row = *_plain_answer(raw[first : last + 1]), False
+                    except (ValueError, RecursionError):
+                        unread, row = raw, (False, None, None, "", False)
+                odd.append(unread)
+                out.append(row)
+            gc.enable()
+            has, text, interest, summary, bad = zip(*out, strict=True) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(odd, pa.string()), pa.array(has, pa.bool_()), _rect_lists(text), _rect_lists(interest), pa.array(summary, pa.string()), pa.array(bad, pa.bool_())],
+                names=["image_id", "odd", "has_text", "text_regions", "interest_regions", "summary", "parse_error"],
+            )
+
+    rows = responses.select("image_id", "raw").mapInArrow(
+        run, f"image_id {kind}, odd string, has_text boolean, text_regions {RECT_TYPE}, interest_regions {RECT_TYPE}, summary string, parse_error boolean"
+    )
+    rows = rows.withColumn("_v", F.when(F.col("odd").isNotNull(), F.try_parse_json(json_slice(F.col("odd")))))
+    odd = lambda c, x: F.when(F.col("odd").isNotNull(), x).otherwise(F.col(c)).alias(c)
     bad = F.col("_v").isNull()
     rects = lambda name: valid_rects(F.col("_v"), f"$.{name}")
     return rows.select(
         "image_id",
-        F.when(bad, False).otherwise(_truthy(F.col("_v"), "$.hasText")).alias("has_text"),
-        rects("textRegions").alias("text_regions"),
-        rects("interestRegions").alias("interest_regions"),
-        F.when(bad, F.coalesce("raw", F.lit(""))).otherwise(F.coalesce(F.try_variant_get(F.col("_v"), "$.summary", "string"), F.lit(""))).alias("summary"),
-        bad.alias("parse_error"),
+        odd("has_text", F.when(bad, False).otherwise(_truthy(F.col("_v"), "$.hasText"))),
+        odd("text_regions", rects("textRegions")),
+        odd("interest_regions", rects("interestRegions")),
+        odd("summary", F.when(bad, F.col("odd")).otherwise(F.coalesce(F.try_variant_get(F.col("_v"), "$.summary", "string"), F.lit("")))),
+        odd("parse_error", bad),
     )
 
 

@@ -77,6 +77,15 @@ def test_prechecks(spark):
     assert len(ex) == 3 and {r.kind for r in ex} == {"text", "interest"}
 
 
+def test_odd_answers_are_read_as_plain_ones(spark):
+    rect = '{"x0": 0.1, "y0": 0.2, "x1": 2, "y1": null}'
+    raws = ['{"textRegions": [%s, [0, 0, true, 1], [0, 0, "0.5", 1], [0, 0, "no", 1]], "summary": "a: b"}' % rect, '{"textRegions": [%s]} and {}' % rect, '{"hasText": 1, "hasText": 0}', '{"textRegions": [%s], "summary": 3}' % rect, '{"summary": "\\ud83d"}']
+    got = responses.parse_prechecks(spark.createDataFrame(list(enumerate(raws)), "image_id int, raw string")).orderBy("image_id").collect()
+    assert [tuple(r)[:4] for r in got[0].text_regions] == [(0.1, 0.2, 1.0, 0.0), (0.0, 0.0, 1.0, 1.0), (0.0, 0.0, 0.5, 1.0)] and got[0].summary == "a: b"
+    assert got[2].parse_error and got[2].summary == raws[2] and not got[2].has_text
+    assert len(got[3].text_regions) == 1 and got[3].summary == "3"
+
+
 def test_pixels_are_compiled(spark, capsys):
     r = spark.range(9).selectExpr("id AS image_id", "id / 9D AS rx0", "id / 8D AS ry0", "id / 7D AS rx1", "id / 6D AS ry1")
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")
