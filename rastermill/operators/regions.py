@@ -58,15 +58,17 @@ def valid_rects(values: Column, path: str = "$") -> Column:
 
 
 def explode_regions(prechecks: DataFrame, n_text: int = 3, n_interest: int = 6) -> DataFrame:
-    """The first text and interest regions of each image, in the model's order, one row each."""
+    """The first text and interest regions of each image, in the model's order, one row each. Prechecks are read once."""
 
-    def part(column: str, kind: str, n: int) -> DataFrame:
-        rows = prechecks.select("image_id", F.posexplode(F.slice(F.col(column), 1, n)).alias("region_idx", "r"))
-        hand = F.col("r.is_handwrite") if kind == "text" else F.lit(None).cast("boolean")
-        label = F.lit("") if kind == "text" else F.col("r.label")
-        return rows.select("image_id", F.lit(kind).alias("kind"), "region_idx", label.alias("label"), hand.alias("is_handwrite"), *(F.col(f"r.{c}").alias(f"r{c}") for c in RECT))
+    def part(column: str, kind: str, n: int) -> Column:
+        hand = lambda r: r["is_handwrite"] if kind == "text" else F.lit(None).cast("boolean")
+        label = lambda r: F.lit("") if kind == "text" else r["label"]
+        row = lambda r, i: F.struct(F.lit(kind).alias("kind"), i.alias("region_idx"), label(r).alias("label"), hand(r).alias("is_handwrite"), *(r[c].alias(f"r{c}") for c in RECT))
+        return F.coalesce(F.transform(F.slice(F.col(column), 1, n), row), F.array())
 
-    return part("text_regions", "text", n_text).unionByName(part("interest_regions", "interest", n_interest))
+    # Outer, as else a filter is put in front that makes the regions a second time.
+    rows = prechecks.select("image_id", F.explode_outer(F.concat(part("text_regions", "text", n_text), part("interest_regions", "interest", n_interest))).alias("r"))
+    return rows.where("r IS NOT NULL").select("image_id", "r.*")
 
 
 def clean_label(regions: DataFrame) -> DataFrame:

@@ -86,6 +86,12 @@ def test_odd_answers_are_read_as_plain_ones(spark):
     assert len(got[3].text_regions) == 1 and got[3].summary == "3"
 
 
+def test_answers_are_parsed_once(spark):
+    df = spark.createDataFrame([(1, '{"textRegions": [[0, 0, 1, 1]]}')], "image_id int, raw string")
+    plan = regions.explode_regions(responses.parse_prechecks(df))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Union" not in plan  # one branch for each kind parsed all answers again
+
+
 def test_pixels_are_compiled(spark, capsys):
     r = spark.range(9).selectExpr("id AS image_id", "id / 9D AS rx0", "id / 8D AS ry0", "id / 7D AS rx1", "id / 6D AS ry1")
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")
