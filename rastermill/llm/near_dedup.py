@@ -42,6 +42,8 @@ FIRST = 6
 BLOCK, BLOCK_BYTES, WIDTH = 512, 8 << 20, 4096
 #: Cells in which the frequency of elements is counted (8 bytes each on driver and workers, whatever the data).
 CELLS = 1 << 18
+#: Rows in which a task tells its counts.
+PARTS = 16
 #: Pairs of one document that are verified in one place; beyond, its text is repeated.
 PER_HUB = 2000
 
@@ -297,12 +299,28 @@ def rarest(sets: DataFrame, threshold: float) -> DataFrame:
         for batch in batches:
             for raw in batch.column(0).to_pylist():
                 np.add.at(n, (np.frombuffer(raw, np.uint64) % _U(CELLS)).astype(np.int64), 1)
+        yield from packed(n)
+
+    def packed(n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The cells that are not 0, in one row for each of PARTS stretches of cells that has any."""
         cell = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n[cell])], names=["cell", "n"])
+        ends = np.searchsorted(cell, np.arange(PARTS + 1) * (CELLS // PARTS)).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (cell, n[cell])]
+        rows = pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), *lists], names=["part", "cell", "n"])
+        yield rows.filter(pa.array(np.diff(ends) > 0))
+
+    def add(rows: pa.Table) -> pa.Table:
+        n = np.zeros(CELLS, np.int64)
+        for cell, k in zip(rows.column("cell").chunks, rows.column("n").chunks, strict=True):
+            np.add.at(n, cell.flatten().to_numpy(), k.flatten().to_numpy())
+        return pa.Table.from_batches(packed(n))
 
-    counted = sets.select("elements").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    # A task tells its counts in at most PARTS rows, however many elements it has read.
+    form = "part int, cell array<long>, n array<long>"
+    counted = sets.select("elements").mapInArrow(count, form).groupBy("part").applyInArrow(add, form).toArrow()
     often = np.zeros(CELLS, np.int64)
-    often[counted["cell"].to_numpy()] = counted["n"].to_numpy()
+    for cell, k in zip(counted.column("cell").chunks, counted.column("n").chunks, strict=True):
+        often[cell.flatten().to_numpy()] = k.flatten().to_numpy()
     shared = sets.sparkSession.sparkContext.broadcast(often)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

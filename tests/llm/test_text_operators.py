@@ -621,3 +621,24 @@ def test_encoding_tables(spark, docs):
     back = {r.doc_id: r.text for r in pieces.decode_pieces(enc).collect()}
     assert back[0] == texts[0] and back[1] == "" and back[4] == texts[4]
     assert pieces.encode_pieces(df.limit(0)).count() == 0 and pieces.encode_pieces(df.unionByName(df)).count() == 10
+
+
+def test_counts_of_elements_are_few_rows(spark):
+    from rastermill.llm import near_dedup
+
+    sets = [np.arange(k, k + 4000, dtype=np.uint64).tobytes() for k in (0, 10, 100_000, 200_000)] + [b""]
+    df = spark.createDataFrame([(i, bytearray(s)) for i, s in enumerate(sets)], "id int, elements binary").repartition(3)
+    got = {r.id: (r.size, len(r.rare)) for r in near_dedup.rarest(df, 0.8).collect()}
+    assert got == {0: (4000, 791), 1: (4000, 791), 2: (4000, 0), 3: (4000, 0), 4: (0, 0)}
+    seen, real = [], type(df).mapInArrow
+
+    def spied(self, run, schema, *more, **named):
+        out = real(self, run, schema, *more, **named)
+        seen.append(out)
+        return out
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(type(df), "mapInArrow", spied)
+        near_dedup.rarest(df, 0.8)
+    # One row a cell before: some 12,000.
+    assert seen[0].count() <= near_dedup.PARTS * df.rdd.getNumPartitions()
