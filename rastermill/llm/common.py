@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,5 +78,8 @@ def resident(key, make):
 
 
 def release() -> None:
-    """Drops what other operators left in this worker."""
-    _resident.clear()
+    """Drops what other operators left in this worker, and returns what Arrow keeps of it."""
+    if _resident:
+        _resident.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()

@@ -38,6 +38,8 @@ PER_CLASS = 4096
 NEIGHBOURS, BLOCK, FIRST = 15, 64, 8
 #: Terms that stand in this share of the examples have a column of weights in place of postings.
 DENSE = 0.08
+#: Where the chosen blocks hold this share of a query's entries, its postings are read by whole terms, which costs a quarter a posting.
+WHOLE = 0.1
 #: Letters of a stem.
 STEM = 5
 #: Relevance of a term that says nothing, and the phi squared at which half of its log odds counts.
@@ -55,16 +57,23 @@ def terms_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
     codes, uniques = pd.factorize(np.array(flat, dtype=object))
     owner = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)))
-    pairs, counts = np.unique(owner * len(uniques) + codes, return_counts=True)
-    owner, codes = pairs // len(uniques), pairs % len(uniques)
-    word = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in uniques), np.uint64, len(uniques))
-    stem = np.fromiter((xxhash.xxh3_64_intdigest(w[:STEM] + "*") if len(w) > STEM else 0 for w in uniques), np.uint64, len(uniques))
-    long = stem[codes] > 0
-    owner, term, counts = np.concatenate([owner, owner[long]]), np.concatenate([word[codes], stem[codes[long]]]), np.concatenate([counts, counts[long]])
-    order = np.lexsort((term, owner))
-    owner, term, counts = owner[order], term[order], counts[order]
-    new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (term[1:] != term[:-1])]))
-    return owner[new], term[new], np.add.reduceat(counts, new)
+    word = np.fromiter(map(xxhash.xxh3_64_intdigest, uniques), np.uint64, len(uniques))
+    long = np.fromiter(map(len, uniques), np.int64, len(uniques)) > STEM
+    stem = np.fromiter((xxhash.xxh3_64_intdigest(w[:STEM] + "*") for w in uniques[long]), np.uint64, int(long.sum()))
+    terms, number = np.unique(np.concatenate([word, stem]), return_inverse=True)
+    of_stem = np.full(len(uniques), -1)
+    of_stem[long] = number[len(uniques) :]
+    stems = of_stem[codes]
+    pairs = np.concatenate([owner * len(terms) + number[codes], (owner * len(terms) + stems)[stems >= 0]])
+    pairs, counts = np.unique(pairs, return_counts=True)
+    return pairs // len(terms), terms[pairs % len(terms)], counts
+
+
+def _positions(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """All positions of the ranges of n that begin at first."""
+    out = np.repeat(first - np.cumsum(n) + n, n)
+    out += np.arange(len(out))
+    return out
 
 
 def _spans(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,6 +83,17 @@ def _spans(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.arange(len(of)) + (first - np.cumsum(n) + n)[of], of
 
 
+def _paired(whole: np.ndarray, real: np.ndarray) -> np.ndarray:
+    """Both numbers of a row side by side, so that they are fetched at once; _parts takes them apart."""
+    out = np.empty((len(whole), 2), np.int32)
+    out[:, 0], out[:, 1] = whole, real.view(np.int32)
+    return out.view(np.int64).ravel()
+
+
+def _parts(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return rows.view(np.int32)[::2], rows.view(np.float32)[1::2]
+
+
 class Index:
     """Examples as unit vectors, by term and block. Rows of `examples`: (id, n0, n1, terms, tf)."""
 
@@ -119,11 +139,12 @@ class Index:
         full = often[code]
         self.dense = np.zeros((int(often.sum()), self.n_blocks * self.size), np.float32)
         self.dense[self.column[code[full]], example[full]] = value[full]
-        self.example, self.value, code = example[~full], value[~full], code[~full]
-        block = self.example // self.size
+        example, value, code = example[~full], value[~full], code[~full]
+        block = example // self.size
         new = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (block[1:] != block[:-1])])) if len(code) else np.empty(0, np.int64)
-        self.block = block[new].astype(np.int32)
-        self.most = np.maximum.reduceat(self.value, new) if len(new) else np.empty(0, np.float32)
+        # Of every posting the example and its weight; of every entry, a term in a block, the block and the largest weight.
+        self.weights = _paired(example, value)
+        self.most = _paired(block[new], np.maximum.reduceat(value, new) if len(new) else np.empty(0, np.float32))
         self.postings = np.append(new, len(code)).astype(np.int32)
         self.blocks = np.searchsorted(code[new], np.arange(len(self.keys) + 1)).astype(np.int32)
         empty = (sizes == 0)[order]
@@ -154,21 +175,27 @@ class Index:
         highest = common.reshape(n, self.n_blocks, self.size).max(axis=2)
         owner, code, value = owner[~full], code[~full], value[~full]
         ends = np.searchsorted(owner, np.arange(n + 1))
+        entries = self.blocks[code], self.blocks[code + 1]
         for q in range(n):
-            terms, weights, score = code[ends[q] : ends[q + 1]], value[ends[q] : ends[q + 1]], common[q]
-            entry, of = _spans(self.blocks[terms], self.blocks[terms + 1])
-            block, weight = self.block[entry], weights[of]
-            bound = highest[q] + np.bincount(block, weight * self.most[entry], self.n_blocks)
+            weights, score = value[ends[q] : ends[q + 1]], common[q]
+            first, last = (e[ends[q] : ends[q + 1]] for e in entries)
+            block, most = _parts(self.most[_positions(first, last - first)])
+            bound = highest[q] + np.bincount(block, np.repeat(weights, last - first) * most, self.n_blocks)
             order = np.argsort(-bound, kind="stable")
-            cosines, found, at, step, least = np.empty(0), np.empty(0, np.int64), 0, FIRST, 0.0
+            cosines, found, at, step, least, whole_terms = np.empty(0), np.empty(0, np.int64), 0, FIRST, 0.0, False
             while at < len(order) and bound[order[at]] > 0 and (len(found) < k or bound[order[at]] >= least - 2e-6):
                 now = order[at : at + step]
                 now = now[bound[now] >= least - 2e-6] if len(found) == k else now
-                chosen = np.zeros(self.n_blocks, bool)
-                chosen[now] = True
-                here = np.flatnonzero(chosen[block])
-                post, of = _spans(self.postings[entry[here]], self.postings[entry[here] + 1])
-                rare = np.bincount(self.example[post], weight[here][of] * self.value[post], len(score))
+                if not whole_terms:
+                    chosen = np.zeros(self.n_blocks, bool)
+                    chosen[now] = True
+                    here = np.flatnonzero(chosen[block])
+                    whole_terms = len(here) >= WHOLE * len(block)
+                    if whole_terms:  # nothing is left to be read later
+                        rare, now = self._by_terms(first, last, weights, len(score)), order[at:]
+                        now, step = now[bound[now] >= max(least - 2e-6, 1e-300)], self.n_blocks
+                    else:
+                        rare = self._by_blocks(first, last, weights, here, len(score))
                 members = (now[:, None] * self.size + np.arange(self.size)).ravel()
                 whole = score[members] + rare[members]
                 if leave is not None:
@@ -183,6 +210,20 @@ class Index:
                 at, step = at + step, self.n_blocks
             yield cosines, found
 
+    def _by_terms(self, first: np.ndarray, last: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+        """What the entries [first, last) of each term add to every example."""
+        first, last = self.postings[first], self.postings[last]
+        example, value = _parts(self.weights[_positions(first, last - first)])
+        return np.bincount(example, np.repeat(weights, last - first) * value, n)
+
+    def _by_blocks(self, first: np.ndarray, last: np.ndarray, weights: np.ndarray, here: np.ndarray, n: int) -> np.ndarray:
+        """The same for those of the entries alone whose numbers are here."""
+        entry, of = _spans(first, last)
+        entry, of = entry[here], of[here]
+        post, which = _spans(self.postings[entry], self.postings[entry + 1])
+        example, value = _parts(self.weights[post])
+        return np.bincount(example, weights[of][which] * value, n)
+
     def vote(self, cosines: np.ndarray, found: np.ndarray) -> float:
         w = cosines * cosines * self.votes[found]
         return float(w @ self.label[found] / w.sum())
@@ -248,6 +289,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, i
     kind = docs.schema[id_col].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for at in range(0, batch.num_rows, CHUNK):
                 part = batch.slice(at, CHUNK)
@@ -267,6 +309,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, i
     shared, places = docs.sparkSession.sparkContext.broadcast(index), docs.sparkSession.sparkContext.broadcast(place)
 
     def leave_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         model, where = shared.value, places.value
         for batch in batches:
             out = []
@@ -340,6 +383,7 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold:
     score = _scorer(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for at in range(0, batch.num_rows, CHUNK):
                 part = batch.slice(at, CHUNK)

@@ -9,10 +9,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from rastermill.llm import decontaminate, html_text, near_dedup, ngram_lm, pieces, stages, toxicity
+from rastermill.llm import common, decontaminate, html_text, near_dedup, ngram_lm, pieces, stages, toxicity
 
 
 def _sentences(rng, n, vocabulary=400):
@@ -488,6 +489,37 @@ def test_toxicity_equals_definition(spark, monkeypatch, block, dense):
             assert tie or abs(r.score - score) < 1e-3 and set(r.evidence) == near and (abs(score - 0.7) < 1e-3 or r.predicted == (score >= 0.7))
 
 
+@pytest.mark.parametrize("dense", [0.08, 2])
+def test_toxicity_reads_whole_terms_or_blocks_alike(monkeypatch, dense):
+    """However postings are read, the neighbours are the same to the last bit."""
+    monkeypatch.setattr(toxicity, "BLOCK", 8)
+    monkeypatch.setattr(toxicity, "DENSE", dense)
+    rng = random.Random(4)
+    texts = [_sentences(rng, 30).translate(str.maketrans("0123456789", "abcdefghij")) for _ in range(300)] + ["", "\u00e9\u00b2 a1b_c 3 _"]
+    owner, term, tf = toxicity.terms_of(texts)
+    assert all((owner[1:] > owner[:-1]) | (term[1:] > term[:-1])) and tf.sum() == sum(len(w) + sum(len(x) > toxicity.STEM for x in w) for w in (toxicity.WORD.findall(t) for t in texts))
+    ends = np.searchsorted(owner, np.arange(len(texts) + 1))
+    index = toxicity.Index([(i, i % 3 > 0, i % 3 == 0, term[a:b], tf[a:b]) for i, (a, b) in enumerate(itertools.pairwise(ends))], (1.0, 1.0))
+    found = {}
+    for share in (0, 0.3, 2):
+        monkeypatch.setattr(toxicity, "WHOLE", share)
+        found[share] = [(c.tolist(), e.tolist()) for c, e in index.nearest(*index.vectors(owner, term, tf, len(texts)), len(texts))]
+    assert found[0] == found[0.3] == found[2] and sum(len(c) == toxicity.NEIGHBOURS for c, _ in found[0]) > 290
+
+
+def test_toxicity_tasks_drop_what_other_operators_left(spark, monkeypatch):
+    """No task of fit or drop_toxic holds another operator's tables beside the index."""
+    docs, labels, _ = _labelled(spark, 200)
+    tasks, plain = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, f, *rest: (tasks.append(f), plain(df, f, *rest))[1])
+    toxicity.drop_toxic(docs, toxicity.fit(docs, labels))
+    assert len(tasks) == 3
+    for task in tasks:
+        common._resident["pieces"] = "tables"
+        list(task(iter([pa.RecordBatch.from_pylist([], pa.schema([(c, pa.string()) for c in ("doc_id", "text", "score")]))])))
+        assert not common._resident
+
+
 def test_toxicity_odd_tables(spark, docs):
     df = docs(["a", None, "", "b " * 30_000])
     none = spark.createDataFrame([(0, None), (None, 1), (77, 1)], "doc_id long, toxic int")
