@@ -13,8 +13,14 @@ from rastermill.llm import decontaminate, pieces, stages, toxicity
 from rastermill.llm.common import saved, table
 
 
+#: Rows, mostly whole texts, that a task hands to Python at once. With Spark's 10,000 a batch is a whole split, which
+#: stands in the executor's native memory and in the worker's for each of its tasks.
+ROWS = 1000
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that score 0.7 or more by the labelled examples among them."""
+    """Drops documents that score 0.7 or more by the labelled examples among them. Sets the session's Arrow batches to ROWS."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS)
     return toxicity.drop_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from rastermill.llm.common import text_of
+from rastermill.llm.common import release, text_of
 from rastermill.llm.near_dedup import mix
 
 WORD = re.compile(r"[^\W_]+")
@@ -230,10 +230,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         shared = sc.broadcast(Seeds([tuple(r) for r in block.collect()], min_match))  # one block: bounded by BLOCK_CHARS
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            release()
             seeds = shared.value
             for batch in batches:
-                texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-                yield batch.filter(pa.array([not _matches(seeds, t or "", threshold) for t in texts], pa.bool_()))
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    texts = part.column(part.schema.get_field_index(text_col)).to_pylist()
+                    yield part.filter(pa.array([not _matches(seeds, t or "", threshold) for t in texts], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

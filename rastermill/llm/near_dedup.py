@@ -203,12 +203,13 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text, left = None, None
         for batch in batches:
-            keep = []
-            for ta, tb in zip(*(batch.column(batch.num_columns - k).to_pylist() for k in (2, 1)), strict=True):
-                if ta != text:
-                    text, left = ta, elements(ta)
-                keep.append(weighted_jaccard(left, elements(tb)) >= threshold)
-            yield batch.select(range(batch.num_columns - 2)).filter(pa.array(keep, pa.bool_()))
+            for at in range(0, batch.num_rows, 256):
+                part, keep = batch.slice(at, 256), []
+                for ta, tb in zip(*(part.column(part.num_columns - k).to_pylist() for k in (2, 1)), strict=True):
+                    if ta != text:
+                        text, left = ta, elements(ta)
+                    keep.append(weighted_jaccard(left, elements(tb)) >= threshold)
+                yield part.select(range(part.num_columns - 2)).filter(pa.array(keep, pa.bool_()))
 
     return rows.select(*pairs.columns, "text_a", "text_b").mapInArrow(run, pairs.schema)
 
